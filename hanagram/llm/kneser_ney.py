@@ -27,6 +27,8 @@ BITS = 12
 BLOCK_CHARS, COUNT_CHARS = 24_000_000, 8_000_000
 #: A threshold is the median of the trusted log-perplexities plus WIDTH times the distance from it to the QUANTILE.
 QUANTILE, WIDTH = 0.99, 2.0
+#: A text of n units may exceed the threshold by SLACK / sqrt(n): the mean over few units varies.
+SLACK = 2.0
 _LOW = [np.int64((1 << BITS * n) - 1) for n in range(ORDER + 1)]
 #: What a request of order n adds to its key.
 _TAG = [np.int64(n << BITS * ORDER) for n in range(ORDER + 1)]
@@ -287,7 +289,7 @@ def classify(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, wi
     a threshold."""
     scores = scored(docs, trusted, id_col, text_col, lang_col)
     limits = written(thresholds(scores, quantile, width), "kn-limits")
-    out = scores.join(limits, "lang", "left")
+    out = scores.join(limits, "lang", "left").withColumn("limit", F.col("limit") + SLACK / F.sqrt(F.col("n_units")))
     keep = F.col("log_perplexity").isNull() | F.col("limit").isNull() | (F.col("log_perplexity") <= F.col("limit"))
     return out.select(F.col("doc_id").cast(docs.schema[id_col].dataType).alias(id_col), "lang", "log_perplexity", "limit", keep.alias("keep"))
 
