@@ -24,8 +24,12 @@ from .common import components, restricted, shuffle_partitions, written
 
 #: Sets in a slice of a large block, and how many leaders all of its sets are multiplied by.
 SLICE, LEADERS = 512, 16
-#: Parts that agree beyond the one that has to, so that a set with up to so many empty parts needs no keys for those.
-SPARE = 3
+#: Parts that agree beyond the one that has to, as a share of those that may differ: a set leaves out as many of its parts
+#: that tell least (empty ones, and those of frequent n-grams).
+SPARE = 0.2
+#: Frequent n-grams are those counted so often in LOCAL_GRAMS n-grams at least, and in all at least 64 times and once in
+#: HOT_MOST, so that there are HOT_MOST of them at most (8 MB). Which are known affects only the size of blocks.
+LOCAL_GRAMS, LOCAL_TIMES, HOT_MOST = 2_000_000, 6, 1 << 20
 #: Bytes of keys for each shard.
 SHARD_BYTES = 16 << 20
 
@@ -71,34 +75,42 @@ def needed(n: int, m: int, percent: int) -> int:
     return -(-percent * (n + m) // (100 + percent))
 
 
-def levels(n: int, percent: int) -> list[tuple[int, int]]:
-    """(level, number of parts) under which a set of n n-grams gets keys: its own size level and the next; two sets whose
+def levels(n: int, percent: int) -> list[tuple[int, int, int]]:
+    """(level, parts that may differ, spare parts) under which a set of n n-grams gets keys: its own size level and the next; two sets whose
     sizes may link are at one level in common."""
     own = math.floor(math.log(n) / -math.log(percent / 100) + 1e-9) if percent < 100 else n
     out = []
     for level in (own, own + 1):
         most = math.floor((100 / percent) ** (level + 1) + 1e-6)  # no set at this level has more
         differ = 2 * most - 2 * needed(most, most, percent) + 2
-        out.append((level, differ + 1 + SPARE))
+        out.append((level, differ, max(3, math.ceil(SPARE * differ))))
     return out
 
 
-def keys(s: np.ndarray, percent: int) -> np.ndarray:
-    """Keys of a set such that two sets that link have one in common. None if only an equal set links."""
+def keys(s: np.ndarray, percent: int, hot: np.ndarray) -> np.ndarray:
+    """Keys of a set such that two sets that link have one in common. None if only an equal set links.
+
+    Of parts that differ + 1 + spare, two sets that link agree in spare + 1 at least. What a part tells is how many of its
+    n-grams aren't in ``hot``. A set leaves out the parts that tell no more than q, with the largest q at which these are no
+    more than spare; of two sets, the greater q still leaves a part in which they agree.
+    """
     n = len(s)
     if not any(needed(n, m, percent) <= min(n, m) - (n == m) for m in range(-(-percent * n // 100), 100 * n // percent + 1)):
         return np.zeros(0, np.uint64)
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mixed(s * _M1), dtype=np.uint64)])
+    rare = np.ones(n, np.int64)
+    if len(hot):
+        rare -= hot[np.minimum(np.searchsorted(hot, s), len(hot) - 1)] == s
+    rare = np.concatenate([[0], np.cumsum(rare)])
     out = []
-    for level, parts in levels(n, percent):
+    for level, differ, spare in levels(n, percent):
+        parts = differ + 1 + spare
         edges = np.searchsorted(s, (np.arange(1, parts, dtype=np.float64) * (2.0**64 / parts)).astype(np.uint64))
         at = np.concatenate([[0], edges, [n]])
-        size = np.diff(at)
         part = total[at[1:]] - total[at[:-1]]
+        tells = rare[at[1:]] - rare[at[:-1]]
         salt = _mixed((np.arange(parts, dtype=np.uint64) + np.uint64(level << 32)) * _M2)
-        empty = size == 0
-        keep = ~empty if empty.sum() <= SPARE else np.ones(parts, bool)
-        out.append(_mixed(part + salt)[keep])
+        out.append(_mixed(part + salt)[tells >= np.sort(tells)[spare]])
     return np.concatenate(out)
 
 
@@ -152,9 +164,24 @@ def product(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int
 
 
 def _facts(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n, sid, node) of each row: the size of its set, the set's digest, half of the digest."""
+    """(doc_id, n, sid, node, gram) of each row: the size of its set, the set's digest, half of the digest; and rows with a
+    gram and in n how often it was counted, for n-grams that are frequent in a stretch of the task's distinct sets."""
 
     def run(it):
+        seen: set[bytes] = set()
+        held: list[np.ndarray] = []
+        size = 0
+        names = ["doc_id", "n", "sid", "node", "gram"]
+
+        def frequent():
+            gram = np.sort(np.concatenate(held))
+            held.clear()
+            cut = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
+            times = np.diff(np.append(cut, len(gram)))
+            many = times >= LOCAL_TIMES
+            none = pa.nulls(int(many.sum()), pa.int64())
+            return pa.RecordBatch.from_arrays([none, pa.array(times[many]), pa.nulls(len(none), pa.binary()), none, pa.array(gram[cut[many]].view(np.int64))], names)
+
         for b in it:
             n, sid, node = [], [], []
             for t in b.column(1).to_pylist():
@@ -163,15 +190,29 @@ def _facts(docs: DataFrame, k: int) -> DataFrame:
                 n.append(len(s))
                 sid.append(d)
                 node.append(d and int.from_bytes(d[:8], "little", signed=True))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(sid, pa.binary()), pa.array(node, pa.int64())], ["doc_id", "n", "sid", "node"])
+                if d and d not in seen:
+                    seen.add(d)
+                    held.append(s)
+                    size += len(s)
+                    if size >= LOCAL_GRAMS:
+                        yield frequent()
+                        size = 0
+            if len(seen) > 200_000:
+                seen.clear()
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(sid, pa.binary()), pa.array(node, pa.int64()), pa.nulls(len(n), pa.int64())], names)
+        if held:
+            yield frequent()
 
-    return docs.mapInArrow(run, "doc_id long, n long, sid binary, node long")
+    return docs.mapInArrow(run, "doc_id long, n long, sid binary, node long, gram long")
 
 
-def _block_edges(docs: DataFrame, k: int, percent: int, shards: int) -> DataFrame:
+def _block_edges(docs: DataFrame, k: int, percent: int, shards: int, hot: np.ndarray) -> DataFrame:
     """Edges (a, b) between nodes whose sets share a key, a the least such node in the shard."""
 
+    sent = docs.sparkSession.sparkContext.broadcast(hot)
+
     def run(it):
+        hot = sent.value
         seen: set[bytes] = set()
         held: list[tuple[int, np.ndarray]] = []
         size = 0
@@ -199,7 +240,7 @@ def _block_edges(docs: DataFrame, k: int, percent: int, shards: int) -> DataFram
                     d = set_digest(s)
                     if d not in seen:
                         seen.add(d)
-                        if len(x := keys(s, percent)):
+                        if len(x := keys(s, percent, hot)):
                             held.append((int.from_bytes(d[:8], "little", signed=True), x))
                             size += len(x)
                             if size > 1_500_000:
@@ -323,10 +364,13 @@ def grouped(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_i
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    facts = written(_facts(texts, k), "shingle-facts")
+    every = written(_facts(texts, k), "shingle-facts")
+    facts = every.where("gram is null").drop("gram")
     total = facts.agg(F.sum("n")).first()[0] or 0
+    often = every.where("gram is not null").groupBy("gram").agg(F.sum("n").alias("times")).where(F.col("times") >= max(64, total // HOT_MOST + 1))
+    hot = np.sort(often.select("gram").toPandas()["gram"].to_numpy(np.int64).view(np.uint64))
     shards = max(24, math.ceil(total * (100 - percent) / percent * 2.5 * 8 / SHARD_BYTES))
-    blocks = components(_block_edges(texts, k, percent, shards), "shingle-blocks").withColumnRenamed("root", "block")
+    blocks = components(_block_edges(texts, k, percent, shards, hot), "shingle-blocks").withColumnRenamed("root", "block")
     # One row for each set in a block of two or more.
     sets = facts.where("n > 0").groupBy("sid", "node").agg(F.min("doc_id").alias("doc_id"))
     sets = written(sets.join(blocks, "node").select("sid", "doc_id", "block"), "shingle-sets")
