@@ -43,7 +43,7 @@ class Tokens:
         new = set().union(*cut).difference(self.kept)
         # The tokenizer lower-cases, and takes letters and what follows them separately.
         plain = {c: c.lower() if c.isascii() else c for c in new}
-        ended = {c: p[:-1] for c, p in plain.items() if p[-1:] in (".", ",") and p[-2:-1].isalpha()}
+        ended = {c: p[:-1] for c, p in plain.items() if p[-1:] in (".", ",") and p[-2:-1].lower().isalpha()}
         words = list({*plain.values()}.difference(plain[c] for c in ended).union(ended.values(), ".,"))
         found: dict[str, bytes] = {}
         for lo in range(0, len(words) if new else 0, 20_000):
