@@ -54,13 +54,17 @@ def segments(value: str) -> tuple[float, tuple[tuple[str, int, int], ...]]:
     plain = low.translate(_leet)
     per_char = math.log10(_charset(value))
     best = [0.0] + [math.inf] * n
+    guessed, start = math.inf, 0  # the least cost of what ends in a brute-force span here, and where that span begins
     back: list[tuple[str, int]] = [("", 0)] * (n + 1)
     walk = repeat = 0  # where the walk or the repeat that ends here began
     unit_runs = [0] * 5  # for each unit size, how many characters equal those a unit before
     for end in range(1, n + 1):
         found: list[tuple[float, str, int]] = []
         # Brute force: a span is carried on at the cost of one more character.
-        found.append((best[end - 1] + per_char + (0 if back[end - 1][0] == "brute" else 0.3), "brute", back[end - 1][1] if back[end - 1][0] == "brute" else end - 1))
+        if best[end - 1] + 0.3 < guessed:
+            guessed, start = best[end - 1] + 0.3, end - 1
+        guessed += per_char
+        found.append((guessed, "brute", start))
         for size in range(3, min(_longest, end) + 1):
             at = end - size
             for form, extra in ((low[at:end], 0.0), (plain[at:end], 0.3)):
