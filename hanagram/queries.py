@@ -69,7 +69,7 @@ def stored(f: Callable[[SparkSession, str], Index]) -> Callable[[SparkSession, s
 
 
 @stored
-def cjk_index(spark, sf) -> Index:
+def ideograph_index(spark, sf) -> Index:
     return build(projected(spark, sf), Schema(["text"], filters=["lang", "source"], normalizer=PLAIN))
 
 
@@ -258,7 +258,7 @@ def corpus_stats(spark, sf):
 
 @query(f"WITH {tokens_sql(CJK_DOCS)} SELECT DISTINCT token FROM t WHERE NOT regexp_matches(token, {q(HAS_CJK)})")
 def vocab_latin(spark, sf):
-    return cjk_index(spark, sf).latin()
+    return ideograph_index(spark, sf).latin()
 
 
 # --- search -------------------------------------------------------------------------------------------------------------
@@ -266,12 +266,12 @@ def vocab_latin(spark, sf):
 
 @query(search_sql(CJK_DOCS, [(0, *exact("東鳥学植"))], [("text", 1)]))
 def search_single_phrase(spark, sf):
-    return shown(search(cjk_index(spark, sf), "東鳥学植"))
+    return shown(search(ideograph_index(spark, sf), "東鳥学植"))
 
 
 @query(search_sql(CJK_DOCS, [(0, *exact("東鳥学植 風鳥"))], [("text", 1)]))
 def search_multi_phrase(spark, sf):
-    return shown(search(cjk_index(spark, sf), "東鳥学植 風鳥"))
+    return shown(search(ideograph_index(spark, sf), "東鳥学植 風鳥"))
 
 
 @query(search_sql(PART_DOCS, [(0, *exact("red economy"))], [("p_name", 3), ("p_brand", 1), ("p_type", 2)]))
@@ -281,7 +281,7 @@ def search_multi_field(spark, sf):
 
 @query(search_sql(CJK_DOCS, [(0, *exact("t植図r図"))], [("text", 1)]))
 def search_mixed_script(spark, sf):
-    return shown(search(cjk_index(spark, sf), "t植図r図", prefix=False, typos=False))
+    return shown(search(ideograph_index(spark, sf), "t植図r図", prefix=False, typos=False))
 
 
 _WORDS = "SELECT DISTINCT token FROM t WHERE"
@@ -310,7 +310,7 @@ def search_expanded_weight(spark, sf):
 
 @query(search_sql(CJK_DOCS, [(0, *exact("東鳥学"))], [("text", 1)], limit=10))
 def search_limit(spark, sf):
-    return shown(search(cjk_index(spark, sf), "東鳥学", limit=10))
+    return shown(search(ideograph_index(spark, sf), "東鳥学", limit=10))
 
 
 _BATCH = [(0, "東鳥学"), (1, "風鳥 東鳥"), (2, "植図 館鳥 鳥学"), (3, "学図東")]
@@ -318,7 +318,7 @@ _BATCH = [(0, "東鳥学"), (1, "風鳥 東鳥"), (2, "植図 館鳥 鳥学"), (
 
 @query(search_sql(CJK_DOCS, [(i, *exact(t)) for i, t in _BATCH], [("text", 1)], limit=20))
 def search_batch(spark, sf):
-    return shown(search(cjk_index(spark, sf), _BATCH, limit=20))
+    return shown(search(ideograph_index(spark, sf), _BATCH, limit=20))
 
 
 @query(f"SELECT doc, CAST((length(folded) - length(replace(folded, '東鳥', ''))) // 2 AS BIGINT) AS tf FROM ({CJK_DOCS}) WHERE contains(folded, '東鳥')")
@@ -338,12 +338,12 @@ def prefix_words(spark, sf):
 
 @query(search_sql(CJK_DOCS, [(0, *exact("東鳥学植"))], [("text", 1)], "lang = 'en'"))
 def filter_value(spark, sf):
-    return shown(search(cjk_index(spark, sf), "東鳥学植", {"lang": "EN"}))
+    return shown(search(ideograph_index(spark, sf), "東鳥学植", {"lang": "EN"}))
 
 
 @query(search_sql(CJK_DOCS, [(0, *exact("東鳥学植"))], [("text", 1)], "lang IN ('en', 'de') AND source = 'src0'"))
 def filter_conjunction(spark, sf):
-    return shown(search(cjk_index(spark, sf), "東鳥学植", {"lang": ["en", "de"], "source": "src0"}))
+    return shown(search(ideograph_index(spark, sf), "東鳥学植", {"lang": ["en", "de"], "source": "src0"}))
 
 
 @query("SELECT CAST(0 AS BIGINT) AS qid, CAST(row_number() OVER (ORDER BY doc_id) AS INTEGER) AS rank, doc_id AS doc, 0.0::DOUBLE AS score, '' AS fields FROM documents WHERE lang = 'fr'")
@@ -374,7 +374,7 @@ def facets_all(spark, sf):
 
 @query(f"WITH {tokens_sql(CJK_DOCS)} SELECT lang AS value, count(*) AS count FROM d WHERE contains(folded, '東鳥学植') GROUP BY lang")
 def facets_results(spark, sf):
-    index = cjk_index(spark, sf)
+    index = ideograph_index(spark, sf)
     return facets(index, "lang", search(index, "東鳥学植")).select("value", "count")
 
 
