@@ -34,6 +34,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Removes written tables that nothing will read again. Only those in the shared folder are."""
+    for t in tables:
+        spark = t.sparkSession
+        for folder in {f.rpartition("/")[0] for f in t.inputFiles()}:
+            if folder.startswith(shared_dir(spark).replace("file:///", "file:/")) or folder.startswith(shared_dir(spark)):
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def restricted(docs: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
     """Rows of ``docs`` whose ``key`` is (left_semi) or isn't (left_anti) in ``ids``, an already written table of distinct ids.
 

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import restricted, written
+from .common import dropped, restricted, written
 
 ORDER = 5
 BITS = 12
@@ -76,7 +76,7 @@ def in_blocks(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> Dat
 
     def run(it):
         held: dict[str, list] = {}
-        number, z = 0, zstandard.ZstdCompressor(level=6)
+        number, z = 0, zstandard.ZstdCompressor(level=9)
         task = TaskContext.get().partitionId() << 24
 
         def pack(lang):
@@ -132,8 +132,8 @@ def ngram_counts(blocks: DataFrame) -> DataFrame:
     return blocks.mapInArrow(run, "lang string, key long, c long").groupBy("lang", "key").agg(F.sum("c").alias("c"))
 
 
-def model(counts: DataFrame) -> DataFrame:
-    """(lang, id, alpha, gamma) from the highest order's counts: for each n-gram (id: order and key) its discounted share
+def model(counts: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(lang, id, alpha, gamma), and the written tables that it reads, from the highest order's counts: for each n-gram (id: order and key) its discounted share
     alpha, and as a context the weight gamma of the next lower order. The empty context (order 0) also has in alpha the
     uniform probability of a character."""
     every = [written(counts.select("lang", F.lit(ORDER).alias("n"), "key", "c"), "kn-counts")]
@@ -159,7 +159,17 @@ def model(counts: DataFrame) -> DataFrame:
     gamma = context.select("lang", (F.col("n") - 1).alias("n"), F.col("context").alias("key"), (F.col("freed") / F.col("total")).alias("gamma"))
     base = every[-1].groupBy("lang").agg((1.0 / (F.count("*") + 1)).alias("alpha")).select("lang", F.lit(0).alias("n"), F.lit(0).cast("long").alias("key"), "alpha")
     both = alpha.unionByName(base).join(gamma, ["lang", "n", "key"], "full")
-    return both.select("lang", (F.shiftleft(F.col("n").cast("long"), BITS * ORDER) + F.col("key")).alias("id"), F.coalesce("alpha", F.lit(0.0)).cast("float").alias("alpha"), F.coalesce("gamma", F.lit(1.0)).cast("float").alias("gamma"))
+    known = both.select("lang", (F.shiftleft(F.col("n").cast("long"), BITS * ORDER) + F.col("key")).alias("id"), F.coalesce("alpha", F.lit(0.0)).cast("float").alias("alpha"), F.coalesce("gamma", F.lit(1.0)).cast("float").alias("gamma"))
+    return known, [*every, d, context]
+
+
+def squeezed(ids: np.ndarray) -> bytes:
+    """Ascending ids as compressed differences."""
+    return zstandard.ZstdCompressor(level=3).compress(np.diff(ids, prepend=np.int64(0)).tobytes())
+
+
+def unsqueezed(data: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zstandard.ZstdDecompressor().decompress(data, max_output_size=1 << 31), np.int64))
 
 
 def wanted(keys: np.ndarray) -> np.ndarray:
@@ -205,7 +215,7 @@ def _requests(blocks: DataFrame, shards: int) -> DataFrame:
                 shard = ids % 1_000_003 % shards
                 by = np.argsort(shard, kind="stable")
                 at = np.searchsorted(shard[by], np.arange(shards + 1))
-                yield pa.RecordBatch.from_arrays([pa.array(range(shards), pa.int64()), pa.array([block] * shards, pa.int64()), pa.array([lang] * shards), pa.array([ids[by[lo:hi]].tobytes() for lo, hi in zip(at, at[1:])], pa.binary())], ["shard", "block", "lang", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(range(shards), pa.int64()), pa.array([block] * shards, pa.int64()), pa.array([lang] * shards), pa.array([squeezed(ids[by[lo:hi]]) for lo, hi in zip(at, at[1:])], pa.binary())], ["shard", "block", "lang", "ids"])
 
     return blocks.mapInArrow(run, "shard long, block long, lang string, ids binary")
 
@@ -225,10 +235,11 @@ def _answers(requests: DataFrame, known: DataFrame, shards: int) -> DataFrame:
         for block, lang, ids in zip(asked["block"].to_pylist(), asked["lang"].to_pylist(), asked["ids"].to_pylist()):
             if lang in by_lang:
                 x, a, g = by_lang[lang]
-                q = np.frombuffer(ids, np.int64)
+                q = unsqueezed(ids)
                 at = np.minimum(np.searchsorted(x, q), len(x) - 1)
-                hit = at[x[at] == q]
-                rows.append((block, x[hit].tobytes(), a[hit].astype(np.float32).tobytes(), g[hit].astype(np.float32).tobytes()))
+                same = x[at] == q
+                hit = at[same]
+                rows.append((block, squeezed(q[same]), a[hit].astype(np.float32).tobytes(), g[hit].astype(np.float32).tobytes()))
         return pa.table({c: pa.array([r[i] for r in rows], t) for i, (c, t) in enumerate((("block", pa.int64()), ("ids", pa.binary()), ("alpha", pa.binary()), ("gamma", pa.binary())))})
 
     known = known.withColumn("shard", F.col("id") % 1_000_003 % shards)
@@ -237,7 +248,8 @@ def _answers(requests: DataFrame, known: DataFrame, shards: int) -> DataFrame:
 
 def _scores(blocks: DataFrame, answers: DataFrame) -> DataFrame:
     def run(key, docs, got):
-        ids, alpha, gamma = (np.concatenate([np.frombuffer(x, t) for x in got[c].to_pylist()] or [np.zeros(0, t)]) for c, t in (("ids", np.int64), ("alpha", np.float32), ("gamma", np.float32)))
+        ids = np.concatenate([unsqueezed(x) for x in got["ids"].to_pylist()] or [np.zeros(0, np.int64)])
+        alpha, gamma = (np.concatenate([np.frombuffer(x, np.float32) for x in got[c].to_pylist()] or [np.zeros(0, np.float32)]) for c in ("alpha", "gamma"))
         by = np.argsort(ids)
         ids, alpha, gamma = ids[by], alpha[by].astype(np.float64), gamma[by].astype(np.float64)
         out = []
@@ -272,10 +284,13 @@ def scored(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col
     near = ids.limit(1_000_001).count() <= 1_000_000
     flagged = docs.select(id_col, text_col, lang_col).join(F.broadcast(ids) if near else ids, id_col, "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
     blocks = written(in_blocks(flagged, id_col, text_col, lang_col), "kn-blocks")
-    known = written(model(ngram_counts(blocks)), "kn-model")
+    known, made = model(ngram_counts(blocks))
+    known = written(known, "kn-model")
+    dropped(*made)
     shards = max(24, math.ceil(known.count() / 200_000))
-    answers = written(_answers(_requests(blocks, shards), known, shards), "kn-answers")
-    return written(_scores(blocks, answers), "kn-scores")
+    out = written(_scores(blocks, _answers(_requests(blocks, shards), known, shards)), "kn-scores")
+    dropped(blocks, known)
+    return out
 
 
 def thresholds(scores: DataFrame, quantile: float = QUANTILE, width: float = WIDTH) -> DataFrame:
