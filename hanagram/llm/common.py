@@ -6,11 +6,14 @@ import os
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Ids that a broadcast may hold at most (8 bytes each, 16 MB as a hash table of longs).
 BROADCAST_IDS = 1_000_000
+#: Edges that one task joins at most.
+ONE_TASK_EDGES = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -58,14 +61,43 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def components(edges: DataFrame, name: str = "components", small: int = 64) -> DataFrame:
-    """Connected components of ``edges`` (a long, b long): rows (node long, root long), root the least node reachable.
+def _joined_in_one(edges: DataFrame) -> DataFrame:
+    """Components of at most ONE_TASK_EDGES edges, by union-find in one task."""
 
-    Alternates large-star and small-star rewiring; each round is written to the shared folder, and the number of rounds
-    grows with the logarithm of the longest path. Groups are aggregated by min, so that a hub's edges never meet in
-    one task: its neighbours are only joined with the hub's minimum.
+    def run(it):
+        up: dict = {}
+
+        def root(x):
+            while (y := up.setdefault(x, x)) != x:
+                up[x] = up[y]
+                x = up[x]
+            return x
+
+        types = None
+        for batch in it:
+            types = batch.schema.field(0).type
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                a, b = root(a), root(b)
+                if a != b:
+                    up[max(a, b)] = min(a, b)
+        if up:
+            nodes = list(up)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, types), pa.array([root(x) for x in nodes], types)], ["node", "root"])
+
+    kind = edges.schema["lo"].dataType.simpleString()
+    return edges.coalesce(1).mapInArrow(run, f"node {kind}, root {kind}")
+
+
+def components(edges: DataFrame, name: str = "components") -> DataFrame:
+    """Connected components of ``edges`` (a, b): rows (node, root), root the least node reachable.
+
+    Up to ONE_TASK_EDGES distinct edges (16 MB) are joined in one task. Beyond, each round moves both ends of every edge to
+    their least neighbours' least neighbours; each round is written to the shared folder, and the number of rounds grows
+    with the logarithm of the longest path. Groups are aggregated by min, so that a hub's edges never meet in one task.
     """
     cur = written(edges.where("a != b").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct(), name)
+    if cur.limit(ONE_TASK_EDGES + 1).count() <= ONE_TASK_EDGES:
+        return written(_joined_in_one(cur), name)
     spark = edges.sparkSession
     before = None
     for _ in range(100):
