@@ -161,7 +161,7 @@ def decide(facts: DataFrame, min_bytes: int = 0) -> DataFrame:
     return facts.join(kept, "payload_digest", "left").withColumn("record_type", F.when(again, "revisit").otherwise("response")).withColumn("refers_to", F.when(again, F.col("first_id"))).drop("first_id")
 
 
-def normalise(decided: DataFrame, level: int = 6) -> DataFrame:
+def normalise(decided: DataFrame, level: int = 6, tasks: int | None = None) -> DataFrame:
     """Rewrites each stream by ``decided`` (archive, ord, record_type, refers_to) as ``*.members.warc.gz`` with an index file
     ``*.index.jsonl`` beside it. Returns (archive, index_file, records). A stream is bounded by ROLL, so its rows are too."""
 
@@ -193,7 +193,10 @@ def normalise(decided: DataFrame, level: int = 6) -> DataFrame:
         save(to.removesuffix(".warc.gz") + ".index.jsonl", lambda f: f.write("\n".join(index).encode()))
         return pa.table({"archive": [to], "index_file": [to.removesuffix(".warc.gz") + ".index.jsonl"], "records": pa.array([len(index)], pa.int64())})
 
-    return decided.select("archive", "ord", "record_type", F.col("refers_to").cast("string").alias("refers_to")).groupBy("archive").applyInArrow(run, "archive string, index_file string, records long")
+    rows = decided.select("archive", "ord", "record_type", F.col("refers_to").cast("string").alias("refers_to"))
+    # The rows are few beside the streams that a task reads: a number of tasks that adaptive execution doesn't lower.
+    tasks = tasks or max(1, rows.select("archive").distinct().count())
+    return rows.repartition(tasks, "archive").groupBy("archive").applyInArrow(run, "archive string, index_file string, records long")
 
 
 def read_records(archives: DataFrame, with_payload: bool = False) -> DataFrame:
@@ -238,7 +241,7 @@ def archived(pages: DataFrame, min_bytes: int = 0, level: int = 6) -> DataFrame:
     kind = pages.schema["page_id"].dataType.simpleString()
     folder = new_folder(spark, "warc")
     facts = written(write_streams(pages, folder), "warc-facts")
-    archives = written(normalise(decide(facts, min_bytes), level), "warc-archives")
-    n = max(1, archives.count())
+    n = max(1, facts.select("archive").distinct().count())
+    archives = written(normalise(decide(facts, min_bytes), level, n), "warc-archives")
     rows = read_records(archives.repartition(n))
     return rows.select(F.col("page_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
