@@ -37,6 +37,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Texts may be long: batches for Python of ``rows`` rows instead of the default 10,000, unless the session says otherwise."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))
+
+
 def dropped(*tables: DataFrame) -> None:
     """Removes written tables that nothing will read again. Only those in the shared folder are."""
     for t in tables:

@@ -19,12 +19,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, restricted, written
+from .common import dropped, restricted, small_batches, written
 
 ORDER = 5
 BITS = 12
-#: Characters of a block, and of text counted at once.
-BLOCK_CHARS, COUNT_CHARS = 24_000_000, 8_000_000
+#: Characters of a block.
+BLOCK_CHARS = 24_000_000
 #: A threshold is the median of the trusted log-perplexities plus WIDTH times the distance from it to the QUANTILE.
 QUANTILE, WIDTH = 0.99, 2.0
 #: A text of n units may exceed the threshold by SLACK / sqrt(n): the mean over few units varies.
@@ -59,6 +59,12 @@ def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return key[at], word
 
 
+def parts_of(words, size: int = 100_000):
+    """``words`` in lists of at most ``size``, which bounds the arrays made of them."""
+    words = list(words)
+    return (words[lo : lo + size] for lo in range(0, len(words), size))
+
+
 def counted(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     by = np.argsort(keys)
     keys, weights = keys[by], weights[by]
@@ -86,7 +92,7 @@ def in_blocks(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> Dat
             table = pa.table({"id": pa.array([r[0] for r in rows], pa.int64()), "trusted": pa.array([r[1] for r in rows], pa.bool_()), "text": pa.array([r[2] for r in rows], pa.large_string())})
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, table.schema) as w:
-                w.write_table(table, max_chunksize=1000)
+                w.write_table(table, max_chunksize=500)
             return pa.RecordBatch.from_arrays([pa.array([task + number], pa.int64()), pa.array([lang], pa.string()), pa.array([z.compress(sink.getvalue())], pa.binary())], ["block", "lang", "body"])
 
         for b in it:
@@ -125,8 +131,11 @@ def ngram_counts(blocks: DataFrame) -> DataFrame:
                         if trusted:
                             tally.update(words_of(text))
                 if tally:
-                    keys, word = grams(list(tally))
-                    keys, c = counted(keys, np.fromiter(tally.values(), np.int64, len(tally))[word])
+                    some = []
+                    for words in parts_of(tally):
+                        keys, word = grams(words)
+                        some.append(counted(keys, np.fromiter(map(tally.__getitem__, words), np.int64, len(words))[word]))
+                    keys, c = counted(*(np.concatenate(x) for x in zip(*some)))
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys)), pa.array(keys), pa.array(c)], ["lang", "key", "c"])
 
     return blocks.mapInArrow(run, "lang string, key long, c long").groupBy("lang", "key").agg(F.sum("c").alias("c"))
@@ -207,10 +216,10 @@ def _requests(blocks: DataFrame, shards: int) -> DataFrame:
                 keys = []
                 for part in opened(body.as_py()):
                     words.update(*map(words_of, part.column(2).to_pylist()))
-                    if len(words) > 1_000_000:
-                        keys.append(np.unique(grams(list(words))[0]))
+                    if len(words) > 100_000:
+                        keys += [np.unique(grams(x)[0]) for x in parts_of(words)]
                         words.clear()
-                keys.append(np.unique(grams(list(words))[0]))
+                keys += [np.unique(grams(x)[0]) for x in parts_of(words)] or [np.zeros(0, np.int64)]
                 ids = wanted(np.unique(np.concatenate(keys)))
                 shard = ids % 1_000_003 % shards
                 by = np.argsort(shard, kind="stable")
@@ -257,7 +266,7 @@ def _scores(blocks: DataFrame, answers: DataFrame) -> DataFrame:
             known: dict[str, float] = {}
             for part in opened(body.as_py()):
                 texts = [words_of(t) for t in part.column(2).to_pylist()]
-                if len(known) > 1_000_000:
+                if len(known) > 250_000:
                     known.clear()
                 new = list(set().union(*texts).difference(known))
                 if new and len(ids):
@@ -279,6 +288,7 @@ def scored(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col
     A null language is the language "". Without words, or in a language without trusted words, log_perplexity is null.
     Repeated rows are scored each.
     """
+    small_batches(docs.sparkSession)
     ids = written(trusted.select(F.col(id_col)).where(F.col(id_col).isNotNull()).distinct().withColumn("trusted", F.lit(True)), "kn-trusted")
     # Up to a million ids (8 MB) are broadcast; beyond, the join is a shuffled one.
     near = ids.limit(1_000_001).count() <= 1_000_000

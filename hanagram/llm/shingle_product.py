@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, restricted, shuffle_partitions, written
+from .common import components, restricted, shuffle_partitions, small_batches, written
 
 #: Sets in a slice of a large block, and how many leaders all of its sets are multiplied by.
 SLICE, LEADERS = 512, 16
@@ -50,7 +50,7 @@ def shingles(text: str | None, k: int) -> np.ndarray:
         return np.zeros(0, np.uint64)
     if len(words) < k:
         return np.array([xxhash.xxh64_intdigest(b" ".join(words), len(words))], np.uint64)
-    if len(_codes) > 400_000:
+    if len(_codes) > 200_000:
         _codes.clear()
     try:
         code = np.array([_codes[w] for w in words], np.uint64)
@@ -362,6 +362,7 @@ def grouped(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_i
     each; rows with a null id take no part in the least id unless all are null. Other columns are not read.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     parts = shuffle_partitions(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     every = written(_facts(texts, k), "shingle-facts")

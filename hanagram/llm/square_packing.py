@@ -19,6 +19,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: Chunks of text whose ids a worker keeps.
 KEPT = 700_000
 #: Sequence ids of a partition begin at its number times this.
@@ -191,6 +193,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 4096, end_id: int = 2, id_
             emit(packer.close())
             yield batch()
 
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids)
     return out.withColumnRenamed("id", id_col)
