@@ -1,11 +1,11 @@
 """Quality classifier: perplexity under an n-gram model with interpolated modified Kneser-Ney smoothing.
 
-The units are characters: a word is generated from the blank before it to the blank after it, each character given up to
-ORDER - 1 characters of the same word before it. The model of a language is estimated on its trusted documents by
+The units are characters. To classify, a document is one line, its words with a blank between them, and each character is
+given up to ORDER - 1 characters before it, the blank being a character like others: what follows a word counts, and so does
+each repetition. ``scored`` alone can also take each word by itself. The model of a language is estimated on its trusted documents by
 aggregations over n-gram counts. For scoring, documents stand in blocks; each block asks for its distinct n-grams once, the
-requests meet the counts shard by shard, and the answers return to their block, where word and document log-probabilities
-are summed. What is gathered grows with the input, and no task holds the model. A document is rejected if its perplexity
-exceeds a threshold made of quantiles of its language's trusted documents.
+requests meet the counts shard by shard, and the answers return to their block, where the log-probabilities are summed. What is gathered grows with the input, and no task holds the model. A document is rejected if its perplexity
+exceeds a threshold made of quantiles of its language's trusted documents, of those that the model hasn't seen.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ ORDER = 5
 BITS = 12
 #: Characters of a block.
 BLOCK_CHARS = 24_000_000
+#: Characters of which n-grams are made at once.
+PIECE_CHARS = 1_000_000
 #: A threshold is the median of the trusted log-perplexities plus WIDTH times the distance from it to the QUANTILE.
 QUANTILE, WIDTH = 0.99, 2.0
 #: A text of n units may exceed the threshold by SLACK / sqrt(n): the mean over few units varies.
@@ -37,16 +39,23 @@ _TAG = [np.int64(n << BITS * ORDER) for n in range(ORDER + 1)]
 def codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """12-bit codes of the words' characters, each word ended by a 1 (the blank after it) and led by ORDER - 1 zeros, and the
     starts of the words. Code points from 2048 share codes by their remainder."""
-    text = ("\0" * (ORDER - 1)).join(["", *[w + "\1" for w in words]])
-    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    return _coded(["\0" * (ORDER - 1) + w + "\1" for w in words])
+
+
+def _coded(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    c = np.frombuffer("".join(strings).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
     c = np.where(c < 2048, c, 2048 + c % 2039)
-    size = np.fromiter(map(len, words), np.int64, len(words)) + ORDER
+    size = np.fromiter(map(len, strings), np.int64, len(strings))
     return c, np.cumsum(size) - size
 
 
 def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The ORDER-gram key that ends at each character of each word (and the blank after it), and the word's number."""
-    c, starts = codes(words)
+    return _keys(*codes(words))
+
+
+def _keys(c: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of the ORDER-grams within each of the strings that begin at ``starts``, and the string's number."""
     n = len(c) - ORDER + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -54,11 +63,37 @@ def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     for i in range(1, ORDER):
         key = (key << BITS) | c[i : i + n]
     size = np.diff(np.append(starts, len(c))) - ORDER + 1
-    word = np.repeat(np.arange(len(words)), size)
+    word = np.repeat(np.arange(len(starts)), size)
     at = np.arange(len(word)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(starts, size)
     return key[at], word
 
 
+def running(texts, chars: int = PIECE_CHARS):
+    """(keys, numbers): the ORDER-gram key that ends at each character of each text's line (and the blank after it), and the
+    text's number; in pieces of about ``chars`` characters, which bounds the arrays. A longer line is cut, and the next piece
+    begins with the characters that the context needs, so that no n-gram is lost."""
+    strings, numbers, held = [], [], 0
+
+    def made():
+        keys, at = _keys(*_coded(strings))
+        return keys, np.array(numbers, np.int64)[at]
+
+    for number, text in enumerate(texts):
+        line = "\1".join(words_of(text))
+        if not line:
+            continue
+        line = "\0" * (ORDER - 1) + line + "\1"
+        for lo in range(0, len(line) - ORDER + 1, chars):
+            strings.append(line[lo : lo + chars + ORDER - 1])
+            numbers.append(number)
+            held += len(strings[-1])
+            if held >= chars:
+                yield made()
+                strings, numbers, held = [], [], 0
+    if strings:
+        yield made()
+
+
 def parts_of(words, size: int = 100_000):
     """``words`` in lists of at most ``size``, which bounds the arrays made of them."""
     words = list(words)
@@ -82,7 +117,8 @@ def in_blocks(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> Dat
 
     def run(it):
         held: dict[str, list] = {}
-        number, z = 0, zstandard.ZstdCompressor(level=9)
+        # Long matches are looked for in the whole block: copies of texts are far apart.
+        number, z = 0, zstandard.ZstdCompressor(compression_params=zstandard.ZstdCompressionParameters.from_level(12, enable_ldm=True, window_log=25))
         task = TaskContext.get().partitionId() << 24
 
         def pack(lang):
@@ -117,24 +153,31 @@ def opened(body: bytes):
     yield from pa.ipc.open_stream(data)
 
 
-def ngram_counts(blocks: DataFrame) -> DataFrame:
-    """(lang, key, c) of the highest order over the trusted documents."""
+def held_out(doc: int) -> bool:
+    """Whether a trusted document, one in four by its id, stays out of the model: its score is that of a text not seen before."""
+    return doc * 0x9E3779B97F4A7C15 % (1 << 64) >> 62 == 0
+
+
+def ngram_counts(blocks: DataFrame, across: bool = False) -> DataFrame:
+    """(lang, key, c) of the highest order over the trusted documents, within words; or ``across`` them, without the documents held out."""
 
     def run(it):
         from collections import Counter
 
         for b in it:
             for lang, body in zip(b.column(1).to_pylist(), b.column(2)):
-                tally: Counter = Counter()
-                for part in opened(body.as_py()):
-                    for text, trusted in zip(part.column(2).to_pylist(), part.column(1).to_pylist()):
-                        if trusted:
-                            tally.update(words_of(text))
-                if tally:
-                    some = []
+                texts = (text for part in opened(body.as_py()) for doc, trusted, text in zip(*(c.to_pylist() for c in part.columns)) if trusted and not (across and held_out(doc)))
+                some = []
+                if across:
+                    some = [counted(keys, np.ones(len(keys), np.int64)) for keys, _ in running(texts)]
+                else:
+                    tally: Counter = Counter()
+                    for text in texts:
+                        tally.update(words_of(text))
                     for words in parts_of(tally):
                         keys, word = grams(words)
                         some.append(counted(keys, np.fromiter(map(tally.__getitem__, words), np.int64, len(words))[word]))
+                if some:
                     keys, c = counted(*(np.concatenate(x) for x in zip(*some)))
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys)), pa.array(keys), pa.array(c)], ["lang", "key", "c"])
 
@@ -206,7 +249,7 @@ def probabilities(keys: np.ndarray, ids: np.ndarray, alpha: np.ndarray, gamma: n
     return p
 
 
-def _requests(blocks: DataFrame, shards: int) -> DataFrame:
+def _requests(blocks: DataFrame, shards: int, across: bool) -> DataFrame:
     """(shard, block, lang, ids): the distinct ids that a block asks a shard for."""
 
     def run(it):
@@ -215,6 +258,9 @@ def _requests(blocks: DataFrame, shards: int) -> DataFrame:
                 words: set[str] = set()
                 keys = []
                 for part in opened(body.as_py()):
+                    if across:
+                        keys += [np.unique(x) for x, _ in running(part.column(2).to_pylist())]
+                        continue
                     words.update(*map(words_of, part.column(2).to_pylist()))
                     if len(words) > 100_000:
                         keys += [np.unique(grams(x)[0]) for x in parts_of(words)]
@@ -255,7 +301,7 @@ def _answers(requests: DataFrame, known: DataFrame, shards: int) -> DataFrame:
     return requests.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(run, "block long, ids binary, alpha binary, gamma binary")
 
 
-def _scores(blocks: DataFrame, answers: DataFrame) -> DataFrame:
+def _scores(blocks: DataFrame, answers: DataFrame, across: bool) -> DataFrame:
     def run(key, docs, got):
         ids = np.concatenate([unsqueezed(x) for x in got["ids"].to_pylist()] or [np.zeros(0, np.int64)])
         alpha, gamma = (np.concatenate([np.frombuffer(x, np.float32) for x in got[c].to_pylist()] or [np.zeros(0, np.float32)]) for c in ("alpha", "gamma"))
@@ -265,6 +311,15 @@ def _scores(blocks: DataFrame, answers: DataFrame) -> DataFrame:
         for lang, body in zip(docs["lang"].to_pylist(), docs["body"]):
             known: dict[str, float] = {}
             for part in opened(body.as_py()):
+                if across:
+                    n, total = np.zeros(part.num_rows, np.int64), np.zeros(part.num_rows)
+                    for keys, number in running(part.column(2).to_pylist()):
+                        distinct, at = np.unique(keys, return_inverse=True)
+                        logs = np.log(np.maximum(probabilities(distinct, ids, alpha, gamma), 1e-30))
+                        n += np.bincount(number, minlength=len(n))
+                        total += np.bincount(number, logs[at], len(n))
+                    out += [(doc, lang, trusted, size, -s / size if size and len(ids) else None, trusted and held_out(doc)) for doc, trusted, size, s in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), n.tolist(), total.tolist())]
+                    continue
                 texts = [words_of(t) for t in part.column(2).to_pylist()]
                 if len(known) > 250_000:
                     known.clear()
@@ -276,14 +331,16 @@ def _scores(blocks: DataFrame, answers: DataFrame) -> DataFrame:
                     known.update(zip(new, np.bincount(word, logs[at], len(new)).tolist()))
                 for doc, trusted, ws in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), texts):
                     n = sum(map(len, ws)) + len(ws)
-                    out.append((doc, lang, trusted, n, -sum(map(known.__getitem__, ws)) / n if n and len(ids) else None))
-        return pa.table({c: pa.array([r[i] for r in out], t) for i, (c, t) in enumerate((("doc_id", pa.int64()), ("lang", pa.string()), ("trusted", pa.bool_()), ("n_units", pa.int64()), ("log_perplexity", pa.float64())))})
+                    out.append((doc, lang, trusted, n, -sum(map(known.__getitem__, ws)) / n if n and len(ids) else None, False))
+        return pa.table({c: pa.array([r[i] for r in out], t) for i, (c, t) in enumerate((("doc_id", pa.int64()), ("lang", pa.string()), ("trusted", pa.bool_()), ("n_units", pa.int64()), ("log_perplexity", pa.float64()), ("held", pa.bool_())))})
 
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, "doc_id long, lang string, trusted boolean, n_units long, log_perplexity double")
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, "doc_id long, lang string, trusted boolean, n_units long, log_perplexity double, held boolean")
 
 
-def scored(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(doc_id, lang, trusted, n_units, log_perplexity) of each row, written. ``trusted``: ids (``id_col``) of trusted documents.
+def scored(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", across: bool = False) -> DataFrame:
+    """(doc_id, lang, trusted, n_units, log_perplexity, held) of each row, written. ``trusted``: ids (``id_col``) of trusted documents.
+    The n-grams stay within words; or they run ``across`` them, and ``held`` tells the trusted documents that the model is
+    estimated without.
 
     A null language is the language "". Without words, or in a language without trusted words, log_perplexity is null.
     Repeated rows are scored each.
@@ -294,25 +351,28 @@ def scored(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col
     near = ids.limit(1_000_001).count() <= 1_000_000
     flagged = docs.select(id_col, text_col, lang_col).join(F.broadcast(ids) if near else ids, id_col, "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
     blocks = written(in_blocks(flagged, id_col, text_col, lang_col), "kn-blocks")
-    known, made = model(ngram_counts(blocks))
+    known, made = model(ngram_counts(blocks, across))
     known = written(known, "kn-model")
     dropped(*made)
     shards = max(24, math.ceil(known.count() / 200_000))
-    out = written(_scores(blocks, _answers(_requests(blocks, shards), known, shards)), "kn-scores")
+    out = written(_scores(blocks, _answers(_requests(blocks, shards, across), known, shards), across), "kn-scores")
     dropped(blocks, known)
     return out
 
 
 def thresholds(scores: DataFrame, quantile: float = QUANTILE, width: float = WIDTH) -> DataFrame:
-    """(lang, limit): by language from the trusted documents' log-perplexities, by a mergeable quantile sketch."""
-    q = F.percentile_approx("log_perplexity", F.array(F.lit(0.5), F.lit(quantile)), F.lit(10_000))
+    """(lang, limit): by language from the log-perplexities of the trusted documents held out, or of all where none is, by a
+    mergeable quantile sketch. Each is less by what its length allows, as when it is held against the limit."""
+    of = lambda x: F.percentile_approx(x, F.array(F.lit(0.5), F.lit(quantile)), F.lit(10_000))
+    known = F.col("log_perplexity") - SLACK / F.sqrt(F.col("n_units"))  # what is held against the limit
+    q = F.coalesce(of(F.when(F.col("held"), known)), of(known))
     return scores.where("trusted and log_perplexity is not null").groupBy("lang").agg(q.alias("q")).select("lang", (F.col("q")[0] + width * (F.col("q")[1] - F.col("q")[0])).alias("limit"))
 
 
 def classify(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, width: float = WIDTH, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(``id_col``, lang, log_perplexity, limit, keep) of each row. What can't be scored is kept, and so is a language without
-    a threshold."""
-    scores = scored(docs, trusted, id_col, text_col, lang_col)
+    a threshold. The n-grams run across words; a language of which all trusted documents are held out can't be scored."""
+    scores = scored(docs, trusted, id_col, text_col, lang_col, across=True)
     limits = written(thresholds(scores, quantile, width), "kn-limits")
     out = scores.join(limits, "lang", "left").withColumn("limit", F.col("limit") + SLACK / F.sqrt(F.col("n_units")))
     keep = F.col("log_perplexity").isNull() | F.col("limit").isNull() | (F.col("log_perplexity") <= F.col("limit"))

@@ -71,3 +71,25 @@ def test_classify(spark, docs, no_docs):
     assert kept.columns == df.columns and kept.count() == len(rows) - 10
     assert k.classify(docs, trusted).count() == 8 and k.classify(no_docs, trusted).count() == 0
     assert all(r["keep"] for r in k.classify(docs, trusted.where("false")).collect())
+
+
+def test_repeated_words_are_rejected(spark):
+    """Words that are usual by themselves, one of them over and over."""
+    rng = random.Random(3)
+    nouns = ["".join(rng.choice("etaoinsh") for _ in range(rng.randint(4, 8))) for _ in range(30)]
+    text = lambda: ". ".join("The " + " ".join(rng.choice(nouns) + rng.choice((" of", " and", "")) for _ in range(12)) for _ in range(8)) + "."
+    rows = [(i, text(), "en") for i in range(120)] + [(200 + i, " ".join(["of"] * 100), "en") for i in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = {r["doc_id"]: r["keep"] for r in k.classify(df, spark.createDataFrame([(i,) for i in range(100)], "doc_id long")).collect()}
+    assert all(out[i] for i in range(120)) and not any(out[200 + i] for i in range(4))
+
+
+def test_running_keeps_every_gram():
+    texts = ["ab cd  efgh" * 5, "", "x", "é 你好 " * 9]
+    whole = [k.grams(["\1".join(t.split())])[0].tolist() if t.split() else [] for t in texts]
+    for chars in (3, 7, 10_000):
+        got = [[] for _ in texts]
+        for keys, number in k.running(texts, chars):
+            for key, i in zip(keys.tolist(), number.tolist()):
+                got[i].append(key)
+        assert got == whole
