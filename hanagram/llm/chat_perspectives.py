@@ -6,12 +6,12 @@ name. The mask holds the spans to train on: the bodies of the participant's turn
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Marks of the format.
 START, END = "<|im_start|>", "<|im_end|>\n"
-#: A dialogue is rendered in stretches of so many turn numbers, which bounds a row.
+#: A dialogue is rendered in stretches of so many turns, which bounds a row.
 STRETCH = 512
 
 
@@ -22,14 +22,47 @@ def perspectives(turns: DataFrame, stretch: int = STRETCH, system: str = "system
     ``mask`` lists start:end in code points of ``text``, end exclusive, joined by commas. Turns are ordered by turn, then role,
     then text; ties and repeated rows stay. A null turn comes first, in part 0; a null text is an empty turn; a null role is
     a user without a name and no speaker; a row with a null conv_id is a dialogue of its own. Opening marks within texts
-    are escaped by a backslash. Stretches without a speaker, and empty tables, give no rows.
+    are escaped by a backslash. Stretches without a speaker, and empty tables, give no rows. Here a stretch goes by turn number
+    and only to those who speak within it; ``rotations`` gives each speaker the whole dialogue.
     """
-    own = F.when(F.col("conv_id").isNull(), F.xxhash64("turn", "role", "text"))
-    body = F.replace(F.coalesce(F.col("text"), F.lit("")), F.lit("<|"), F.lit("<\\|"))
-    rows = turns.select("conv_id", own.alias("own"), F.coalesce(F.floor(F.col("turn") / stretch), F.lit(0)).alias("part"), F.struct("turn", F.col("role").alias("role"), body.alias("body")).alias("t"))
+    rows = _rows(turns).withColumn("part", F.coalesce(F.floor(F.col("t.turn") / stretch), F.lit(0)))
     whole = rows.groupBy("conv_id", "own", "part").agg(F.sort_array(F.collect_list("t")).alias("ts"))
     speaks = lambda t: t["role"].isNotNull() & (F.lower(t["role"]) != system)
-    each = whole.withColumn("speaker", F.explode(F.array_distinct(F.transform(F.filter("ts", speaks), lambda t: t["role"]))))
+    return _rendered(whole.withColumn("speaker", F.explode(F.array_distinct(F.transform(F.filter("ts", speaks), lambda t: t["role"])))), system)
+
+
+def rotations(turns: DataFrame, stretch: int = STRETCH, system: str = "system") -> DataFrame:
+    """Rows as of ``perspectives``, one for each stretch of a dialogue and each speaker of the whole dialogue but the system:
+    a speaker's parts joined in order are the whole dialogue, whether or not the speaker is silent in some.
+
+    A stretch is ``stretch`` turns by their place in the dialogue, from part 0 on, whatever their numbers are. Order, ties and
+    nulls are those of ``perspectives``; a dialogue without a speaker gives no rows.
+    """
+    rows = _rows(turns)
+    # Places: turns are counted in ranges of turn numbers, and numbered on from what stands before, so that a long dialogue
+    # never meets in one task.
+    rows = rows.withColumn("range", F.coalesce(F.floor(F.col("t.turn") / stretch), F.lit(-(1 << 62))))
+    key = ["dialogue", "own"]
+    sizes = rows.groupBy(*key, "range").agg(F.count("*").alias("n"))
+    before = sizes.select(*key, "range", (F.sum("n").over(Window.partitionBy(*key).orderBy("range")) - F.col("n")).alias("before"))
+    place = F.row_number().over(Window.partitionBy(*key, "range").orderBy("t")) - 1
+    placed = rows.withColumn("place", place).join(before, [*key, "range"]).withColumn("part", F.floor((F.col("before") + F.col("place")) / stretch))
+    whole = placed.groupBy(*key, "part").agg(F.first("conv_id").alias("conv_id"), F.sort_array(F.collect_list("t")).alias("ts"))
+    role = F.col("t.role")
+    every = rows.groupBy(*key).agg(F.collect_set(F.when(role.isNotNull() & (F.lower(role) != system), role)).alias("speakers"), F.count("*").alias("n"))
+    every = every.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / stretch)))).drop("n")
+    return _rendered(whole.join(every, [*key, "part"]).withColumn("speaker", F.explode("speakers")), system)
+
+
+def _rows(turns: DataFrame) -> DataFrame:
+    """(conv_id, dialogue, own, t): a row for each turn, of the dialogue (dialogue, own), which aren't null."""
+    own = F.when(F.col("conv_id").isNull(), F.xxhash64("turn", "role", "text")).otherwise(0)
+    body = F.replace(F.coalesce(F.col("text"), F.lit("")), F.lit("<|"), F.lit("<\\|"))
+    return turns.select("conv_id", F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("dialogue"), own.alias("own"), F.struct("turn", F.col("role").alias("role"), body.alias("body")).alias("t"))
+
+
+def _rendered(each: DataFrame, system: str) -> DataFrame:
+    """The rows of ``each`` (conv_id, part, speaker, ts), rendered for their speaker."""
 
     def head(t: Column) -> Column:
         name = F.when(t["role"] == F.col("speaker"), "assistant").when(F.lower(t["role"]) == system, "system").when(t["role"].isNull(), "user").otherwise(F.concat(F.lit("user name="), t["role"]))

@@ -30,7 +30,7 @@ def op3_secret_cost(spark, sf_dir):
 
 
 def op4_chat_perspectives(spark, sf_dir):
-    return chat_perspectives.perspectives(table(spark, sf_dir, "conversations"))
+    return chat_perspectives.rotations(table(spark, sf_dir, "conversations"))
 
 
 def op5_block_extract(spark, sf_dir):

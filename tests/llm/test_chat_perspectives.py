@@ -1,4 +1,4 @@
-from hanagram.llm.chat_perspectives import END, perspectives
+from hanagram.llm.chat_perspectives import END, perspectives, rotations
 
 
 def test_rotation(spark):
@@ -13,3 +13,20 @@ def test_rotation(spark):
     assert ann["n_chars"] == len(ann["text"]) and ann["n_masked"] == sum(b - a for a, b in spans)
     assert out[3, 0, "dan"]["text"].count("user\nw") == 2
     assert perspectives(df.where("false")).count() == 0
+
+
+def test_every_speaker_gets_the_whole_dialogue(spark):
+    """Sparse turn numbers, speakers silent in a stretch, a stretch of system turns only."""
+    rows = [(1, 0, "system", "s"), (1, 3, "ann", "a"), (1, 600, "bob", "b"), (1, 10**12, "system", "t"), (1, 10**12 + 1, "system", "u"), (1, 2 * 10**12, "cat", "c"), (1, None, "ann", "first"), (None, 5, "dan", "d"), (None, 5, "dan", "e"), (2, 1, "system", "x")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for stretch, n in ((512, 1), (2, 4), (3, 3)):
+        found = {}
+        for r in sorted(rotations(df, stretch).where("conv_id = 1").collect(), key=lambda r: r["part"]):
+            found.setdefault(r["speaker"], []).append(r)
+        assert set(found) == {"ann", "bob", "cat"} and all([r["part"] for r in x] == list(range(n)) for x in found.values())
+        for speaker, x in found.items():
+            names = lambda r: "system" if r == "system" else "assistant" if r == speaker else "user name=" + r  # noqa: B023, E731
+            want = "".join(f"<|im_start|>{names(r)}\n{b}{END}" for r, b in (("ann", "first"), ("system", "s"), ("ann", "a"), ("bob", "b"), ("system", "t"), ("system", "u"), ("cat", "c")))
+            assert "".join(r["text"] for r in x) == want
+    assert sorted(r["text"] for r in rotations(df).where("conv_id is null").collect()) == [f"<|im_start|>assistant\n{b}{END}" for b in "de"]
+    assert rotations(df).where("conv_id = 2").count() == 0 and rotations(df.where("false")).count() == 0
