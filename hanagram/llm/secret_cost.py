@@ -20,8 +20,9 @@ ASSIGN = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][D
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # as long as possible, so the same as runs of 24 and more
 KINDS = ("assign", "access", "hex", "guess")
-#: Other places where a credential's value stands: a name, an optional quote, a sign, the value to the next blank or quote.
-CONTEXT = re.compile(r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|auth(?:orization)?|bearer|api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?secret)["']?(?:[ \t]*(?:=>|:=|[:=])[ \t]*(?:bearer[ \t]+|basic[ \t]+)?["']?|[ \t]+is[ \t]*:?[ \t]*["']?)([^\s"'<>,;]{6,})|[a-z][a-z0-9+.-]*://[^\s/:@]+:([^\s/@]{6,})@""", re.I | re.A)
+#: Other places where a credential's value stands: a name, an optional quote, a sign, the value to its closing quote on the
+#: line, or else to the next blank or quote.
+CONTEXT = re.compile(r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|auth(?:orization)?|bearer|api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?secret)["']?(?:[ \t]*(?:=>|:=|[:=])[ \t]*(?:bearer[ \t]+|basic[ \t]+)?|[ \t]+is[ \t]*:?[ \t]*)(?:"([^"\n]{6,})"|'([^'\n]{6,})'|["']?([^\s"'<>,;]{6,}))|[a-z][a-z0-9+.-]*://[^\s/:@]+:([^\s/@]{6,})@""", re.I | re.A)
 CONTEXT_HINT = re.compile(r"[=:]|\bis\b", re.I)
 #: Common parts of passwords, the most common first: fixed values.
 WORDS = "password 123456 qwerty admin welcome letmein monkey dragon login master hello shadow sunshine princess football baseball secret trust summer winter spring autumn test user guest root love access super batman jordan hunter ranger buster soccer hockey killer george charlie michael andrew thomas daniel jessica ashley computer internet server default changeme example sample database backup system service token temp demo public private key pass word your here none null true false".split()
@@ -114,8 +115,10 @@ def find(text: str, least: float = 10.0) -> tuple[list[tuple[int, int, int]], li
     if CONTEXT_HINT.search(text):
         for m in CONTEXT.finditer(text):
             at, end = m.span(m.lastindex)
-            if all(end <= a or at >= b for a, b in values):
-                values.add((at, end))
+            # A value found in both ways is the longer of the two.
+            met = {(a, b) for a, b in values if a < end and at < b}
+            values -= met
+            values.add((min([at, *(a for a, _ in met)]), max([end, *(b for _, b in met)])))
     more = [(at, 3, end) for at, end in values if cost(text[at:end]) >= least]
     return base, sorted(base + more)
 

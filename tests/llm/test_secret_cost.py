@@ -66,3 +66,13 @@ def test_frames(docs, no_docs):
     assert s.scan(docs).count() == 8 and s.scan(no_docs).count() == 0
     assert s.redact(docs).columns == docs.columns and s.redact(docs).count() == 8
     assert s.redact_text('token = "0123456789abcdef01234567" x') == '[SECRET]" x'
+
+
+def test_whole_values():
+    """A special character doesn't end a value that a base pattern begins, and quotes hold blanks."""
+    for text, value in (("password=hunter2!Zq8$wLp0@xR end", "hunter2!Zq8$wLp0@xR"), ("secret: wk93ba$Qz7!vvX2", "wk93ba$Qz7!vvX2"), ('pwd: "correct Horse battery 9 staple" x', "correct Horse battery 9 staple"), ("token='k9 $Wq2z Lx7!' x", "k9 $Wq2z Lx7!")):
+        at = text.index(value)
+        base, every = s.find(text)
+        assert (at, 3, at + len(value)) in every and set(base) <= set(every), text
+        clean = s.redact_text(text)
+        assert clean.count("[SECRET]") == 1 and not any(x in clean for x in ("Zq8", "Qz7", "staple", "Lx7")), clean
