@@ -76,3 +76,9 @@ def test_whole_values():
         assert (at, 3, at + len(value)) in every and set(base) <= set(every), text
         clean = s.redact_text(text)
         assert clean.count("[SECRET]") == 1 and not any(x in clean for x in ("Zq8", "Qz7", "staple", "Lx7")), clean
+
+
+def test_random_letters_are_no_words():
+    for value in ("wqozvkxjaehrtb", "ujkobxwqeptz", "Tqevzuxkgaoh"):
+        assert s.cost(value) > 10 and s.shown(s.find("pwd: " + value)[1]) == f"guess:5:{5 + len(value)}"
+    assert s.cost("wonderful") <= s._PROSE_COST and s.cost("Wonderful") <= s._PROSE_COST
