@@ -20,55 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches
+from .word_merges import STRETCH, tokens
 
-#: Chunks of text whose ids a worker keeps.
-KEPT = 700_000
 #: Sequence ids of a partition begin at its number times this.
 PER_TASK = 1 << 36
 
-
-class Tokens:
-    """Ids of texts by a tokenizer that drops white space, chunk by chunk between blanks and newlines, recent chunks kept."""
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
-        self.kept: dict[str, bytes] = {}
-
-    def ids(self, texts: list[str]) -> Iterator[bytes]:
-        """The ids of each text as packed unsigned 32-bit integers, little-endian."""
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.kept) > KEPT:
-            self.kept.clear()
-        new = set().union(*cut).difference(self.kept)
-        # The tokenizer lower-cases, and takes letters and what follows them separately.
-        plain = {c: c.lower() if c.isascii() else c for c in new}
-        ended = {c: p[:-1] for c, p in plain.items() if p[-1:] in (".", ",") and p[-2:-1].lower().isalpha()}
-        words = list({*plain.values()}.difference(plain[c] for c in ended).union(ended.values(), ".,"))
-        found: dict[str, bytes] = {}
-        for lo in range(0, len(words) if new else 0, 20_000):
-            part = words[lo : lo + 20_000]
-            found.update(zip(part, (np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(part, add_special_tokens=False))))
-        for c, p in plain.items():
-            self.kept[c] = found[ended[c]] + found[p[-1]] if c in ended else found[p]
-        get = self.kept.__getitem__
-        return (b"".join(map(get, c)) for c in cut)
-
-
-_tokens: dict[str, Tokens] = {}
-
-
-def tokens(path: str) -> Tokens:
-    import os
-
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    if path not in _tokens:
-        _tokens[path] = Tokens(path)
-    return _tokens[path]
-
-
 #: A piece of a document: its id, where it starts, the packed ids, the document's length.
 Piece = tuple[object, int, bytes, int]
 
@@ -181,15 +137,27 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 4096, end_id: int = 2, id_
 
         kinds = pa.int64()
         schema = None
+        keys: list = []
+        texts: list[str] = []
+        size = 0
         for b in batches:
             if schema is None:
                 schema = pa.schema([("id", b.schema.field(0).type), *((x, kinds) for x in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"))] + [("ids", pa.list_(pa.int32()))] * with_ids)
-            keys, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for lo in range(0, len(keys), 1000):
-                for key, ids in zip(keys[lo : lo + 1000], tok.ids([t or "" for t in texts[lo : lo + 1000]])):
-                    emit(packer.add(key, ids + end))
-                yield batch()
+            for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                keys.append(key)
+                texts.append(text or "")
+                size += len(texts[-1])
+                if size >= STRETCH:
+                    for k, ids in zip(keys, tok.packed(texts)):
+                        emit(packer.add(k, ids + end))
+                        if len(rows) >= 2000:
+                            yield batch()
+                    keys, texts, size = [], [], 0
         if schema is not None:
+            for k, ids in zip(keys, tok.packed(texts)):
+                emit(packer.add(k, ids + end))
+                if len(rows) >= 2000:
+                    yield batch()
             emit(packer.close())
             yield batch()
 
