@@ -139,20 +139,20 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 4096, end_id: int = 2, id_
         schema = None
         keys: list = []
         texts: list[str] = []
-        size = 0
+        chars = 0
         for b in batches:
             if schema is None:
                 schema = pa.schema([("id", b.schema.field(0).type), *((x, kinds) for x in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"))] + [("ids", pa.list_(pa.int32()))] * with_ids)
             for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 keys.append(key)
                 texts.append(text or "")
-                size += len(texts[-1])
-                if size >= STRETCH:
+                chars += len(texts[-1])
+                if chars >= STRETCH:
                     for k, ids in zip(keys, tok.packed(texts)):
                         emit(packer.add(k, ids + end))
                         if len(rows) >= 2000:
                             yield batch()
-                    keys, texts, size = [], [], 0
+                    keys, texts, chars = [], [], 0
         if schema is not None:
             for k, ids in zip(keys, tok.packed(texts)):
                 emit(packer.add(k, ids + end))
