@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -17,9 +19,12 @@ ONE_TASK_EDGES = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see (spark.checkpoint.dir); where it is unset, as in tests, one in the temp folder."""
+    """The folder that all executors see (spark.checkpoint.dir). Only a session within one machine's process (master local) may go
+    without: it gets one in the temp folder."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints", "hanagram")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -37,11 +42,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Texts may be long: batches for Python of ``rows`` rows instead of the default 10,000, unless the session says otherwise."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, str(rows))
+#: What bounds a batch for Python while an operator writes its own tables, where the session has Spark's usual values: texts may be long.
+_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "16777216b")}
+
+
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Smaller batches for what runs within; afterwards the session is as it was."""
+    usual = {k: spark.conf.get(k, None) for k in _BATCH}
+    changed = [k for k, (old, _) in _BATCH.items() if usual[k] == old]
+    for k in changed:
+        spark.conf.set(k, _BATCH[k][1])
+    try:
+        yield
+    finally:
+        for k in changed:
+            spark.conf.set(k, usual[k])
 
 
 def dropped(*tables: DataFrame) -> None:
@@ -104,10 +120,11 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """
     cur = written(edges.where("a != b").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct(), name)
     if cur.limit(ONE_TASK_EDGES + 1).count() <= ONE_TASK_EDGES:
-        return written(_joined_in_one(cur), name)
-    spark = edges.sparkSession
+        out = written(_joined_in_one(cur), name)
+        dropped(cur)
+        return out
     before = None
-    for _ in range(100):
+    while True:
         # Each node's least neighbour, itself included.
         both = cur.select(F.col("lo").alias("n"), F.col("hi").alias("m")).unionByName(cur.select(F.col("hi").alias("n"), F.col("lo").alias("m")))
         least = written(both.groupBy("n").agg(F.min("m").alias("m")).select("n", F.least("n", "m").alias("p")), name)
@@ -116,9 +133,10 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         moved = cur.join(up.select(F.col("n").alias("lo"), F.col("p").alias("lp")), "lo").join(up.select(F.col("n").alias("hi"), F.col("p").alias("hp")), "hi")
         nxt = moved.select(F.least("lp", "hp").alias("lo"), F.greatest("lp", "hp").alias("hi")).unionByName(up.select(F.col("p").alias("lo"), F.col("n").alias("hi"))).where("lo != hi").distinct()
         nxt = written(nxt, name)
+        dropped(cur, least, up)
         n, s = nxt.agg(F.count("*"), F.bit_xor(F.xxhash64("lo", "hi"))).first()
-        if (n, s) == before:
+        cur = nxt
+        if (n, s) == before:  # every edge leads from a node to its root
             break
-        before, cur = (n, s), nxt
-    # Now every edge leads from a node to its root.
+        before = (n, s)
     return cur.groupBy("hi").agg(F.min("lo").alias("root")).select(F.col("hi").alias("node"), "root").unionByName(cur.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct())

@@ -6,32 +6,39 @@
    put in one block by connected components; sets without any such partner need no product. Nothing that may link is lost.
 3. Within a block the incidence matrix is multiplied with its transpose, which accumulates the overlap of each pair; pairs
    below the bound that their sizes give are discarded, and the others link.
-4. A block of many sets is cut: slices are multiplied by themselves, then by leaders of the block's largest components, then
-   what doesn't yet belong to the block's main component by all slices. Pairs within one component need no product.
+4. A block of many sets or n-grams is cut: slices are multiplied by themselves, then by leaders of the block's largest
+   components, then what doesn't yet belong to the block's main component by the slices that hold a set of fitting size
+   with which it shares a part, which keys and sizes alone tell. Pairs within one component need no product.
 """
 
 from __future__ import annotations
 
 import math
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, restricted, shuffle_partitions, small_batches, written
+from .common import BROADCAST_IDS, components, dropped, shuffle_partitions, small_batches, written
 
-#: Sets in a slice of a large block, and how many leaders all of its sets are multiplied by.
-SLICE, LEADERS = 512, 16
+#: Sets and n-grams in a slice of a large block (about: sets are dealt by hash), and by how many leaders all of it is multiplied.
+SLICE, SLICE_GRAMS, LEADERS = 512, 2_000_000, 16
+#: N-grams that a product lays out at once, and bytes of sets in a batch.
+PRODUCT_GRAMS, BATCH_BYTES = 1_000_000, 8 << 20
 #: Parts that agree beyond the one that has to, as a share of those that may differ: a set leaves out as many of its parts
 #: that tell least (empty ones, and those of frequent n-grams).
 SPARE = 0.2
 #: Frequent n-grams are those counted so often in LOCAL_GRAMS n-grams at least, and in all at least 64 times and once in
 #: HOT_MOST, so that there are HOT_MOST of them at most (8 MB). Which are known affects only the size of blocks.
 LOCAL_GRAMS, LOCAL_TIMES, HOT_MOST = 2_000_000, 6, 1 << 20
-#: Bytes of keys for each shard.
-SHARD_BYTES = 16 << 20
+#: Bytes of keys for each shard at most, and shards for each shuffle partition at least, which evens out how many fall into one.
+SHARD_BYTES, SHARDS = 16 << 20, 8
+#: Keys that a task holds before it sends them.
+HELD_KEYS = 1_500_000
 
 _codes: dict[bytes, int] = {}
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -134,44 +141,54 @@ class Forest:
 
 def product(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int) -> np.ndarray:
     """Pairs (i, j) of sets that link, by products of their incidence matrices, some n-grams' columns at a time; without
-    ``right`` the pairs i < j of ``left``."""
+    ``right`` the pairs i < j of ``left``. Sets of many n-grams are multiplied by ranges of the n-grams, which bounds memory."""
     both = left + (right or [])
+    n = len(left)
     size = np.array([len(s) for s in both], np.int64)
+    overlap = np.zeros((n, len(right) if right is not None else n), np.int64)
     if len(both) < 2 or not size.sum():
         return np.zeros((0, 2), np.int64)
+    ranges = -(-int(size.sum()) // PRODUCT_GRAMS)
+    begin = np.zeros(len(both), np.int64)
+    for r in range(1, ranges + 1):
+        end = size if r == ranges else np.array([np.searchsorted(s, np.uint64((r << 64) // ranges)) for s in both], np.int64)
+        _add_overlap(overlap, [s[a:b] for s, a, b in zip(both, begin, end)], n, right is not None)
+        begin = end
+    other = size[n:] if right is not None else size
+    links = (100 + percent) * overlap >= percent * (size[:n, None] + other[None, :])
+    links &= (size[:n, None] > 0) & (other[None, :] > 0)
+    if right is None:
+        links = np.triu(links, 1)
+    return np.argwhere(links)
+
+
+def _add_overlap(overlap: np.ndarray, both: list[np.ndarray], n: int, apart: bool, width: int = 2048) -> None:
+    """Adds the numbers of n-grams that each of the first ``n`` sets shares with the others (``apart``) or with one another."""
     gram, column = np.unique(np.concatenate(both), return_inverse=True)
-    row = np.repeat(np.arange(len(both)), size)
+    row = np.repeat(np.arange(len(both)), [len(s) for s in both])
     shared = np.bincount(column, minlength=len(gram)) > 1  # an n-gram of one set alone adds no overlap
     number = np.cumsum(shared) - 1
     keep = shared[column]
     row, column = row[keep], number[column[keep]]
     by = np.argsort(column, kind="stable")
     row, column = row[by], column[by]
-    n = len(left)
-    overlap = np.zeros((n, len(right) if right is not None else n), np.float32)
-    width = 2048
     bounds = np.searchsorted(column, np.arange(0, int(shared.sum()) + width, width))
     for c, (lo, hi) in enumerate(zip(bounds, bounds[1:])):
         block = np.zeros((len(both), width), np.float32)
         block[row[lo:hi], column[lo:hi] - c * width] = 1
-        overlap += block[:n] @ (block[n:] if right is not None else block).T
-    other = size[n:] if right is not None else size
-    links = (100 + percent) * overlap.astype(np.int64) >= percent * (size[:n, None] + other[None, :])
-    links &= (size[:n, None] > 0) & (other[None, :] > 0)
-    if right is None:
-        links = np.triu(links, 1)
-    return np.argwhere(links)
+        overlap += (block[:n] @ (block[n:] if apart else block).T).astype(np.int64)
 
 
 def _facts(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n, sid, node, gram) of each row: the size of its set, the set's digest, half of the digest; and rows with a
-    gram and in n how often it was counted, for n-grams that are frequent in a stretch of the task's distinct sets."""
+    """(doc_id, h, n, sid, node, gram) of each row of ``docs`` (doc_id, text, h): the size of its set, the set's digest, half of
+    the digest; and rows with a gram and in n how often it was counted, for n-grams that are frequent in a stretch of the
+    task's distinct sets."""
 
     def run(it):
         seen: set[bytes] = set()
         held: list[np.ndarray] = []
         size = 0
-        names = ["doc_id", "n", "sid", "node", "gram"]
+        names = ["doc_id", "h", "n", "sid", "node", "gram"]
 
         def frequent():
             gram = np.sort(np.concatenate(held))
@@ -180,7 +197,7 @@ def _facts(docs: DataFrame, k: int) -> DataFrame:
             times = np.diff(np.append(cut, len(gram)))
             many = times >= LOCAL_TIMES
             none = pa.nulls(int(many.sum()), pa.int64())
-            return pa.RecordBatch.from_arrays([none, pa.array(times[many]), pa.nulls(len(none), pa.binary()), none, pa.array(gram[cut[many]].view(np.int64))], names)
+            return pa.RecordBatch.from_arrays([none, none, pa.array(times[many]), pa.nulls(len(none), pa.binary()), none, pa.array(gram[cut[many]].view(np.int64))], names)
 
         for b in it:
             n, sid, node = [], [], []
@@ -199,39 +216,57 @@ def _facts(docs: DataFrame, k: int) -> DataFrame:
                         size = 0
             if len(seen) > 200_000:
                 seen.clear()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(sid, pa.binary()), pa.array(node, pa.int64()), pa.nulls(len(n), pa.int64())], names)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(sid, pa.binary()), pa.array(node, pa.int64()), pa.nulls(len(n), pa.int64())], names)
         if held:
             yield frequent()
 
-    return docs.mapInArrow(run, "doc_id long, n long, sid binary, node long, gram long")
+    return docs.mapInArrow(run, "doc_id long, h long, n long, sid binary, node long, gram long")
 
 
-def _block_edges(docs: DataFrame, k: int, percent: int, shards: int, hot: np.ndarray) -> DataFrame:
-    """Edges (a, b) between nodes whose sets share a key, a the least such node in the shard."""
+def _block_edges(docs: DataFrame, k: int, percent: int, shards: int, hot) -> DataFrame:
+    """Edges (a, b) between nodes whose sets share a key, connected as these are.
 
-    sent = docs.sparkSession.sparkContext.broadcast(hot)
+    A task sends each key that it holds with one node only, and the edges between that node and the others beside it, so
+    that a key of very many sets is as many rows as there are stretches of held keys. ``hot``: a broadcast variable.
+    """
 
     def run(it):
-        hot = sent.value
         seen: set[bytes] = set()
         held: list[tuple[int, np.ndarray]] = []
         size = 0
+        at = TaskContext.get().partitionId()
 
         def flush():
-            node = np.repeat(np.array([x for x, _ in held], np.int64), [len(x) for _, x in held])
+            names = np.array([x for x, _ in held], np.int64)
+            owner = np.repeat(np.arange(len(held)), [len(x) for _, x in held])
             key = np.concatenate([x for _, x in held])
+            held.clear()
+            by = np.argsort(key)
+            first = np.concatenate([[True], key[by[1:]] != key[by[:-1]]])
+            firsts = owner[by[first]]
+            pairs = np.unique((firsts[np.cumsum(first) - 1] * len(names) + owner[by])[~first])
+            forest = Forest(len(names))
+            for a, b in zip((pairs // len(names)).tolist(), (pairs % len(names)).tolist()):
+                forest.join(a, b)
+            root = np.array([forest.root(i) for i in range(len(names))], np.int64)
+            moved = root != np.arange(len(names))
+            keep = np.zeros(len(key), bool)
+            keep[by[first]] = True
+            owner, key = owner[keep], key[keep]
             shard = (key % np.uint64(shards)).astype(np.int64)
             by = np.argsort(shard, kind="stable")
-            node, key, shard = node[by], key[by], shard[by]
-            at = np.searchsorted(shard, np.arange(shards + 1))
-            full = [i for i in range(shards) if at[i + 1] > at[i]]
-            packs = []
+            owner, key, shard = owner[by], key[by], shard[by]
+            cuts = np.searchsorted(shard, np.arange(shards + 1))
+            full = [i for i in range(shards) if cuts[i + 1] > cuts[i]]
+            rows = []
             for i in full:
-                x = node[at[i] : at[i + 1]]
-                first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
-                packs.append((x[first].tobytes(), np.diff(np.append(first, len(x))).astype(np.uint16).tobytes(), key[at[i] : at[i + 1]].tobytes()))
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), *(pa.array(c, pa.binary()) for c in zip(*packs))], ["shard", "nodes", "counts", "keys"])
+                x = owner[cuts[i] : cuts[i + 1]]
+                change = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+                rows.append((names[x[change]].tobytes(), np.diff(np.append(change, len(x))).astype(np.uint32).tobytes(), key[cuts[i] : cuts[i + 1]].tobytes(), b"", b""))
+            if moved.any():
+                full.append(at % shards)
+                rows.append((b"", b"", b"", names[root[moved]].tobytes(), names[moved].tobytes()))
+            return pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), *(pa.array(c, pa.binary()) for c in zip(*rows))], ["shard", "nodes", "counts", "keys", "a", "b"])
 
         for b in it:
             for t in b.column(1).to_pylist():
@@ -240,10 +275,10 @@ def _block_edges(docs: DataFrame, k: int, percent: int, shards: int, hot: np.nda
                     d = set_digest(s)
                     if d not in seen:
                         seen.add(d)
-                        if len(x := keys(s, percent, hot)):
+                        if len(x := keys(s, percent, hot.value)):
                             held.append((int.from_bytes(d[:8], "little", signed=True), x))
                             size += len(x)
-                            if size > 1_500_000:
+                            if size > HELD_KEYS:
                                 yield flush()
                                 size = 0
             if len(seen) > 200_000:
@@ -252,40 +287,28 @@ def _block_edges(docs: DataFrame, k: int, percent: int, shards: int, hot: np.nda
             yield flush()
 
     def meet(group, table):
-        counts = [np.frombuffer(x.as_py(), np.uint16) for x in table["counts"]]
-        node = np.concatenate([np.repeat(np.frombuffer(x.as_py(), np.int64), c) for x, c in zip(table["nodes"], counts)])
-        key = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table["keys"]])
-        by = np.lexsort((node, key))
+        of = lambda c, kind: [np.frombuffer(x.as_py(), kind) for x in table[c]]
+        node = np.concatenate([np.repeat(x, c) for x, c in zip(of("nodes", np.int64), of("counts", np.uint32))])
+        key = np.concatenate(of("keys", np.uint64))
+        by = np.argsort(key)
         node, key = node[by], key[by]
-        start = np.concatenate([[True], key[1:] != key[:-1]])
-        least = node[np.maximum.accumulate(np.where(start, np.arange(len(key)), 0))]
-        pairs = np.unique(np.stack([least, node], 1)[least != node], axis=0)
-        names, at = np.unique(pairs, return_inverse=True)
+        start = np.concatenate([[True], key[1:] != key[:-1]])[: len(key)]
+        lead = node[np.flatnonzero(start)][np.cumsum(start) - 1]
+        a = np.concatenate([lead[lead != node], *of("a", np.int64)])
+        b = np.concatenate([node[lead != node], *of("b", np.int64)])
+        names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        pairs = np.unique(at[: len(a)] * max(1, len(names)) + at[len(a) :])
         forest = Forest(len(names))
-        for a, b in at.reshape(-1, 2).tolist():
-            forest.join(a, b)
+        for x, y in zip((pairs // max(1, len(names))).tolist(), (pairs % max(1, len(names))).tolist()):
+            forest.join(x, y)
         root = np.array([forest.root(i) for i in range(len(names))], np.int64)
         moved = root != np.arange(len(names))
-        return pa.table({"a": pa.array(names[root[moved]] if len(names) else [], pa.int64()), "b": pa.array(names[moved] if len(names) else [], pa.int64())})
+        return pa.table({"a": pa.array(names[root[moved]], pa.int64()), "b": pa.array(names[moved], pa.int64())})
 
-    packed = docs.mapInArrow(run, "shard long, nodes binary, counts binary, keys binary")
+    packed = docs.mapInArrow(run, "shard long, nodes binary, counts binary, keys binary, a binary, b binary")
     return packed.groupBy("shard").applyInArrow(meet, "a long, b long").distinct()
 
 
-def _groups(it, width: int):
-    """Runs of rows with equal leading ``width`` columns from record batches sorted by them."""
-    head, rows = None, []
-    for b in it:
-        for r in zip(*(c.to_pylist() for c in b.columns)):
-            if r[:width] != head:
-                if rows:
-                    yield head, rows
-                head, rows = r[:width], []
-            rows.append(r[width:])
-    if rows:
-        yield head, rows
-
-
 _LINKS = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
 
@@ -293,17 +316,23 @@ def _emit(pairs):
     return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.binary()) for i in (0, 1)], schema=_LINKS)
 
 
+def _rows(it):
+    for b in it:
+        yield from zip(*(c.to_pylist() for c in b.columns))
+
+
 def _within(percent: int):
-    """Links within each (block, slice), one for each set that is not its component's first."""
+    """Links within each (block, slice) of rows (block, slice, sid, s) sorted by the first three, one for each set that is not
+    its component's first."""
 
     def run(it):
-        for _, rows in _groups(it, 2):
-            rows.sort()
-            sets = [np.frombuffer(r[1], np.uint64) for r in rows]
-            forest = Forest(len(rows))
-            for a, b in product(sets, None, percent).tolist():
+        for _, rows in groupby(_rows(it), lambda r: r[:2]):
+            sets = {sid: np.frombuffer(s, np.uint64) for _, _, sid, s in rows}
+            names = list(sets)
+            forest = Forest(len(names))
+            for a, b in product(list(sets.values()), None, percent).tolist():
                 forest.join(a, b)
-            pairs = [(rows[r][0], rows[i][0]) for i in range(len(rows)) if (r := forest.root(i)) != i]
+            pairs = [(names[r], names[i]) for i in range(len(names)) if (r := forest.root(i)) != i]
             if pairs:
                 yield _emit(pairs)
 
@@ -311,99 +340,174 @@ def _within(percent: int):
 
 
 def _across(percent: int):
-    """Links within each (block, slice) between probes (part 1) and members (part 0), one for each probe and component."""
+    """Links within each (block, slice) between members (part 0) and probes (part 1), one for each probe and component, of rows
+    (block, slice, part, sid, root, s) sorted by the first four. Members are held, probes go by."""
+
+    def run(it):
+        for _, rows in groupby(_rows(it), lambda r: r[:2]):
+            members: dict[bytes, tuple] = {}
+            for part, some in groupby(rows, lambda r: r[2]):
+                if part == 0:
+                    members = {sid: (root, np.frombuffer(s, np.uint64)) for *_, sid, root, s in some}
+                    continue
+                names = list(members)
+                probes: dict[bytes, tuple] = {}
+                grams = 0
+                for *_, sid, root, s in some:
+                    probes[sid] = root, np.frombuffer(s, np.uint64)
+                    grams += len(s) // 8
+                    if len(probes) >= SLICE or grams >= SLICE_GRAMS:
+                        yield from met(probes, members, names)
+                        probes, grams = {}, 0
+                yield from met(probes, members, names)
+
+    def met(probes, members, names):
+        asked = list(probes)
+        found = product([s for _, s in probes.values()], [s for _, s in members.values()], percent)
+        pairs = {(probes[asked[i]][0], members[names[j]][0]): (asked[i], names[j]) for i, j in found.tolist() if probes[asked[i]][0] != members[names[j]][0]}
+        if pairs:
+            yield _emit(list(pairs.values()))
+
+    return run
+
+
+def _keyed(percent: int, hot):
+    """(key, slice, sid, n) for each key of each set of rows (slice, sid, n, s)."""
 
     def run(it):
-        for _, rows in _groups(it, 2):
-            members, probes = [r for r in rows if not r[2]], [r for r in rows if r[2]]
-            for lo in range(0, len(probes), SLICE):
-                some = probes[lo : lo + SLICE]
-                found = product([np.frombuffer(r[1], np.uint64) for r in some], [np.frombuffer(r[1], np.uint64) for r in members], percent)
-                pairs = {(some[i][3], members[j][3]): (some[i][0], members[j][0]) for i, j in found.tolist() if some[i][3] != members[j][3]}
-                if pairs:
-                    yield _emit(list(pairs.values()))
+        for b in it:
+            for slice_, sid, n, s in zip(*(c.to_pylist() for c in b.columns)):
+                x = keys(np.frombuffer(s, np.uint64), percent, hot.value)
+                for lo in range(0, len(x), 100_000):
+                    part = x[lo : lo + 100_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(part.view(np.int64)), pa.array([slice_] * len(part), pa.int64()), pa.array([sid] * len(part), pa.binary()), pa.array([n] * len(part), pa.int64())], ["key", "slice", "sid", "n"])
 
     return run
 
 
-def _large(big: DataFrame, links: DataFrame, percent: int) -> DataFrame:
-    """The links that are still missing in blocks of several slices. ``big``: (block, slice, slices, sid, s)."""
+def _large(big: DataFrame, links: DataFrame, percent: int, hot) -> DataFrame:
+    """The links that are still missing in blocks of several slices. ``big``: (block, slice, slices, sid, n, s)."""
     spark = big.sparkSession
     parts = shuffle_partitions(spark)
-    where = big.select("block", "slice", "slices", "sid")
+    where = big.select("block", "slice", "slices", "sid", "n").distinct()
 
     def rooted(known: DataFrame) -> DataFrame:
         found = components(known, "shingle-rooted")
         return where.join(found.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
 
-    def met(probes: DataFrame, at: DataFrame) -> DataFrame:
-        """Links of ``probes`` (sid) with all slices of their blocks; ``at``: the roots so far."""
+    def met(asked: DataFrame, at: DataFrame) -> DataFrame:
+        """Links of probes (sid, slice) with the slices of their blocks that are named; ``at``: the roots so far."""
         full = big.join(at.select("sid", "root"), "sid")
-        asked = full.join(probes, "sid", "left_semi").withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1))).withColumn("part", F.lit(1))
-        rows = full.withColumn("part", F.lit(0)).unionByName(asked).select("block", "slice", "sid", "s", "part", "root")
-        return rows.repartition(parts, "block", "slice").sortWithinPartitions("block", "slice").mapInArrow(_across(percent), "a binary, b binary")
+        probes = full.drop("slice").join(asked, "sid").withColumn("part", F.lit(1))
+        rows = full.withColumn("part", F.lit(0)).unionByName(probes).select("block", "slice", "part", "sid", "root", "s")
+        return rows.repartition(parts, "block", "slice").sortWithinPartitions("block", "slice", "part", "sid").mapInArrow(_across(percent), "a binary, b binary")
 
     at = written(rooted(links), "shingle-roots")
     # Leaders: of each of a block's first slices the first set of the largest component there.
-    size = at.where(F.col("slice") < LEADERS).groupBy("block", "slice", "root").agg(F.count("*").alias("c"), F.min("sid").alias("sid"))
-    leaders = written(size.groupBy("block", "slice").agg(F.max(F.struct("c", "sid")).alias("x")).select(F.col("x.sid").alias("sid")), "shingle-leaders")
+    size = at.where(F.col("slice") < LEADERS).groupBy("block", "slice", "slices", "root").agg(F.count("*").alias("c"), F.min("sid").alias("sid"))
+    leaders = size.groupBy("block", "slice").agg(F.max(F.struct("c", "sid", "slices")).alias("x"))
+    leaders = written(leaders.select(F.col("x.sid").alias("sid"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("x.slices") - 1)).alias("slice")), "shingle-leaders")
     links = written(links.unionByName(met(leaders, at)), "shingle-links")
-    at = written(rooted(links), "shingle-roots")
-    main = written(at.groupBy("block", "root").count().groupBy("block").agg(F.max(F.struct("count", "root")).alias("x")).select("block", F.col("x.root").alias("main")), "shingle-main")
-    rest = written(at.join(main, "block").where("root != main").select("sid"), "shingle-rest")
-    return links.unionByName(met(rest, at))
+    after = written(rooted(links), "shingle-roots")
+    main = written(after.groupBy("block", "root").count().groupBy("block").agg(F.max(F.struct("count", "root")).alias("x")).select("block", F.col("x.root").alias("main")), "shingle-main")
+    rest = written(after.join(main, "block").where("root != main").select("sid"), "shingle-rest")
+    # Which slices of its block a set of the rest has to meet: those with a set that shares a key and whose size fits.
+    each = written(big.join(main, "block").select("slice", "sid", "n", "s").mapInArrow(_keyed(percent, hot), "key long, slice long, sid binary, n long"), "shingle-keys")
+    held = each.groupBy("key", "slice").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    mine = each.drop("slice").join(rest, "sid", "left_semi").distinct()
+    asked = mine.join(held, "key").where(f"low * {percent} <= 100 * n and n * {percent} <= 100 * high").select("sid", "slice").distinct()
+    asked = written(asked, "shingle-asked")
+    out = written(links.unionByName(met(asked, after)), "shingle-links")
+    dropped(at, leaders, links, after, main, rest, each, asked)
+    return out
 
 
-def grouped(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(``id_col``, n_shingles, component_id) of each row: the size of its set of word ``k``-grams, and the least id that links
-    lead to, where two documents link at Jaccard similarity of ``percent`` / 100 or more.
+def _sets(it_columns: int, k: int):
+    """Adds to rows whose last column is a text the set and its digest in place of the text, in batches of bounded bytes."""
 
-    A null or empty text has no shingles and links with nothing; equal texts are one component; repeated ids keep a row
-    each; rows with a null id take no part in the least id unless all are null. Other columns are not read.
-    """
+    def run(it):
+        for b in it:
+            at, sets, size = 0, [], 0
+            texts = b.column(it_columns).to_pylist()
+            for i, t in enumerate(texts):
+                sets.append(shingles(t, k))
+                size += sets[-1].nbytes
+                if size >= BATCH_BYTES or i == len(texts) - 1:
+                    part = b.slice(at, i + 1 - at)
+                    yield pa.RecordBatch.from_arrays([*part.columns[:it_columns], pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([set_digest(x) if len(x) else None for x in sets], pa.binary())], [*b.schema.names[:it_columns], "s", "own"])
+                    at, sets, size = i + 1, [], 0
+
+    return run
+
+
+def _found(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, h, n, root) of each row, written: its id as a long, its text's hash, its set's size, its component (null: none)."""
     spark = docs.sparkSession
-    small_batches(spark)
     parts = shuffle_partitions(spark)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    text = F.col(text_col).cast("string")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"))
     every = written(_facts(texts, k), "shingle-facts")
     facts = every.where("gram is null").drop("gram")
     total = facts.agg(F.sum("n")).first()[0] or 0
     often = every.where("gram is not null").groupBy("gram").agg(F.sum("n").alias("times")).where(F.col("times") >= max(64, total // HOT_MOST + 1))
-    hot = np.sort(often.select("gram").toPandas()["gram"].to_numpy(np.int64).view(np.uint64))
-    shards = max(24, math.ceil(total * (100 - percent) / percent * 2.5 * 8 / SHARD_BYTES))
-    blocks = components(_block_edges(texts, k, percent, shards, hot), "shingle-blocks").withColumnRenamed("root", "block")
+    hot = spark.sparkContext.broadcast(np.sort(often.select("gram").toPandas()["gram"].to_numpy(np.int64).view(np.uint64)))
+    shards = max(24, SHARDS * parts, math.ceil(total * (100 - percent) / percent * 2.5 * 8 / SHARD_BYTES))
+    blocks = components(_block_edges(texts.select("doc_id", "text"), k, percent, shards, hot), "shingle-blocks").withColumnRenamed("root", "block")
     # One row for each set in a block of two or more.
-    sets = facts.where("n > 0").groupBy("sid", "node").agg(F.min("doc_id").alias("doc_id"))
-    sets = written(sets.join(blocks, "node").select("sid", "doc_id", "block"), "shingle-sets")
-    counts = sets.groupBy("block").agg(F.count("*").alias("c")).where("c > 1").withColumn("slices", F.ceil(F.col("c") / SLICE)).select("block", "slices")
-    placed = written(sets.join(written(counts, "shingle-counts"), "block").withColumn("slice", F.pmod(F.xxhash64("sid"), F.col("slices"))).select("doc_id", "sid", "block", "slice", "slices"), "shingle-placed")
-
-    def sets_of(it):
-        for b in it:
-            s = [shingles(t, k) for t in b.column(4).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array([x.tobytes() for x in s], pa.binary()), pa.array([set_digest(x) if len(x) else None for x in s], pa.binary())], ["block", "slice", "slices", "sid", "s", "own"])
-
-    # Up to so many places are broadcast (about 50 bytes each), beyond, texts are shuffled to them.
+    sets = facts.where("n > 0").groupBy("sid", "node", "n").agg(F.min("doc_id").alias("doc_id"))
+    sets = written(sets.join(blocks, "node").select("sid", "n", "doc_id", "block"), "shingle-sets")
+    slices = F.greatest(F.ceil(F.count("*") / SLICE), F.ceil(F.sum("n") / SLICE_GRAMS))
+    counts = written(sets.groupBy("block").agg(F.count("*").alias("c"), slices.alias("slices")).where("c > 1").select("block", "slices"), "shingle-counts")
+    placed = written(sets.join(counts, "block").withColumn("slice", F.pmod(F.xxhash64("sid"), F.col("slices"))).select("doc_id", "sid", "n", "block", "slice", "slices"), "shingle-placed")
+    # Up to so many places are broadcast (about 60 bytes each), beyond, texts are shuffled to them.
     near = placed.limit(200_001).count() <= 200_000
-    some = texts.join(F.broadcast(placed) if near else placed, "doc_id").select("block", "slice", "slices", "sid", "text")
+    some = texts.select("doc_id", "text").join(F.broadcast(placed) if near else placed, "doc_id").select("block", "slice", "slices", "sid", "n", "text")
     # A repeated id may have other texts: the digest tells them apart.
-    incidence = some.mapInArrow(sets_of, "block long, slice long, slices long, sid binary, s binary, own binary").where("sid = own").drop("own")
+    incidence = some.mapInArrow(_sets(5, k), "block long, slice long, slices long, sid binary, n long, s binary, own binary").where("sid = own").drop("own")
+    if placed.where("doc_id is null").limit(1).count():  # sets without an id are found by their digest
+        bare = texts.where("doc_id is null").select("text").mapInArrow(_sets(0, k), "s binary, own binary").where("own is not null")
+        incidence = incidence.unionByName(bare.join(placed.where("doc_id is null"), F.col("own") == F.col("sid")).select(*incidence.columns))
     large = bool(placed.where("slices > 1").limit(1).count())
     if large:
         incidence = written(incidence, "shingle-incidence")
     inner = incidence.select("block", "slice", "sid", "s").repartition(parts, "block", "slice").sortWithinPartitions("block", "slice", "sid")
     links = written(inner.mapInArrow(_within(percent), "a binary, b binary"), "shingle-links")
     if large:
-        links = written(_large(incidence.where("slices > 1"), links, percent), "shingle-links")
+        inner_links = links
+        links = _large(incidence.where("slices > 1"), links, percent, hot)
+        dropped(inner_links)
     found = written(components(links, "shingle-components"), "shingle-found")
-    rooted = written(facts.join(found.withColumnRenamed("node", "sid"), "sid", "left").select("doc_id", "n", F.coalesce("root", "sid").alias("root")), "shingle-rooted")
+    out = written(facts.join(found.withColumnRenamed("node", "sid"), "sid", "left").select("doc_id", "h", "n", F.coalesce("root", "sid").alias("root")), "shingle-rooted")
+    dropped(every, sets, counts, placed, links, found, *([incidence] if large else []))
+    hot.unpersist()
+    return out
+
+
+def grouped(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(``id_col``, n_shingles, component_id) of each row: the size of its set of word ``k``-grams, and the least id that links
+    lead to, where two documents link at Jaccard similarity of ``percent`` / 100 or more.
+
+    A null or empty text has no shingles and links with nothing; equal texts are one component; repeated ids keep a row
+    each; rows with a null id link like others, but take no part in the least id unless all are null. Other columns are not
+    read.
+    """
+    with small_batches(docs.sparkSession):
+        rooted = _found(docs, k, percent, id_col, text_col)
     least = written(rooted.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least")), "shingle-least")
     kind = docs.schema[id_col].dataType.simpleString()
     return rooted.join(least, "root", "left").select(F.col("doc_id").cast(kind).alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").cast(kind).alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` without the documents of each component but its least id; rows without words stay."""
-    found = grouped(docs, k, percent, id_col)
-    gone = written(found.where(F.col("component_id") != F.col(id_col)).select(id_col).distinct(), "shingle-gone")
-    return restricted(docs, gone, id_col, "left_anti")
+def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one document of each component: that of the least id, null ids last, among texts of one id (or of none)
+    that of the least hash. Rows that agree in id and text are one document and share its fate; rows without words stay."""
+    with small_batches(docs.sparkSession):
+        rooted = _found(docs, k, percent, id_col, text_col).where("root is not null")
+    best = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h")).alias("best"))
+    gone = rooted.join(best, "root").where("not (doc_id <=> best.doc_id and h = best.h)").select(F.col("doc_id").alias("gone_id"), F.col("h").alias("gone_h")).distinct()
+    gone = written(gone, "shingle-gone")
+    dropped(rooted)
+    # Up to a million rows (16 bytes each) are broadcast, so that texts stay where they are; beyond, both sides are shuffled.
+    if gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    return docs.join(gone, docs[id_col].cast("long").eqNullSafe(F.col("gone_id")) & (F.xxhash64(docs[text_col].cast("string")) == F.col("gone_h")), "left_anti")

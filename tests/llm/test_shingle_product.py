@@ -98,6 +98,55 @@ def test_product():
     assert list(map(tuple, s.product(sets[:10], sets[10:], 70).tolist())) == cross
 
 
+def test_product_of_long_sets(monkeypatch):
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 2**64 - 1, 5000, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([rng.permutation(base)[: rng.integers(3500, 5000)], rng.integers(0, 2**64 - 1, 300, dtype=np.uint64)])) for _ in range(12)]
+    whole = s.product(sets, None, 80).tolist()
+    assert 0 < len(whole) < 66
+    monkeypatch.setattr(s, "PRODUCT_GRAMS", 7000)  # many ranges
+    assert s.product(sets, None, 80).tolist() == whole
+    assert sorted(map(tuple, s.product(sets[:5], sets[5:], 80).tolist())) == [(i, j - 5) for i, j in whole if i < 5 <= j]
+
+
+def test_very_long_documents(spark):
+    """Two copies of five million words but for some, and a short one: the keys of one set exceed 16 bits by far."""
+    import numpy.random
+
+    words = [f"w{x:x}" for x in numpy.random.default_rng(3).integers(0, 1 << 40, 5_000_000).tolist()]
+    other = words[:4_950_000] + ["other"] * 50_000
+    df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(other)), (3, "one two three four five")], "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in s.grouped(df).collect()} == {1: 1, 2: 1, 3: 3}
+
+
+def test_large_blocks_of_long_sets(spark, monkeypatch):
+    """A block is cut by its n-grams: sets of 20,000 n-grams, some of them only near a part of the others."""
+    monkeypatch.setattr(s, "SLICE_GRAMS", 200_000)
+    rng = random.Random(9)
+    rows = []
+    for group in range(3):
+        base = [f"w{rng.randrange(10**9)}" for _ in range(20_000)]
+        for _ in range(20):
+            w = list(base)
+            lo = rng.randrange(18_000)
+            w[lo : lo + 300 * (1 + group)] = [f"x{rng.randrange(10**9)}" for _ in range(300 * (1 + group))]
+            rows.append((len(rows), " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {r["doc_id"]: r["component_id"] for r in s.grouped(df).collect()} == {i: i // 20 * 20 for i in range(60)}
+
+
+def test_one_of_each_by_row(spark):
+    long = "a b c d e f g h i j k l m n o p q r s t"
+    near = long + " u"
+    rows = [(7, long), (7, "other words of the same id here"), (7, long), (9, near), (None, near), (None, "x y z x y z x"), (None, "x y z x y z x"), (None, "X y z x y z x"), (4, None), (4, None)]
+    got = s.one_of_each(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, h long")).collect()
+    # Equal rows are one document; of the texts without an id one stays, with its equals.
+    kept = sorted((r["doc_id"] or 0, r["text"] or "") for r in got)
+    nameless = [t for i, t in kept if not i]
+    assert [x for x in kept if x[0]] == [(4, ""), (4, ""), (7, long), (7, long), (7, "other words of the same id here")]
+    assert nameless in (["x y z x y z x"] * 2, ["X y z x y z x"])
+
+
 def test_odd_rows(docs, no_docs):
     rows = s.grouped(docs).collect()
     assert len(rows) == 8 and s.grouped(no_docs).count() == 0
