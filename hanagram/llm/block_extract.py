@@ -1,8 +1,10 @@
 """Main text of web pages by two passes of block rules.
 
 The first pass labels each block by itself: its place (navigation, forms, adverts, comments), its link density, its length
-and its share of stop words. Blocks that stay open (short ones) take in the second pass the label of the nearest decided
-blocks, those of the same container first.
+and its share of stop words. Blocks that stay open (short ones, headings, those of middling density) take in the second
+pass the label of the nearest decided blocks, within an article those of the article.
+
+Pages are read front to back by a scanner that never goes back, so that broken markup costs no more than any other.
 """
 
 from __future__ import annotations
@@ -25,11 +27,68 @@ HINTS = frozenset("ad ads adv advert adverts advertisement advertising banner sp
 #: Frequent words of four languages.
 STOPWORDS = frozenset("the of and to in a is that it for on was be with as by at are this from or an not der die das und in zu den von mit ist des sich auf für als dem ein eine le la les de des et un une du en que qui dans pour par est sur au el los las y del se no con por su para una es lo al como".split())
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
-_ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
-_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
+#: Elements that an end tag of an inner element doesn't close.
+SECTIONS = frozenset("article main section div body nav aside footer header form td table".split())
+#: End tags that reach past such elements.
+REACHING = frozenset("article main body html section div nav aside footer header form table".split())
+
+_ATTR = re.compile(r"(?<![a-zA-Z-])([a-zA-Z-]++)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]++))")
+_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in RAW}
+_TAG_NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*")
+_STOP = re.compile(r"[>\"']")
 _WORD = re.compile(r"[^\W\d_]+")
 _NAME = re.compile(r"[a-z]+")
+_NUMBER = re.compile(r"&#(?:0*([0-9]*)|[xX]0*([0-9a-fA-F]*));?")
+
+
+def decoded(text: str) -> str:
+    """Character references as characters; a number beyond all characters, however long, is the replacement character."""
+    if "&" not in text:
+        return text
+    return _html.unescape(_NUMBER.sub(lambda m: "\ufffd" if len(m[1] or m[2] or "") > 7 else m[0], text))
+
+
+def scanned(page: str):
+    """(text before it, closing, name, attributes) of each tag; name is empty for comments, declarations and the end. Raw elements
+    have no content. A tag that never ends takes the rest of the page with it."""
+    at = look = 0
+    size, last = len(page), page.rfind(">")
+    quotes = True  # until a quoted value runs to the end of the page: then a tag ends at the next >
+    while (lt := page.find("<", look)) >= 0:
+        m = _TAG_NAME.match(page, lt + 1 + page.startswith("/", lt + 1))
+        if not m and not page.startswith(("!", "?", "/"), lt + 1):
+            look = lt + 1  # a sign of its own
+            continue
+        if not m:
+            end = page.find("-->", lt + 4) + 2 if page.startswith("<!--", lt) else page.find(">", lt)
+            end = end if end > lt + 1 else size - 1
+            yield page[at:lt], False, "", ""
+            at = look = end + 1
+            continue
+        if lt > last:
+            yield page[at:lt], False, "", ""
+            return
+        end = -1
+        if quotes:
+            look = m.end()
+            while (q := _STOP.search(page, look)) and q[0] != ">":
+                look = page.find(q[0], q.end()) + 1
+                if not look:
+                    q = None
+                    break
+            quotes = q is not None
+            end = q.start() if q else -1
+        if end < 0:
+            end = page.find(">", m.end())
+        name = m[0].lower()
+        closing = page[lt + 1] == "/"
+        yield page[at:lt], closing, name, page[m.end() : end]
+        at = look = end + 1
+        if name in _END and not closing:
+            stop = _END[name].search(page, at)
+            end = page.find(">", stop.end()) if stop else -1
+            at = look = end + 1 if end >= 0 else size
+    yield page[at:], False, "", ""
 
 
 @dataclass
@@ -37,7 +96,7 @@ class Container:
     tag: str
     up: Container | None
     boiler: bool
-    article: bool
+    article: Container | None  # the outermost article or main element around it
 
 
 @dataclass
@@ -66,123 +125,121 @@ def _hinted(attrs: str) -> bool:
 def blocks(page: str) -> list[Block]:
     """The page's text blocks in order, with character references decoded and white space turned into single blanks."""
     out: list[Block] = []
-    root = Container("", None, False, False)
+    root = Container("", None, False, None)
     stack = [root]
-    links = 0
+    spots: dict[str, list[int]] = {}  # where in the stack each tag stands
+    sections: list[int] = []
+    links = False
     block = Block(root)
 
     def close() -> None:
         nonlocal block
-        block.text = " ".join(_html.unescape("".join(block.parts)).split())
+        block.text = " ".join(decoded("".join(block.parts)).split())
         if block.text:
             out.append(block)
         block = Block(stack[-1], heading=stack[-1].tag[:1] == "h" and stack[-1].tag[1:].isdigit())
 
-    def add(text: str) -> None:
+    def pop(to: int) -> None:
+        while len(stack) > to:
+            gone = stack.pop()
+            spots[gone.tag].pop()
+            if sections and sections[-1] == len(stack):
+                sections.pop()
+
+    for text, closing, tag, attrs in scanned(page):
         if text:
             block.parts.append(text)
             if links:
-                block.linked += len("".join(_html.unescape(text).split()))
-
-    at = 0
-    while m := _TAG.search(page, at):
-        add(page[at : m.start()])
-        at = m.end()
-        tag = (m[2] or "").lower()
-        if not tag:
-            continue
-        closing, attrs = bool(m[1]), m[3]
-        if tag in _END and not closing:
-            end = _END[tag].search(page, at)
-            at = end.end() if end else len(page)
-            continue
+                block.linked += len("".join(decoded(text).split()))
         if tag == "br":
             block.parts.append("\n")
+        elif tag == "a":
+            links = not closing
+        elif not tag or tag in _END and not closing:
             continue
-        if tag == "a":
-            links = 0 if closing else 1
-            continue
-        edge = tag in BLOCK
-        if tag in VOID:
-            if edge:
+        elif tag in VOID:
+            if tag in BLOCK:
                 close()
-            continue
-        if closing:
+        elif closing:
             # An end tag closes what is open up to its element, but nothing outside a section for an inner tag's sake.
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
-                if stack[k].tag in ("article", "main", "section", "div", "body", "nav", "aside", "footer", "header", "form", "td", "table") and tag not in ("article", "main", "body", "html", "section", "div", "nav", "aside", "footer", "header", "form", "table"):
-                    break
-            if edge:
+            if (at := spots.get(tag)) and (tag in REACHING or not sections or sections[-1] <= at[-1]):
+                pop(at[-1])
+            if tag in BLOCK:
                 close()
-            continue
-        if edge and stack[-1].tag == "p":
-            stack.pop()  # a paragraph ends where another block begins
-        if tag in ("li", "dd", "dt", "option", "tr", "td", "th") and stack[-1].tag == tag:
-            stack.pop()
-        if edge or tag in BOILER or _hinted(attrs):
-            up = stack[-1]
-            boiler = up.boiler or tag in BOILER or tag not in ("html", "body", "main", "article") and _hinted(attrs) or tag == "header" and not up.article
-            stack.append(Container(tag, up, boiler, tag in ("article", "main") or up.article))
-            if edge:
-                links = 0 if tag != "p" else links
-                close()
-            elif boiler:
-                close()
-    add(page[at:] if "<" not in page[at:] else page[at : page.index("<", at)])
+        else:
+            edge = tag in BLOCK
+            if edge and stack[-1].tag == "p" or tag in ("li", "dd", "dt", "option", "tr", "td", "th") and stack[-1].tag == tag:
+                pop(len(stack) - 1)  # it ends where another block begins
+            if edge or tag in BOILER or _hinted(attrs):
+                up = stack[-1]
+                boiler = up.boiler or tag in BOILER or tag not in ("html", "body", "main", "article") and _hinted(attrs) or tag == "header" and not up.article
+                new = Container(tag, up, boiler, up.article)
+                if tag in ("article", "main") and not up.article:
+                    new.article = new
+                spots.setdefault(tag, []).append(len(stack))
+                if tag in SECTIONS:
+                    sections.append(len(stack))
+                stack.append(new)
+                if edge and tag != "p":
+                    links = False
+                if edge or boiler:
+                    close()
     close()
     return out
 
 
 def first_pass(block: Block, max_link_density: float, long: int, stop_high: float, stop_low: float) -> str:
-    """good, bad or short (open) for a block by itself."""
+    """good, bad or open for a block by itself."""
     n = len(block.text.replace(" ", ""))
+    article = block.container.article is not None
     if block.container.boiler:
         return "bad"
-    if block.linked > max_link_density * n and not (block.container.article and n >= long):
-        return "bad"
-    if block.container.article:
-        return "good" if n >= long and not block.heading else "short"
-    if re.match(r"(?:©|\(c\)|copyright\b)", block.text, re.I):
+    if block.linked > max_link_density * n:
+        return "open" if article and n >= long else "bad"
+    if not article and re.match(r"(?:©|\(c\)|copyright\b)", block.text, re.I):
         return "bad"
     if n < long or block.heading:
-        return "short"
+        return "open"
     words = _WORD.findall(block.text.lower())
     share = sum(w in STOPWORDS for w in words) / max(1, len(words))
-    return "good" if share >= stop_high else "short" if share >= stop_low else "bad"
+    return "good" if share >= stop_high else "open" if article or share >= stop_low else "bad"
 
 
 def second_pass(found: list[Block], labels: list[str]) -> list[bool]:
-    """Whether each block is kept: an open one inherits from the nearest decided blocks.
+    """Whether each block is kept: an open one inherits from the nearest decided blocks, a heading from the one that follows.
 
-    Those of its own container count first; inside an article or main element the element itself is evidence. Elsewhere
-    both sides have to be good; a heading only asks the side that follows.
+    Within an article (or main element) its own blocks count, without those of adverts, forms and the like in it; an open
+    block goes only if all that it sees is bad, and where nothing is decided the article itself is evidence. Elsewhere a
+    block stays if all decided blocks of its container are good, or the nearest ones on both sides.
     """
-    n = len(found)
-    near: list[list[int]] = [[-1] * n, [-1] * n]
     own: dict[int, set[str]] = {}
-    for k, (b, label) in enumerate(zip(found, labels)):
-        if label != "short":
+    for b, label in zip(found, labels):
+        if label != "open":
             own.setdefault(id(b.container.up or b.container), set()).add(label)
             own.setdefault(id(b.container), set()).add(label)
-    for side, order in enumerate((range(n), range(n - 1, -1, -1))):
-        last = -1
+    # near[side][k]: the label of the nearest decided block before or after k, in its article or on the page.
+    near: list[list[str | None]] = [[None] * len(found), [None] * len(found)]
+    for side, order in enumerate((range(len(found)), range(len(found) - 1, -1, -1))):
+        last: dict[int | None, str] = {}
         for k in order:
-            near[side][k] = last
-            if labels[k] != "short":
-                last = k
+            b = found[k]
+            place = id(b.container.article) if b.container.article else None
+            near[side][k] = last.get(place)
+            if labels[k] != "open":
+                last[None] = labels[k]
+                if place and not b.container.boiler:
+                    last[place] = labels[k]
     kept = []
     for k, (b, label) in enumerate(zip(found, labels)):
-        if label != "short":
+        sides = [near[s][k] for s in (0, 1)]
+        if label != "open":
             kept.append(label == "good")
         elif b.container.article:
-            kept.append(True)
+            seen = [x for x in (sides[:0:-1] if b.heading and sides[1] else sides) if x]
+            kept.append(not seen or "good" in seen)
         else:
             mine = own.get(id(b.container)) or own.get(id(b.container.up or b.container)) or set()
-            sides = [near[s][k] >= 0 and labels[near[s][k]] == "good" for s in (0, 1)]
-            kept.append(mine == {"good"} or (sides[1] if b.heading else all(sides)))
+            kept.append(mine == {"good"} or (sides[1] == "good" if b.heading else sides == ["good", "good"]))
     return kept
 
 
