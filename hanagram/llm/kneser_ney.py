@@ -23,8 +23,11 @@ from .common import dropped, restricted, small_batches, written
 
 ORDER = 5
 BITS = 12
+#: Code points below NARROW are codes themselves; UPPER codes follow for the upper bits of the others, 1,024 for the lower ones.
+UPPER = 0x10FFFF + 1 >> 10
+NARROW = (1 << BITS) - UPPER - 1024
 #: Characters of a block.
-BLOCK_CHARS = 24_000_000
+BLOCK_CHARS = 16_000_000
 #: Characters of which n-grams are made at once.
 PIECE_CHARS = 1_000_000
 #: A threshold is the median of the trusted log-perplexities plus WIDTH times the distance from it to the QUANTILE.
@@ -38,15 +41,39 @@ _TAG = [np.int64(n << BITS * ORDER) for n in range(ORDER + 1)]
 
 def codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """12-bit codes of the words' characters, each word ended by a 1 (the blank after it) and led by ORDER - 1 zeros, and the
-    starts of the words. Code points from 2048 share codes by their remainder."""
+    starts of the words."""
     return _coded(["\0" * (ORDER - 1) + w + "\1" for w in words])
 
 
-def _coded(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def units(word: str) -> int:
+    """How many codes a word is."""
+    return len(word) if word.isascii() else len(word) + sum(ord(c) >= NARROW for c in word)
+
+
+def _coded(strings: list[str], context: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The strings' codes and where each begins. A code point from NARROW on is two codes, one for its upper and one for its lower
+    bits, so that no two characters are confused. ``context`` marks strings that begin with ORDER - 1 characters of context,
+    which are left at ORDER - 1 codes."""
     c = np.frombuffer("".join(strings).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    c = np.where(c < 2048, c, 2048 + c % 2039)
     size = np.fromiter(map(len, strings), np.int64, len(strings))
-    return c, np.cumsum(size) - size
+    ends = np.cumsum(size)
+    wide = c >= NARROW
+    if wide.any():
+        at = np.concatenate([[0], np.cumsum(wide + 1)])
+        out = np.empty(at[-1], np.int64)
+        out[at[:-1]] = np.where(wide, NARROW + (c >> 10), c)
+        out[at[1:][wide] - 1] = NARROW + UPPER + (c[wide] & 1023)
+        first = at[ends - size]
+        if context is not None and context.any():
+            more = np.where(context, at[np.minimum(ends - size + ORDER - 1, ends)] - first - (ORDER - 1), 0)
+            keep = np.ones(len(out), bool)
+            for lo, n in zip(first[more > 0].tolist(), more[more > 0].tolist()):
+                keep[lo : lo + n] = False
+            out, size = out[keep], at[ends] - first - more
+        else:
+            size = at[ends] - first
+        c, ends = out, np.cumsum(size)
+    return c, ends - size
 
 
 def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -72,10 +99,10 @@ def running(texts, chars: int = PIECE_CHARS):
     """(keys, numbers): the ORDER-gram key that ends at each character of each text's line (and the blank after it), and the
     text's number; in pieces of about ``chars`` characters, which bounds the arrays. A longer line is cut, and the next piece
     begins with the characters that the context needs, so that no n-gram is lost."""
-    strings, numbers, held = [], [], 0
+    strings, numbers, goes_on, held = [], [], [], 0
 
     def made():
-        keys, at = _keys(*_coded(strings))
+        keys, at = _keys(*_coded(strings, np.array(goes_on)))
         return keys, np.array(numbers, np.int64)[at]
 
     for number, text in enumerate(texts):
@@ -86,10 +113,11 @@ def running(texts, chars: int = PIECE_CHARS):
         for lo in range(0, len(line) - ORDER + 1, chars):
             strings.append(line[lo : lo + chars + ORDER - 1])
             numbers.append(number)
+            goes_on.append(lo > 0)
             held += len(strings[-1])
             if held >= chars:
                 yield made()
-                strings, numbers, held = [], [], 0
+                strings, numbers, goes_on, held = [], [], [], 0
     if strings:
         yield made()
 
@@ -108,6 +136,9 @@ def counted(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def words_of(text: str) -> list[str]:
+    """A text's words. U+0000 and U+0001, which stand for what is before a line and for the blank, count as white space."""
+    if "\0" in text or "\1" in text:
+        text = text.replace("\0", " ").replace("\1", " ")
     return text.split()
 
 
@@ -216,12 +247,14 @@ def model(counts: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
 
 
 def squeezed(ids: np.ndarray) -> bytes:
-    """Ascending ids as compressed differences."""
-    return zstandard.ZstdCompressor(level=3).compress(np.diff(ids, prepend=np.int64(0)).tobytes())
+    """Ascending ids as compressed differences, byte by byte of equal weight."""
+    planes = np.diff(ids, prepend=np.int64(0)).astype("<i8").view(np.uint8).reshape(-1, 8).T
+    return zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
 
 
 def unsqueezed(data: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(zstandard.ZstdDecompressor().decompress(data, max_output_size=1 << 31), np.int64))
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data, max_output_size=1 << 32), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<i8").ravel())
 
 
 def wanted(keys: np.ndarray) -> np.ndarray:
@@ -330,7 +363,7 @@ def _scores(blocks: DataFrame, answers: DataFrame, across: bool) -> DataFrame:
                     logs = np.log(np.maximum(probabilities(distinct, ids, alpha, gamma), 1e-30))
                     known.update(zip(new, np.bincount(word, logs[at], len(new)).tolist()))
                 for doc, trusted, ws in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), texts):
-                    n = sum(map(len, ws)) + len(ws)
+                    n = sum(map(units, ws)) + len(ws)
                     out.append((doc, lang, trusted, n, -sum(map(known.__getitem__, ws)) / n if n and len(ids) else None, False))
         return pa.table({c: pa.array([r[i] for r in out], t) for i, (c, t) in enumerate((("doc_id", pa.int64()), ("lang", pa.string()), ("trusted", pa.bool_()), ("n_units", pa.int64()), ("log_perplexity", pa.float64()), ("held", pa.bool_())))})
 
@@ -343,9 +376,13 @@ def scored(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col
     estimated without.
 
     A null language is the language "". Without words, or in a language without trusted words, log_perplexity is null.
-    Repeated rows are scored each.
+    Repeated rows are scored each. A character from U+07C0 on is two units.
     """
-    small_batches(docs.sparkSession)
+    with small_batches(docs.sparkSession):
+        return _scored(docs, trusted, id_col, text_col, lang_col, across)
+
+
+def _scored(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str, lang_col: str, across: bool) -> DataFrame:
     ids = written(trusted.select(F.col(id_col)).where(F.col(id_col).isNotNull()).distinct().withColumn("trusted", F.lit(True)), "kn-trusted")
     # Up to a million ids (8 MB) are broadcast; beyond, the join is a shuffled one.
     near = ids.limit(1_000_001).count() <= 1_000_000

@@ -7,9 +7,14 @@ import pytest
 from hanagram.llm import kneser_ney as k
 
 
+def wide(text):
+    """A text whose characters from U+07C0 on are two characters each."""
+    return "".join(c if ord(c) < 0x7C0 else chr(0x10000 + ord(c) // 1024) + chr(0x20000 + ord(c) % 1024) for c in text)
+
+
 def brute(trusted, text):
     """The log-perplexity of a text by loops over strings."""
-    n = k.ORDER
+    n, trusted, text = k.ORDER, list(map(wide, trusted)), wide(text)
     top = Counter()
     for t in trusted:
         for w in t.split():
@@ -93,3 +98,22 @@ def test_running_keeps_every_gram():
             for key, i in zip(keys.tolist(), number.tolist()):
                 got[i].append(key)
         assert got == whole
+
+
+def test_wide_characters_are_told_apart():
+    keys = [k.grams([chr(c)])[0].tolist() for c in (0x4E00, 0x4E00 + 2039, 0x4E00 + 1024, 0x7C0, 0x10FFFF, 0x61)]
+    assert len(set(map(tuple, keys))) == len(keys) and [len(x) for x in keys] == [3, 3, 3, 3, 3, 2]
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("ab 東京大学図書館\0\1") for _ in range(rng.randrange(60))) for _ in range(50)]
+    whole = [x.tolist() for _, x in zip([0], [next(k.running(texts))[0]])][0]
+    for chars in (7, 30):  # pieces
+        assert [x for keys, _ in k.running(texts, chars) for x in keys.tolist()] == whole
+    lines = ["\0" * 4 + wide("\1".join(t.replace("\0", " ").replace("\1", " ").split())) + "\1" for t in texts if t.replace("\0", "").replace("\1", "").strip()]
+    assert len(whole) == sum(len(x) - 4 for x in lines) and len(set(whole)) == len({x[i : i + 5] for x in lines for i in range(len(x) - 4)})
+
+
+def test_ids_survive_compression():
+    import numpy as np
+
+    ids = np.unique(np.random.default_rng(1).integers(0, 1 << 62, 5000))
+    assert (k.unsqueezed(k.squeezed(ids)) == ids).all() and len(k.unsqueezed(k.squeezed(ids[:0]))) == 0
