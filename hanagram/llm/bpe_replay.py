@@ -1,27 +1,40 @@
-"""Byte-level BPE by replaying merges over a slice of the corpus.
-
-The words (matches of the split pattern) of a slice of documents are laid out in one row of byte positions, and an inverted
-index leads from each rank to the positions whose token pair has that rank. Ranks are taken in ascending order; a merge
-touches only its two neighbours and enters their new pairs into the index. Within a rank positions go from left to right,
-and a pair of lower rank that a merge makes is taken next, so every word gets the ids of the one-word algorithm.
+"""Byte-level BPE by replaying merges over the corpus.
+
+Texts are cut into chunks between which no match of the split pattern lies, and stand in blocks. Each block asks shards for its
+distinct chunks; a shard lays out the distinct words of all chunks that the corpus asks it for in one row of byte
+positions, with an inverted index that leads from each rank to the positions whose token pair has that rank. Ranks are taken
+in ascending order; a merge touches only its two neighbours and enters their new pairs into the index. The ids return to
+the blocks, where they are put in the order of the texts. So a chunk is worked on once in the corpus, and no task holds
+more than its shard's or its block's chunks.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import math
 from collections.abc import Iterator
-from heapq import heappop, heappush
+from heapq import heapify, heappop, heappush
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words whose ids a worker keeps.
-KEPT = 250_000
+from .common import written
+from .word_merges import Ragged
+
+#: Characters of a block, and of a slice of words whose merges are replayed together.
+BLOCK_CHARS, SLICE_CHARS = 8_000_000, 12_000_000
+#: Bytes of text for each shard; its distinct chunks are a part of them.
+SHARD_BYTES = 16 << 20
+#: How often the merges of one rank may be held up in a word by those of lower ranks before the word is encoded by itself.
+HOLD_UPS = 64
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -40,6 +53,11 @@ class Merges:
         self.pairs = np.array(sorted(found), np.int64)
         self.made = np.array([found[p] for p in self.pairs.tolist()], np.int32)
         self.byte = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int32)
+        # Tokens that are part of a pair which makes a token of lower rank.
+        self.early = np.zeros(max(ranks.values(), default=0) + 1, bool)
+        for part in (self.pairs >> 24, self.pairs & (1 << 24) - 1):
+            self.early[part[self.made < part]] = True
+        self._table: dict[int, int] = {}
 
     def __call__(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each pair, or -1."""
@@ -49,6 +67,12 @@ class Merges:
         at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
         return np.where(self.pairs[at] == key, self.made[at], -1)
 
+    def table(self) -> dict[int, int]:
+        """Which token each pair makes, as a dict."""
+        if not self._table:
+            self._table = dict(zip(self.pairs.tolist(), self.made.tolist()))
+        return self._table
+
 
 def replay(words: list[bytes], ranks: dict[bytes, int], merges: Merges) -> list[list[int]]:
     """The ids of each word. A word that is a token itself is that token; a byte without a token is an error."""
@@ -89,86 +113,171 @@ def replay(words: list[bytes], ranks: dict[bytes, int], merges: Merges) -> list[
 
     pairs = np.flatnonzero(after >= 0)
     enter(pairs, merges(token[pairs], token[pairs + 1]))
+    held_up = np.zeros(len(sizes), np.int32)
+    alone: dict[int, list[int]] = {}
     while order:
         r = heappop(order)
         spots = index.pop(r)
         at = spots[0] if len(spots) == 1 else np.unique(np.concatenate(spots))
         at = at[rank_of[at] == r]
-        if len(at) > 1:  # the leftmost of each word; its new pairs may come before the others
-            w = word[at]
-            first = np.ones(len(at), bool)
-            first[1:] = w[1:] != w[:-1]
-            if not first.all():
-                index[r] = [at[~first]]
-                heappush(order, r)
-                at = at[first]
-        elif not len(at):
+        if not len(at):
             continue
+        every = at
+        # Of pairs that overlap (x x x) the first, third and so on are merged.
+        linked = np.zeros(len(at), bool)
+        linked[1:] = after[at[:-1]] == at[1:]
+        if linked.any():
+            number = np.arange(len(at))
+            at = at[(number - np.maximum.accumulate(np.where(linked, 0, number))) % 2 == 0]
         gone = after[at]
         right, left = after[gone], before[at]
+        if merges.early[r] and len(at) > 1:
+            # A pair that a merge makes may have a lower rank, and comes before what is to the right in its word.
+            beside = np.zeros(len(at), bool)
+            beside[1:] = left[1:] == gone[:-1]
+            low = np.full(len(at), 1 << 30, np.int32)
+            for has, x, y in ((left >= 0, np.where(beside, r, token[left]), r), (right >= 0, r, token[right])):
+                new = merges(np.broadcast_to(x, len(at))[has], np.broadcast_to(y, len(at))[has])
+                low[has] = np.minimum(low[has], np.where(new >= 0, new, 1 << 30))
+            if (low < r).any():
+                w = word[at]
+                start = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
+                before_here = np.cumsum(low < r) - (low < r)
+                late = before_here > np.repeat(before_here[start], np.diff(np.append(start, len(at))))
+                if late.any():
+                    some = np.unique(w[late])
+                    index[r] = [every[np.isin(word[every], some)]]  # what is merged now no longer has this rank then
+                    heappush(order, r)
+                    held_up[some] += 1
+                    for k in some[held_up[some] > HOLD_UPS].tolist():
+                        alone[k] = alone_ids(words[open_[k]], merges)
+                        rank_of[last[k] - sizes[k] + 1 : last[k] + 1] = -1
+                    at, gone, right, left = at[~late], gone[~late], right[~late], left[~late]
         token[at] = r
         alive[gone] = False
         rank_of[gone] = -1
         after[at] = right
         has = right >= 0
+        before[right[has]] = at[has]
         rank_of[at[~has]] = -1
-        a, k = at[has], right[has]
-        before[k] = a
-        h, b = left[left >= 0], at[left >= 0]
-        enter(np.concatenate([a, h]), merges(token[np.concatenate([a, h])], token[np.concatenate([k, b])]))
+        # Pairs that begin at a merged token, and those that end at one; what follows or comes before may be merged as well.
+        both = np.unique(np.concatenate([at[has], before[at[left >= 0]]]))
+        both = both[held_up[word[both]] <= HOLD_UPS] if alone else both
+        enter(both, merges(token[both], token[after[both]]))
     ids = token[alive].tolist()
     ends = np.cumsum(np.bincount(word[alive], minlength=len(sizes))).tolist()
     at = 0
-    for k, end in zip(open_, ends):
-        out[k] = ids[at:end]
+    for n, (k, end) in enumerate(zip(open_, ends)):
+        out[k] = alone.get(n) or ids[at:end]
         at = end
     return out
 
 
+def alone_ids(word: bytes, merges: Merges) -> list[int]:
+    """The ids of one word by a heap of its pairs."""
+    made = merges.table()
+    token = merges.byte[np.frombuffer(word, np.uint8)].tolist()
+    n = len(token)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    rank = [made.get(a << 24 | b, -1) for a, b in zip(token, token[1:])] + [-1]
+    heap = [(r, i) for i, r in enumerate(rank) if r >= 0]
+    heapify(heap)
+    while heap:
+        r, i = heappop(heap)
+        if rank[i] != r:
+            continue
+        gone = after[i]
+        right = after[i] = after[gone]
+        token[i], token[gone], rank[gone], rank[i] = r, -1, -1, -1
+        if right < n:
+            before[right] = i
+        for a, b in ((before[i], i), (i, right)):
+            if a >= 0 and b < n:
+                rank[a] = made.get(token[a] << 24 | token[b], -1)
+                if rank[a] >= 0:
+                    heappush(heap, (rank[a], a))
+    return [t for t in token if t >= 0]
+
+
 class Encoder:
-    """Encodes texts slice by slice; keeps the ids of recent chunks."""
+    """Cuts texts into chunks and makes their ids."""
 
     def __init__(self, path: str, pattern: str):
         self.ranks = read_ranks(path)
         self.merges = Merges(self.ranks)
         self.tokens = {i: t for t, i in self.ranks.items()}
         self.split = regex.compile(pattern)
-        self.space = regex.compile(r"\s")
-        self.names = {i: str(i) for i in self.tokens}
-        self.ids: dict[str, bytes] = {}  # of a chunk: its ids as packed 32-bit integers
-
-    def chunks(self, text: str) -> list[str]:
-        """Cuts of ``text`` between which no match of the pattern lies: before a blank or around a newline that stands
-        between other characters than white space. A text with other white space is split by the pattern itself."""
-        out = []
-        for n, line in enumerate(text.split("\n")):
-            if n:
-                out.append("\n")
-            first, *rest = line.split(" ")
-            out.append(first)
-            out += [" " + x for x in rest]
-        if text.startswith(("\n", " ")) or text.endswith(("\n", " ")) or "\n\n" in text or "  " in text or " \n" in text or "\n " in text or len(self.space.findall(text)) != text.count(" ") + text.count("\n"):
-            return self.split.findall(text)
-        return out
+        # Tokens and decimal numbers of ids as bytes, for taking many at once.
+        most = max(self.tokens, default=-1) + 1
+        self.bytes = _ragged([self.tokens.get(i, b"") for i in range(most)])
+        self.names = _ragged([b",%d" % i for i in range(most)])
+
+    def chunks(self, texts: list[str]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """(distinct chunks, numbers of the chunks of all texts in order, bounds of the texts in them).
+
+        No match of the pattern lies across a cut before a blank or around a newline that stands between other characters than
+        white space. A text with other white space, or one that begins or ends with white space, is split by the pattern.
+        """
+        whole = pa.array(texts, pa.large_string())
+        odd = np.flatnonzero(pc.match_substring_regex(whole, _ODD_SPACE).to_numpy(zero_copy_only=False)).tolist()
+        slow = {i: self.split.findall(texts[i]) for i in odd}
+        plain = pa.array([None if i in slow else t for i, t in enumerate(texts)], pa.large_string()) if slow else whole
+        cut = pc.split_pattern(pc.replace_substring(pc.replace_substring(plain, " ", "\0 "), "\n", "\0\n\0"), "\0")
+        flat, bounds = cut.flatten(), np.diff(cut.offsets.to_numpy())
+        if slow:
+            starts = np.concatenate([[0], np.cumsum(bounds)])
+            pieces, at = [], 0
+            for i in odd:
+                pieces += [flat.slice(starts[at], starts[i] - starts[at]), pa.array(slow[i], pa.large_string())]
+                bounds[i], at = len(slow[i]), i
+            flat = pa.concat_arrays([*pieces, flat.slice(starts[at])])
+        coded = flat.dictionary_encode()
+        return coded.dictionary, coded.indices.to_numpy(), np.concatenate([[0], np.cumsum(bounds)])
+
+    def ids(self, chunks: list[str]) -> Ragged:
+        """The ids of distinct chunks: merges are replayed over their distinct words, a slice at a time."""
+        words = list(map(self.split.findall, chunks))
+        distinct = list(dict.fromkeys(chain.from_iterable(words)))
+        made: list[list[int]] = []
+        for lo, hi in slices(distinct, SLICE_CHARS):
+            made += replay([w.encode() for w in distinct[lo:hi]], self.ranks, self.merges)
+        found = _ragged_ids(made)
+        number = {w: i for i, w in enumerate(distinct)}
+        counts = np.fromiter(map(len, words), np.int64, len(words))
+        each = found.take(np.fromiter((number[w] for w in chain.from_iterable(words)), np.int64, int(counts.sum())))
+        return _together(each, counts)
 
     def encode(self, texts: list[str]) -> Iterator[list[int]]:
-        """The ids of each text."""
-        cut = [self.chunks(t) for t in texts]
-        if len(self.ids) > KEPT:
-            self.ids.clear()
-        new = list(set().union(*cut).difference(self.ids))
-        if new:
-            words = list(map(self.split.findall, new))
-            distinct = list(set(chain.from_iterable(words)))
-            found = {w: np.array(x, np.int32).tobytes() for w, x in zip(distinct, replay([w.encode() for w in distinct], self.ranks, self.merges))}
-            self.ids.update(zip(new, (found[ws[0]] if len(ws) == 1 else b"".join(map(found.__getitem__, ws)) for ws in words)))
-        get = self.ids.__getitem__
-        return (np.frombuffer(b"".join(map(get, c)), np.int32).tolist() for c in cut)
+        """The ids of each text, without the corpus around it."""
+        distinct, code, bounds = self.chunks(texts)
+        each = self.ids(distinct.to_pylist()).take(code)
+        return (np.frombuffer(x, "<u4").tolist() for x in each.pieces(bounds))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
+#: Texts that are split by the pattern itself: white space other than blanks and newlines, or two of these side by side, or at an
+#: end; and U+0000, which marks cuts.
+_ODD_SPACE = "[\\t\\v\\f\\r\\x{0}\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]|[ \\n][ \\n]|^[ \\n]|[ \\n]$"
+
+
+def _ragged(rows: list[bytes]) -> Ragged:
+    size = np.fromiter(map(len, rows), np.int64, len(rows))
+    return Ragged(np.frombuffer(b"".join(rows), np.uint8), np.cumsum(size) - size, size)
+
+
+def _ragged_ids(rows: list[list[int]]) -> Ragged:
+    size = np.fromiter(map(len, rows), np.int64, len(rows))
+    return Ragged(np.fromiter(chain.from_iterable(rows), "<u4", int(size.sum())), np.cumsum(size) - size, size)
+
+
+def _together(rows: Ragged, counts: np.ndarray) -> Ragged:
+    """Runs of ``counts`` rows, which stand one after the other, as one row each."""
+    ends = np.concatenate([[0], np.cumsum(rows.size)])[np.concatenate([[0], np.cumsum(counts)])]
+    return Ragged(rows.flat, ends[:-1], np.diff(ends))
+
+
 _encoders: dict[tuple[str, str], Encoder] = {}
 
 
@@ -178,7 +287,7 @@ def encoder(path: str, pattern: str) -> Encoder:
     return _encoders[path, pattern]
 
 
-def slices(texts: list[str], chars: int = 12_000_000) -> Iterator[tuple[int, int]]:
+def slices(texts: list[str], chars: int) -> Iterator[tuple[int, int]]:
     """Bounds of runs of texts of about ``chars`` characters."""
     at = size = 0
     for i, t in enumerate(texts):
@@ -190,18 +299,141 @@ def slices(texts: list[str], chars: int = 12_000_000) -> Iterator[tuple[int, int
         yield at, len(texts)
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (``id_col``, ids array<int>) in the order of ``docs``; a null text counts as empty; repeated rows stay."""
+def _blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(block, body): compressed runs of rows of about BLOCK_CHARS characters."""
+
+    def run(it):
+        z = zstandard.ZstdCompressor(compression_params=zstandard.ZstdCompressionParameters.from_level(5, enable_ldm=True, window_log=24))
+        number, held, size = TaskContext.get().partitionId() << 24, [], 0
+
+        def pack():
+            nonlocal number, held, size
+            table = pa.Table.from_batches(held).combine_chunks()
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema) as w:
+                w.write_table(table)
+            number, held, size = number + 1, [], 0
+            return pa.RecordBatch.from_arrays([pa.array([number - 1], pa.int64()), pa.array([z.compress(sink.getvalue())], pa.binary())], ["block", "body"])
+
+        for b in it:
+            at = 0
+            for i, n in enumerate(pc.fill_null(pc.utf8_length(b.column(1)), 0).to_pylist()):
+                size += n
+                if size >= BLOCK_CHARS:
+                    held.append(b.slice(at, i + 1 - at))
+                    yield pack()
+                    at = i + 1
+            if at < b.num_rows:
+                held.append(b.slice(at))
+        if held:
+            yield pack()
+
+    kind = pa.large_string()
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
+
+    def large(it):
+        yield from run(pa.RecordBatch.from_arrays([b.column(0), b.column(1).cast(kind)], ["id", "t"]) for b in it)
+
+    return texts.mapInArrow(large, "block long, body binary")
+
+
+def _opened(body: bytes) -> tuple[pa.Array, list[str]]:
+    """(ids, texts) of a block; a null text is empty."""
+    table = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(body, max_output_size=1 << 34)).read_all()
+    return table.column(0).combine_chunks(), [t or "" for t in table.column(1).to_pylist()]
+
+
+def _dealt(chunks: pa.Array, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of ``chunks`` by shard, and the bounds of the shards in it. A chunk's shard comes from its bytes alone."""
+    ends = np.frombuffer(chunks.buffers()[1], np.int64, len(chunks) + 1)
+    data = np.frombuffer(chunks.buffers()[2], np.uint8, ends[-1]) if ends[-1] else np.zeros(1, np.uint8)
+    size = np.diff(ends)
+    place = np.arange(ends[-1]) - np.repeat(ends[:-1], size)
+    power = (place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+    sums = np.concatenate([[np.uint64(0)], np.cumsum((data[: ends[-1]].astype(np.uint64) + np.uint64(1)) * (power ^ (power >> np.uint64(29))), dtype=np.uint64)])
+    h = sums[ends[1:]] - sums[ends[:-1]]
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xC2B2AE3D27D4EB4F)
+    shard = ((h >> np.uint64(33)) % np.uint64(shards)).astype(np.int64)
+    order = np.argsort(shard, kind="stable")
+    return order, np.searchsorted(shard[order], np.arange(shards + 1))
+
+
+def _over_corpus(docs: DataFrame, path: str, pattern: str, id_col: str, text_col: str, rows, schema: str) -> DataFrame:
+    """``rows``(encoder, ids, each: ids of the chunks of all texts, bounds of texts) of each block, a table of ``schema``."""
+    spark = docs.sparkSession
+    blocks = written(_blocks(docs, id_col, text_col), "bpe-blocks")
+    size = blocks.agg(F.count("*")).first()[0]
+    shards = max(24, math.ceil(size * BLOCK_CHARS / SHARD_BYTES))
+
+    def asked(it):
+        z, enc = zstandard.ZstdCompressor(level=3), encoder(path, pattern)
+        for b in it:
+            for block, body in zip(b.column(0).to_pylist(), b.column(1)):
+                chunks = enc.chunks(_opened(body.as_py())[1])[0]
+                order, bounds = _dealt(chunks, shards)
+                chunks = chunks.take(pa.array(order))
+                some = [i for i in range(shards) if bounds[i + 1] > bounds[i]]
+                packs = []
+                for i in some:
+                    part = chunks.slice(bounds[i], bounds[i + 1] - bounds[i])
+                    sizes = pc.binary_length(part).to_numpy().astype("<u4")
+                    packs.append(z.compress(np.uint32(len(sizes)).tobytes() + sizes.tobytes() + "".join(part.to_pylist()).encode()))
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([block] * len(some), pa.int64()), pa.array(packs, pa.binary())], ["shard", "block", "chunks"])
+
+    def answered(table):
+        z, d, enc = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor(), encoder(path, pattern)
+        parts = []
+        for pack in table["chunks"]:
+            data = d.decompress(pack.as_py(), max_output_size=1 << 34)
+            n = int(np.frombuffer(data, "<u4", 1)[0])
+            ends = np.concatenate([[0], np.cumsum(np.frombuffer(data, "<u4", n, 4).astype(np.int64))])
+            parts.append(pa.Array.from_buffers(pa.large_string(), n, [None, pa.py_buffer(ends), pa.py_buffer(data[4 + 4 * n :])]))
+        coded = pa.concat_arrays(parts).dictionary_encode()
+        found = enc.ids(coded.dictionary.to_pylist())
+        code, at, packs = coded.indices.to_numpy(), 0, []
+        for p in parts:
+            mine = found.take(code[at : at + len(p)])
+            packs.append(z.compress(np.uint32(len(p)).tobytes() + mine.size.astype("<u4").tobytes() + mine.flat.tobytes()))
+            at += len(p)
+        return pa.table({"block": table["block"], "shard": table["shard"], "ids": pa.array(packs, pa.binary())})
+
+    def put(docs_, answers):
+        d, enc = zstandard.ZstdDecompressor(), encoder(path, pattern)
+        out = []
+        for body in docs_["body"]:
+            ids, texts = _opened(body.as_py())
+            chunks, code, bounds = enc.chunks(texts)
+            del texts
+            order, _ = _dealt(chunks, shards)
+            sizes, flats = [np.zeros(0, np.int64)], [np.zeros(0, "<u4")]
+            for _, pack in sorted(zip(answers["shard"].to_pylist(), answers["ids"]), key=lambda x: x[0]):
+                data = d.decompress(pack.as_py(), max_output_size=1 << 34)
+                n = int(np.frombuffer(data, "<u4", 1)[0])
+                sizes.append(np.frombuffer(data, "<u4", n, 4).astype(np.int64))
+                flats.append(np.frombuffer(data, "<u4", -1, 4 + 4 * n))
+            size, flat = np.concatenate(sizes), np.concatenate(flats)
+            start = np.empty(len(order), np.int64)
+            back = np.empty(len(order), np.int64)
+            start[order], back[order] = np.cumsum(size) - size, size
+            out.append(rows(enc, ids, Ragged(flat, start, back), code, bounds))
+        return pa.concat_tables(out)
+
+    requests = blocks.mapInArrow(asked, "shard long, block long, chunks binary")
+    answers = requests.groupBy("shard").applyInArrow(answered, "block long, shard long, ids binary")
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(put, schema)
 
-    def run(batches):
-        enc = encoder(path, pattern)
-        for b in batches:
-            texts = [t or "" for t in b.column(1).to_pylist()]
-            for lo, hi in slices(texts):
-                yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], pa.array(enc.encode(texts[lo:hi]), pa.list_(pa.int32()))], ["id", "ids"])
 
+def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows (``id_col``, ids array<int>) of each row of ``docs``; a null or empty text has no ids; repeated rows stay; other columns
+    are not read."""
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
+
+    def rows(enc, ids, chunks, code, bounds):
+        each = chunks.take(code)
+        ends = np.append(each.start, len(each.flat))[bounds].astype(np.int32)
+        return pa.table({"id": ids, "ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(each.flat.astype(np.int32)))})
+
+    return _over_corpus(docs, path, pattern, id_col, text_col, rows, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -217,19 +449,24 @@ def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each document: encoded, decoded and digested slice by slice."""
-
-    def run(batches):
-        enc = encoder(path, pattern)
-        for b in batches:
-            texts = [t or "" for t in b.column(1).to_pylist()]
-            for lo, hi in slices(texts):
-                n, ids_sha, text_sha = [], [], []
-                for ids in enc.encode(texts[lo:hi]):
-                    n.append(len(ids))
-                    ids_sha.append(hashlib.sha256(",".join(map(enc.names.__getitem__, ids)).encode()).hexdigest())
-                    text_sha.append(hashlib.sha256(enc.decode(ids)).hexdigest())
-                yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(text_sha)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each document: encoded, decoded from the ids, and digested. A null or empty
+    text has no tokens; repeated rows and null ids keep a row each; an empty table gives no rows."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string").alias("t")).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+    def rows(enc, ids, chunks, code, bounds):
+        n, ids_sha, text_sha = [], [], []
+        # The numbers and the decoded bytes of each distinct chunk, from its ids; then those of some texts at a time.
+        token = chunks.take(np.arange(len(chunks.size))).flat
+        named, spelt = (_together(x.take(token), chunks.size) for x in (enc.names, enc.bytes))
+        for lo in range(0, len(bounds) - 1, 500):
+            some = code[bounds[lo] : bounds[min(lo + 500, len(bounds) - 1)]]
+            cuts = bounds[lo : lo + 501] - bounds[lo]
+            n += np.diff(np.concatenate([[0], np.cumsum(chunks.size[some])])[cuts]).tolist()
+            for table, out, skip in ((named, ids_sha, 1), (spelt, text_sha, 0)):
+                each = table.take(some)
+                ends = np.append(each.start, len(each.flat))[cuts].tolist()
+                data = memoryview(each.flat)
+                out += [hashlib.sha256(data[a + skip : b] if b > a else b"").hexdigest() for a, b in zip(ends, ends[1:])]
+        return pa.table({"doc_id": ids, "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(text_sha, pa.string())})
+
+    return _over_corpus(docs, path, pattern, "doc_id", "text", rows, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

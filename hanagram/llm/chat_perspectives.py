@@ -9,56 +9,48 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import shuffle_partitions, written
+
 #: Marks of the format.
 START, END = "<|im_start|>", "<|im_end|>\n"
-#: A dialogue is rendered in stretches of so many turns, which bounds a row.
+#: A rendering comes in parts of so many turns, which bounds a row.
 STRETCH = 512
 
 
 def perspectives(turns: DataFrame, stretch: int = STRETCH, system: str = "system") -> DataFrame:
-    """Rows (conv_id, part, speaker, text, mask, n_chars, n_masked) from (conv_id, turn, role, text): one for each stretch of a
-    dialogue and each of its speakers but the system.
-
-    ``mask`` lists start:end in code points of ``text``, end exclusive, joined by commas. Turns are ordered by turn, then role,
-    then text; ties and repeated rows stay. A null turn comes first, in part 0; a null text is an empty turn; a null role is
-    a user without a name and no speaker; a row with a null conv_id is a dialogue of its own. Opening marks within texts
-    are escaped by a backslash. Stretches without a speaker, and empty tables, give no rows. Here a stretch goes by turn number
-    and only to those who speak within it; ``rotations`` gives each speaker the whole dialogue.
-    """
-    rows = _rows(turns).withColumn("part", F.coalesce(F.floor(F.col("t.turn") / stretch), F.lit(0)))
-    whole = rows.groupBy("conv_id", "own", "part").agg(F.sort_array(F.collect_list("t")).alias("ts"))
-    speaks = lambda t: t["role"].isNotNull() & (F.lower(t["role"]) != system)
-    return _rendered(whole.withColumn("speaker", F.explode(F.array_distinct(F.transform(F.filter("ts", speaks), lambda t: t["role"])))), system)
-
-
-def rotations(turns: DataFrame, stretch: int = STRETCH, system: str = "system") -> DataFrame:
-    """Rows as of ``perspectives``, one for each stretch of a dialogue and each speaker of the whole dialogue but the system:
-    a speaker's parts joined in order are the whole dialogue, whether or not the speaker is silent in some.
-
-    A stretch is ``stretch`` turns by their place in the dialogue, from part 0 on, whatever their numbers are. Order, ties and
-    nulls are those of ``perspectives``; a dialogue without a speaker gives no rows.
+    """Rows (conv_id, part, speaker, text, mask, n_chars, n_masked, start) from (conv_id, turn, role, text): the whole dialogue for
+    each of its speakers but the system, in parts of ``stretch`` turns.
+
+    The parts of a speaker joined in order are the rendering, whether or not the speaker is silent in some; ``start`` is where a
+    part begins in it, in code points. ``mask`` lists start:end in code points of the part's ``text``, end exclusive, joined
+    by commas. Turns are ordered by turn, then role, then text, nulls first, whatever their numbers are; ties and repeated
+    rows stay. A null text is an empty turn; a null role is a user without a name and no speaker; a row with a null conv_id
+    is a dialogue of its own, also beside an equal row. Opening marks within texts are escaped by a backslash. Dialogues
+    without a speaker, and empty tables, give no rows.
+
+    Turns are dealt by ranges of dialogue and order, and numbered on from the ranges before, so that a long dialogue is many
+    tasks' work.
     """
-    rows = _rows(turns)
-    # Places: turns are counted in ranges of turn numbers, and numbered on from what stands before, so that a long dialogue
-    # never meets in one task.
-    rows = rows.withColumn("range", F.coalesce(F.floor(F.col("t.turn") / stretch), F.lit(-(1 << 62))))
     key = ["dialogue", "own"]
-    sizes = rows.groupBy(*key, "range").agg(F.count("*").alias("n"))
-    before = sizes.select(*key, "range", (F.sum("n").over(Window.partitionBy(*key).orderBy("range")) - F.col("n")).alias("before"))
+    n = F.monotonically_increasing_id()
+    own = F.when(F.col("conv_id").isNull(), n + 1).otherwise(0)
+    body = F.replace(F.coalesce(F.col("text"), F.lit("")), F.lit("<|"), F.lit("<\\|"))
+    rows = turns.select("conv_id", F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("dialogue"), own.alias("own"), F.struct("turn", F.col("role").alias("role"), body.alias("body"), n.alias("n")).alias("t"))
+    rows = written(rows.repartitionByRange(shuffle_partitions(turns.sparkSession), *key, "t").withColumn("range", F.spark_partition_id()), "chat-turns")
+    sizes = rows.groupBy(*key, "range").agg(F.count("*").alias("size"))
+    before = sizes.select(*key, "range", (F.sum("size").over(Window.partitionBy(*key).orderBy("range")) - F.col("size")).alias("before"))
     place = F.row_number().over(Window.partitionBy(*key, "range").orderBy("t")) - 1
     placed = rows.withColumn("place", place).join(before, [*key, "range"]).withColumn("part", F.floor((F.col("before") + F.col("place")) / stretch))
     whole = placed.groupBy(*key, "part").agg(F.first("conv_id").alias("conv_id"), F.sort_array(F.collect_list("t")).alias("ts"))
-    role = F.col("t.role")
-    every = rows.groupBy(*key).agg(F.collect_set(F.when(role.isNotNull() & (F.lower(role) != system), role)).alias("speakers"), F.count("*").alias("n"))
-    every = every.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / stretch)))).drop("n")
-    return _rendered(whole.join(every, [*key, "part"]).withColumn("speaker", F.explode("speakers")), system)
-
-
-def _rows(turns: DataFrame) -> DataFrame:
-    """(conv_id, dialogue, own, t): a row for each turn, of the dialogue (dialogue, own), which aren't null."""
-    own = F.when(F.col("conv_id").isNull(), F.xxhash64("turn", "role", "text")).otherwise(0)
-    body = F.replace(F.coalesce(F.col("text"), F.lit("")), F.lit("<|"), F.lit("<\\|"))
-    return turns.select("conv_id", F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("dialogue"), own.alias("own"), F.struct("turn", F.col("role").alias("role"), body.alias("body")).alias("t"))
+    speakers = rows.select(*key, F.col("t.role").alias("speaker")).where(F.col("speaker").isNotNull() & (F.lower("speaker") != system)).distinct()
+    out = _rendered(whole.join(speakers, key), system)
+    # Where parts begin: only dialogues of several parts have to be put in order for that.
+    if sizes.groupBy(*key).agg(F.sum("size").alias("size")).where(F.col("size") > stretch).limit(1).count():
+        each = Window.partitionBy(*key, "speaker").orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        out = out.withColumn("start", F.sum("n_chars").over(each) - F.col("n_chars"))
+    else:
+        out = out.withColumn("start", F.lit(0).cast("long"))
+    return out.drop(*key)
 
 
 def _rendered(each: DataFrame, system: str) -> DataFrame:
@@ -79,19 +71,23 @@ def _rendered(each: DataFrame, system: str) -> DataFrame:
             F.when(p["mine"], F.array_append(a["m"], F.concat((a["at"] + F.length(p["head"])).cast("string"), F.lit(":"), (a["at"] + F.length(p["head"]) + F.length(p["body"])).cast("string")))).otherwise(a["m"]).alias("m"),
         ),
     )
-    return each.withColumn("s", spans).select("conv_id", F.col("part").cast("long").alias("part"), "speaker", F.array_join(F.transform("ps", lambda p: F.concat(p["head"], p["body"])), "").alias("text"), F.array_join("s.m", ",").alias("mask"), F.col("s.at").alias("n_chars"), F.col("s.n").alias("n_masked"))
+    return each.withColumn("s", spans).select("dialogue", "own", "conv_id", F.col("part").cast("long").alias("part"), "speaker", F.array_join(F.transform("ps", lambda p: F.concat(p["head"], p["body"])), "").alias("text"), F.array_join("s.m", ",").alias("mask"), F.col("s.at").alias("n_chars"), F.col("s.n").alias("n_masked"))
 
 
 ORACLE_SQL = r"""
-WITH b AS (SELECT conv_id, turn // 512 AS part, turn, role, replace(text, '<|', '<\|') AS body FROM conversations),
-s AS (SELECT DISTINCT conv_id, part, role AS speaker FROM b WHERE lower(role) <> 'system'),
+WITH a AS (SELECT conv_id, turn, role, replace(text, '<|', '<\|') AS body FROM conversations),
+b AS (SELECT *, (row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, body) - 1) // 512 AS part FROM a),
+s AS (SELECT DISTINCT conv_id, role AS speaker FROM b WHERE lower(role) <> 'system'),
 m AS (SELECT b.conv_id, b.part, speaker, turn, role, body AS raw, role = speaker AS mine,
         '<|im_start|>' || CASE WHEN role = speaker THEN 'assistant' WHEN lower(role) = 'system' THEN 'system' ELSE 'user name=' || role END || chr(10) AS head,
         body || '<|im_end|>' || chr(10) AS body
-      FROM b JOIN s ON b.conv_id = s.conv_id AND b.part = s.part),
-o AS (SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, part, speaker ORDER BY turn, role, raw ROWS UNBOUNDED PRECEDING) AS stop FROM m)
-SELECT conv_id, CAST(part AS BIGINT) AS part, speaker, string_agg(head || body, '' ORDER BY turn, role, raw) AS text,
+      FROM b JOIN s ON b.conv_id = s.conv_id),
+o AS (SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, part, speaker ORDER BY turn, role, raw ROWS UNBOUNDED PRECEDING) AS stop FROM m),
+p AS (SELECT conv_id, CAST(part AS BIGINT) AS part, speaker, string_agg(head || body, '' ORDER BY turn, role, raw) AS text,
   string_agg(CASE WHEN mine THEN CAST(CAST(stop - length(body) AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(stop AS BIGINT) AS VARCHAR) END, ',' ORDER BY turn, role, raw) AS mask,
   CAST(sum(length(head) + length(body)) AS BIGINT) AS n_chars, CAST(sum(CASE WHEN mine THEN length(body) ELSE 0 END) AS BIGINT) AS n_masked
-FROM o GROUP BY conv_id, part, speaker
+FROM o GROUP BY conv_id, part, speaker)
+SELECT conv_id, part, speaker, text, coalesce(mask, '') AS mask, n_chars, n_masked,
+  CAST(sum(n_chars) OVER (PARTITION BY conv_id, speaker ORDER BY part ROWS UNBOUNDED PRECEDING) - n_chars AS BIGINT) AS start
+FROM p
 """

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 from contextlib import contextmanager
 
 import pyarrow as pa
@@ -60,6 +62,33 @@ def small_batches(spark: SparkSession):
             spark.conf.set(k, usual[k])
 
 
+def tidied(run: Callable, *forget: Callable) -> Callable:
+    """A function for mapInArrow that, when a task ends, calls ``forget`` (functions that empty a module's caches) and gives freed
+    memory back: the worker stays for other stages, beside the executor's own memory."""
+
+    def tidy(it):
+        try:
+            yield from run(it)
+        finally:
+            released(*forget)
+
+    return tidy
+
+
+def released(*forget: Callable) -> None:
+    for f in forget:
+        f()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim is not None:
+        trim(0)
+
+
+def near(df: DataFrame, most: int = 200_000) -> DataFrame:
+    """A written table of short rows for a join: to be broadcast if it has ``most`` rows at most, else as it is."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def dropped(*tables: DataFrame) -> None:
     """Removes written tables that nothing will read again. Only those in the shared folder are."""
     for t in tables:

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, restricted, small_batches, written
+from .common import dropped, released, restricted, small_batches, tidied, written
 
 ORDER = 5
 BITS = 12
@@ -27,7 +27,7 @@ BITS = 12
 UPPER = 0x10FFFF + 1 >> 10
 NARROW = (1 << BITS) - UPPER - 1024
 #: Characters of a block.
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 24_000_000
 #: Characters of which n-grams are made at once.
 PIECE_CHARS = 1_000_000
 #: A threshold is the median of the trusted log-perplexities plus WIDTH times the distance from it to the QUANTILE.
@@ -175,7 +175,7 @@ def in_blocks(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> Dat
         for lang in list(held):
             yield pack(lang)
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"), F.col(lang_col).cast("string"), "trusted").mapInArrow(run, "block long, lang string, body binary")
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"), F.col(lang_col).cast("string"), "trusted").mapInArrow(tidied(run), "block long, lang string, body binary")
 
 
 def opened(body: bytes):
@@ -212,7 +212,7 @@ def ngram_counts(blocks: DataFrame, across: bool = False) -> DataFrame:
                     keys, c = counted(*(np.concatenate(x) for x in zip(*some)))
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys)), pa.array(keys), pa.array(c)], ["lang", "key", "c"])
 
-    return blocks.mapInArrow(run, "lang string, key long, c long").groupBy("lang", "key").agg(F.sum("c").alias("c"))
+    return blocks.mapInArrow(tidied(run), "lang string, key long, c long").groupBy("lang", "key").agg(F.sum("c").alias("c"))
 
 
 def model(counts: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
@@ -305,7 +305,7 @@ def _requests(blocks: DataFrame, shards: int, across: bool) -> DataFrame:
                 at = np.searchsorted(shard[by], np.arange(shards + 1))
                 yield pa.RecordBatch.from_arrays([pa.array(range(shards), pa.int64()), pa.array([block] * shards, pa.int64()), pa.array([lang] * shards), pa.array([squeezed(ids[by[lo:hi]]) for lo, hi in zip(at, at[1:])], pa.binary())], ["shard", "block", "lang", "ids"])
 
-    return blocks.mapInArrow(run, "shard long, block long, lang string, ids binary")
+    return blocks.mapInArrow(tidied(run), "shard long, block long, lang string, ids binary")
 
 
 def _answers(requests: DataFrame, known: DataFrame, shards: int) -> DataFrame:
@@ -365,6 +365,8 @@ def _scores(blocks: DataFrame, answers: DataFrame, across: bool) -> DataFrame:
                 for doc, trusted, ws in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), texts):
                     n = sum(map(units, ws)) + len(ws)
                     out.append((doc, lang, trusted, n, -sum(map(known.__getitem__, ws)) / n if n and len(ids) else None, False))
+        del ids, alpha, gamma
+        released()
         return pa.table({c: pa.array([r[i] for r in out], t) for i, (c, t) in enumerate((("doc_id", pa.int64()), ("lang", pa.string()), ("trusted", pa.bool_()), ("n_units", pa.int64()), ("log_perplexity", pa.float64()), ("held", pa.bool_())))})
 
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, "doc_id long, lang string, trusted boolean, n_units long, log_perplexity double, held boolean")

@@ -14,6 +14,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from dataclasses import dataclass
+from functools import partial
 from itertools import groupby
 
 import numpy as np
@@ -23,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, components, dropped, shuffle_partitions, small_batches, written
+from .common import BROADCAST_IDS, components, dropped, near, released, shuffle_partitions, small_batches, tidied, written
 
 #: Sets and n-grams in a slice of a large block (about: sets are dealt by hash), and by how many leaders all of it is multiplied.
 SLICE, SLICE_GRAMS, LEADERS = 512, 2_000_000, 16
@@ -37,13 +40,18 @@ SPARE = 0.2
 LOCAL_GRAMS, LOCAL_TIMES, HOT_MOST = 2_000_000, 6, 1 << 20
 #: Bytes of keys for each shard at most, and shards for each shuffle partition at least, which evens out how many fall into one.
 SHARD_BYTES, SHARDS = 16 << 20, 8
-#: Keys that a task holds before it sends them.
-HELD_KEYS = 1_500_000
+#: Keys that a task holds before it sends them, digests of sets that it knows again, words whose hashes it keeps.
+HELD_KEYS, SEEN, WORDS = 1_000_000, 100_000, 100_000
 
 _codes: dict[bytes, int] = {}
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
+def forget() -> None:
+    """Empties the worker's cache of words."""
+    _codes.clear()
+
+
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(31))) * _M2
     return h ^ (h >> np.uint64(29))
@@ -57,7 +65,7 @@ def shingles(text: str | None, k: int) -> np.ndarray:
         return np.zeros(0, np.uint64)
     if len(words) < k:
         return np.array([xxhash.xxh64_intdigest(b" ".join(words), len(words))], np.uint64)
-    if len(_codes) > 200_000:
+    if len(_codes) > WORDS:
         _codes.clear()
     try:
         code = np.array([_codes[w] for w in words], np.uint64)
@@ -179,7 +187,16 @@ def _add_overlap(overlap: np.ndarray, both: list[np.ndarray], n: int, apart: boo
         overlap += (block[:n] @ (block[n:] if apart else block).T).astype(np.int64)
 
 
-def _facts(docs: DataFrame, k: int) -> DataFrame:
+@dataclass(frozen=True)
+class Sets:
+    """What makes the sets: ``of`` turns a row's body into a sorted array of distinct unsigned 64-bit integers, and ``keys`` gives a
+    set keys such that two sets that link have one in common (called with the set, the percentage and the frequent members)."""
+
+    of: Callable[[object], np.ndarray]
+    keys: Callable[[np.ndarray, int, np.ndarray], np.ndarray] = keys
+
+
+def _facts(docs: DataFrame, make: Sets) -> DataFrame:
     """(doc_id, h, n, sid, node, gram) of each row of ``docs`` (doc_id, text, h): the size of its set, the set's digest, half of
     the digest; and rows with a gram and in n how often it was counted, for n-grams that are frequent in a stretch of the
     task's distinct sets."""
@@ -202,7 +219,7 @@ def _facts(docs: DataFrame, k: int) -> DataFrame:
         for b in it:
             n, sid, node = [], [], []
             for t in b.column(1).to_pylist():
-                s = shingles(t, k)
+                s = make.of(t)
                 d = set_digest(s) if len(s) else None
                 n.append(len(s))
                 sid.append(d)
@@ -214,16 +231,16 @@ def _facts(docs: DataFrame, k: int) -> DataFrame:
                     if size >= LOCAL_GRAMS:
                         yield frequent()
                         size = 0
-            if len(seen) > 200_000:
+            if len(seen) > SEEN:
                 seen.clear()
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(sid, pa.binary()), pa.array(node, pa.int64()), pa.nulls(len(n), pa.int64())], names)
         if held:
             yield frequent()
 
-    return docs.mapInArrow(run, "doc_id long, h long, n long, sid binary, node long, gram long")
+    return docs.mapInArrow(tidied(run, forget), "doc_id long, h long, n long, sid binary, node long, gram long")
 
 
-def _block_edges(docs: DataFrame, k: int, percent: int, shards: int, hot) -> DataFrame:
+def _block_edges(docs: DataFrame, make: Sets, percent: int, shards: int, hot) -> DataFrame:
     """Edges (a, b) between nodes whose sets share a key, connected as these are.
 
     A task sends each key that it holds with one node only, and the edges between that node and the others beside it, so
@@ -270,18 +287,18 @@ def _block_edges(docs: DataFrame, k: int, percent: int, shards: int, hot) -> Dat
 
         for b in it:
             for t in b.column(1).to_pylist():
-                s = shingles(t, k)
+                s = make.of(t)
                 if len(s):
                     d = set_digest(s)
                     if d not in seen:
                         seen.add(d)
-                        if len(x := keys(s, percent, hot.value)):
+                        if len(x := make.keys(s, percent, hot.value)):
                             held.append((int.from_bytes(d[:8], "little", signed=True), x))
                             size += len(x)
                             if size > HELD_KEYS:
                                 yield flush()
                                 size = 0
-            if len(seen) > 200_000:
+            if len(seen) > SEEN:
                 seen.clear()
         if held:
             yield flush()
@@ -303,9 +320,11 @@ def _block_edges(docs: DataFrame, k: int, percent: int, shards: int, hot) -> Dat
             forest.join(x, y)
         root = np.array([forest.root(i) for i in range(len(names))], np.int64)
         moved = root != np.arange(len(names))
+        del node, key, by, lead, at, pairs
+        released()
         return pa.table({"a": pa.array(names[root[moved]], pa.int64()), "b": pa.array(names[moved], pa.int64())})
 
-    packed = docs.mapInArrow(run, "shard long, nodes binary, counts binary, keys binary, a binary, b binary")
+    packed = docs.mapInArrow(tidied(run, forget), "shard long, nodes binary, counts binary, keys binary, a binary, b binary")
     return packed.groupBy("shard").applyInArrow(meet, "a long, b long").distinct()
 
 
@@ -371,21 +390,21 @@ def _across(percent: int):
     return run
 
 
-def _keyed(percent: int, hot):
-    """(key, slice, sid, n) for each key of each set of rows (slice, sid, n, s)."""
+def _keyed(make: Sets, percent: int, hot):
+    """(key, block, slice, sid, n) for each key of each set of rows (block, slice, sid, n, s)."""
 
     def run(it):
         for b in it:
-            for slice_, sid, n, s in zip(*(c.to_pylist() for c in b.columns)):
-                x = keys(np.frombuffer(s, np.uint64), percent, hot.value)
+            for block, slice_, sid, n, s in zip(*(c.to_pylist() for c in b.columns)):
+                x = make.keys(np.frombuffer(s, np.uint64), percent, hot.value)
                 for lo in range(0, len(x), 100_000):
                     part = x[lo : lo + 100_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(part.view(np.int64)), pa.array([slice_] * len(part), pa.int64()), pa.array([sid] * len(part), pa.binary()), pa.array([n] * len(part), pa.int64())], ["key", "slice", "sid", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(part.view(np.int64)), pa.array([block] * len(part), pa.int64()), pa.array([slice_] * len(part), pa.int64()), pa.array([sid] * len(part), pa.binary()), pa.array([n] * len(part), pa.int64())], ["key", "block", "slice", "sid", "n"])
 
     return run
 
 
-def _large(big: DataFrame, links: DataFrame, percent: int, hot) -> DataFrame:
+def _large(big: DataFrame, links: DataFrame, make: Sets, percent: int, hot) -> DataFrame:
     """The links that are still missing in blocks of several slices. ``big``: (block, slice, slices, sid, n, s)."""
     spark = big.sparkSession
     parts = shuffle_partitions(spark)
@@ -396,41 +415,43 @@ def _large(big: DataFrame, links: DataFrame, percent: int, hot) -> DataFrame:
         return where.join(found.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
 
     def met(asked: DataFrame, at: DataFrame) -> DataFrame:
-        """Links of probes (sid, slice) with the slices of their blocks that are named; ``at``: the roots so far."""
-        full = big.join(at.select("sid", "root"), "sid")
-        probes = full.drop("slice").join(asked, "sid").withColumn("part", F.lit(1))
-        rows = full.withColumn("part", F.lit(0)).unionByName(probes).select("block", "slice", "part", "sid", "root", "s")
-        return rows.repartition(parts, "block", "slice").sortWithinPartitions("block", "slice", "part", "sid").mapInArrow(_across(percent), "a binary, b binary")
+        """Links of probes with the slices of their blocks that are ``asked`` for (block, slice, sid); ``at``: the roots so far. Sets
+        move once, and only those of slices that are asked for."""
+        full = big.join(near(at.select("sid", "root")), "sid")
+        members = full.join(near(written(asked.select("block", "slice").distinct(), "shingle-asked")), ["block", "slice"], "left_semi")
+        probes = full.drop("slice").join(near(asked), ["sid", "block"]).withColumn("part", F.lit(1))
+        rows = members.withColumn("part", F.lit(0)).unionByName(probes).select("block", "slice", "part", "sid", "root", "s")
+        return rows.repartition(parts, "block", "slice").sortWithinPartitions("block", "slice", "part", "sid").mapInArrow(tidied(_across(percent)), "a binary, b binary")
 
     at = written(rooted(links), "shingle-roots")
     # Leaders: of each of a block's first slices the first set of the largest component there.
     size = at.where(F.col("slice") < LEADERS).groupBy("block", "slice", "slices", "root").agg(F.count("*").alias("c"), F.min("sid").alias("sid"))
     leaders = size.groupBy("block", "slice").agg(F.max(F.struct("c", "sid", "slices")).alias("x"))
-    leaders = written(leaders.select(F.col("x.sid").alias("sid"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("x.slices") - 1)).alias("slice")), "shingle-leaders")
+    leaders = written(leaders.select("block", F.col("x.sid").alias("sid"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("x.slices") - 1)).alias("slice")), "shingle-leaders")
     links = written(links.unionByName(met(leaders, at)), "shingle-links")
     after = written(rooted(links), "shingle-roots")
     main = written(after.groupBy("block", "root").count().groupBy("block").agg(F.max(F.struct("count", "root")).alias("x")).select("block", F.col("x.root").alias("main")), "shingle-main")
     rest = written(after.join(main, "block").where("root != main").select("sid"), "shingle-rest")
     # Which slices of its block a set of the rest has to meet: those with a set that shares a key and whose size fits.
-    each = written(big.join(main, "block").select("slice", "sid", "n", "s").mapInArrow(_keyed(percent, hot), "key long, slice long, sid binary, n long"), "shingle-keys")
+    each = written(big.select("block", "slice", "sid", "n", "s").mapInArrow(_keyed(make, percent, hot), "key long, block long, slice long, sid binary, n long"), "shingle-keys")
     held = each.groupBy("key", "slice").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    mine = each.drop("slice").join(rest, "sid", "left_semi").distinct()
-    asked = mine.join(held, "key").where(f"low * {percent} <= 100 * n and n * {percent} <= 100 * high").select("sid", "slice").distinct()
+    mine = each.drop("slice").join(near(rest), "sid", "left_semi").distinct()
+    asked = mine.join(held, "key").where(f"low * {percent} <= 100 * n and n * {percent} <= 100 * high").select("block", "slice", "sid").distinct()
     asked = written(asked, "shingle-asked")
     out = written(links.unionByName(met(asked, after)), "shingle-links")
     dropped(at, leaders, links, after, main, rest, each, asked)
     return out
 
 
-def _sets(it_columns: int, k: int):
-    """Adds to rows whose last column is a text the set and its digest in place of the text, in batches of bounded bytes."""
+def _incidence(it_columns: int, make: Sets):
+    """Rows with the set of their last column and its digest in place of that column, in batches of bounded bytes."""
 
     def run(it):
         for b in it:
             at, sets, size = 0, [], 0
             texts = b.column(it_columns).to_pylist()
             for i, t in enumerate(texts):
-                sets.append(shingles(t, k))
+                sets.append(make.of(t))
                 size += sets[-1].nbytes
                 if size >= BATCH_BYTES or i == len(texts) - 1:
                     part = b.slice(at, i + 1 - at)
@@ -440,41 +461,44 @@ def _sets(it_columns: int, k: int):
     return run
 
 
-def _found(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, h, n, root) of each row, written: its id as a long, its text's hash, its set's size, its component (null: none)."""
-    spark = docs.sparkSession
+def linked(texts: DataFrame, make: Sets, percent: int) -> DataFrame:
+    """(doc_id, h, n, root) of each row of ``texts`` (doc_id, text, h), written: n is its set's size, root its component under links
+    of Jaccard similarity of ``percent`` / 100 or more (null: no set). A text may be any body that ``make`` takes."""
+    with small_batches(texts.sparkSession):
+        return _linked(texts, make, percent)
+
+
+def _linked(texts: DataFrame, make: Sets, percent: int) -> DataFrame:
+    spark = texts.sparkSession
     parts = shuffle_partitions(spark)
-    text = F.col(text_col).cast("string")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"))
-    every = written(_facts(texts, k), "shingle-facts")
+    every = written(_facts(texts, make), "shingle-facts")
     facts = every.where("gram is null").drop("gram")
     total = facts.agg(F.sum("n")).first()[0] or 0
     often = every.where("gram is not null").groupBy("gram").agg(F.sum("n").alias("times")).where(F.col("times") >= max(64, total // HOT_MOST + 1))
     hot = spark.sparkContext.broadcast(np.sort(often.select("gram").toPandas()["gram"].to_numpy(np.int64).view(np.uint64)))
     shards = max(24, SHARDS * parts, math.ceil(total * (100 - percent) / percent * 2.5 * 8 / SHARD_BYTES))
-    blocks = components(_block_edges(texts.select("doc_id", "text"), k, percent, shards, hot), "shingle-blocks").withColumnRenamed("root", "block")
+    blocks = components(_block_edges(texts.select("doc_id", "text"), make, percent, shards, hot), "shingle-blocks").withColumnRenamed("root", "block")
     # One row for each set in a block of two or more.
     sets = facts.where("n > 0").groupBy("sid", "node", "n").agg(F.min("doc_id").alias("doc_id"))
     sets = written(sets.join(blocks, "node").select("sid", "n", "doc_id", "block"), "shingle-sets")
     slices = F.greatest(F.ceil(F.count("*") / SLICE), F.ceil(F.sum("n") / SLICE_GRAMS))
     counts = written(sets.groupBy("block").agg(F.count("*").alias("c"), slices.alias("slices")).where("c > 1").select("block", "slices"), "shingle-counts")
     placed = written(sets.join(counts, "block").withColumn("slice", F.pmod(F.xxhash64("sid"), F.col("slices"))).select("doc_id", "sid", "n", "block", "slice", "slices"), "shingle-placed")
-    # Up to so many places are broadcast (about 60 bytes each), beyond, texts are shuffled to them.
-    near = placed.limit(200_001).count() <= 200_000
-    some = texts.select("doc_id", "text").join(F.broadcast(placed) if near else placed, "doc_id").select("block", "slice", "slices", "sid", "n", "text")
+    # Few places are broadcast (about 60 bytes each); beyond, texts are shuffled to them.
+    some = texts.select("doc_id", "text").join(near(placed), "doc_id").select("block", "slice", "slices", "sid", "n", "text")
     # A repeated id may have other texts: the digest tells them apart.
-    incidence = some.mapInArrow(_sets(5, k), "block long, slice long, slices long, sid binary, n long, s binary, own binary").where("sid = own").drop("own")
+    incidence = some.mapInArrow(tidied(_incidence(5, make), forget), "block long, slice long, slices long, sid binary, n long, s binary, own binary").where("sid = own").drop("own")
     if placed.where("doc_id is null").limit(1).count():  # sets without an id are found by their digest
-        bare = texts.where("doc_id is null").select("text").mapInArrow(_sets(0, k), "s binary, own binary").where("own is not null")
+        bare = texts.where("doc_id is null").select("text").mapInArrow(_incidence(0, make), "s binary, own binary").where("own is not null")
         incidence = incidence.unionByName(bare.join(placed.where("doc_id is null"), F.col("own") == F.col("sid")).select(*incidence.columns))
     large = bool(placed.where("slices > 1").limit(1).count())
     if large:
         incidence = written(incidence, "shingle-incidence")
     inner = incidence.select("block", "slice", "sid", "s").repartition(parts, "block", "slice").sortWithinPartitions("block", "slice", "sid")
-    links = written(inner.mapInArrow(_within(percent), "a binary, b binary"), "shingle-links")
+    links = written(inner.mapInArrow(tidied(_within(percent)), "a binary, b binary"), "shingle-links")
     if large:
         inner_links = links
-        links = _large(incidence.where("slices > 1"), links, percent, hot)
+        links = _large(incidence.where("slices > 1"), links, make, percent, hot)
         dropped(inner_links)
     found = written(components(links, "shingle-components"), "shingle-found")
     out = written(facts.join(found.withColumnRenamed("node", "sid"), "sid", "left").select("doc_id", "h", "n", F.coalesce("root", "sid").alias("root")), "shingle-rooted")
@@ -483,6 +507,11 @@ def _found(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) ->
     return out
 
 
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"))
+
+
 def grouped(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(``id_col``, n_shingles, component_id) of each row: the size of its set of word ``k``-grams, and the least id that links
     lead to, where two documents link at Jaccard similarity of ``percent`` / 100 or more.
@@ -491,8 +520,7 @@ def grouped(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_i
     each; rows with a null id link like others, but take no part in the least id unless all are null. Other columns are not
     read.
     """
-    with small_batches(docs.sparkSession):
-        rooted = _found(docs, k, percent, id_col, text_col)
+    rooted = linked(_texts(docs, id_col, text_col), Sets(partial(shingles, k=k)), percent)
     least = written(rooted.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least")), "shingle-least")
     kind = docs.schema[id_col].dataType.simpleString()
     return rooted.join(least, "root", "left").select(F.col("doc_id").cast(kind).alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").cast(kind).alias("component_id"))
@@ -501,8 +529,7 @@ def grouped(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_i
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each component: that of the least id, null ids last, among texts of one id (or of none)
     that of the least hash. Rows that agree in id and text are one document and share its fate; rows without words stay."""
-    with small_batches(docs.sparkSession):
-        rooted = _found(docs, k, percent, id_col, text_col).where("root is not null")
+    rooted = linked(_texts(docs, id_col, text_col), Sets(partial(shingles, k=k)), percent).where("root is not null")
     best = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h")).alias("best"))
     gone = rooted.join(best, "root").where("not (doc_id <=> best.doc_id and h = best.h)").select(F.col("doc_id").alias("gone_id"), F.col("h").alias("gone_h")).distinct()
     gone = written(gone, "shingle-gone")

@@ -21,10 +21,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_folder, written
+from .common import dropped, new_folder, written
 
-#: A stream is closed beyond so many bytes of payload.
+#: A stream is closed beyond so many bytes of records, so that it has no more than ROLL / 400 of them.
 ROLL = 64 << 20
+#: Digests that are broadcast (about 60 bytes each), and from how many copies on a digest is joined apart from the others.
+BROADCAST_DIGESTS, HOT = 200_000, 10_000
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -138,9 +140,10 @@ def write_streams(pages: DataFrame, folder: str, level: int = 1) -> DataFrame:
                     sha = digest(payload)
                     if zipped is None:
                         zipped = zlib.compressobj(level, zlib.DEFLATED, 31)
-                    parts.append(zipped.compress(record("response", "null" if page is None else str(page), url, payload, sha)))
+                    raw = record("response", "null" if page is None else str(page), url, payload, sha)
+                    parts.append(zipped.compress(raw))
                     rows.append((page, url, len(payload), sha))
-                    size += len(payload)
+                    size += len(raw)
                     if size >= ROLL:
                         yield finish()
         if rows:
@@ -153,17 +156,31 @@ def decide(facts: DataFrame, min_bytes: int = 0) -> DataFrame:
     """Adds record_type and refers_to: of records with equal payloads of at least ``min_bytes``, the largest page_id's is the
     response, and the others (those with a null page_id too) revisit it; shorter payloads are responses.
 
-    The digest's greatest page_id comes from an aggregation with partial results; the join back is a plain one between two
-    exchanged sides, which adaptive execution splits where a digest is hot.
+    The digest's greatest page_id comes from an aggregation with partial results. Up to BROADCAST_DIGESTS digests of several
+    records are broadcast; beyond, those of HOT records or more are, by themselves, and the others are joined by a shuffle.
     """
-    kept = written(facts.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest").agg(F.max("page_id").alias("first_id"), F.count("*").alias("copies")).where("copies > 1").select("payload_digest", "first_id"), "warc-digests")
+    kept = written(facts.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest").agg(F.max("page_id").alias("first_id"), F.count("*").alias("copies")).where("copies > 1"), "warc-digests")
     again = (F.col("payload_bytes") >= min_bytes) & F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
-    return facts.join(kept, "payload_digest", "left").withColumn("record_type", F.when(again, "revisit").otherwise("response")).withColumn("refers_to", F.when(again, F.col("first_id"))).drop("first_id")
+
+    def near(digests: DataFrame) -> bool:
+        return digests.limit(BROADCAST_DIGESTS + 1).count() <= BROADCAST_DIGESTS
+
+    firsts = kept.select("payload_digest", "first_id")
+    hot = kept.where(F.col("copies") >= HOT).select("payload_digest", "first_id")
+    if near(kept):
+        found = facts.join(F.broadcast(firsts), "payload_digest", "left")
+    elif near(hot):
+        rest = kept.where(F.col("copies") < HOT).select("payload_digest", "first_id")
+        found = facts.join(F.broadcast(hot), "payload_digest").unionByName(facts.join(F.broadcast(hot), "payload_digest", "left_anti").join(rest, "payload_digest", "left"))
+    else:
+        found = facts.join(firsts, "payload_digest", "left")
+    return found.withColumn("record_type", F.when(again, "revisit").otherwise("response")).withColumn("refers_to", F.when(again, F.col("first_id"))).drop("first_id")
 
 
 def normalise(decided: DataFrame, level: int = 6, tasks: int | None = None) -> DataFrame:
     """Rewrites each stream by ``decided`` (archive, ord, record_type, refers_to) as ``*.members.warc.gz`` with an index file
-    ``*.index.jsonl`` beside it. Returns (archive, index_file, records). A stream is bounded by ROLL, so its rows are too."""
+    ``*.index.jsonl`` beside it. Returns (archive, index_file, records). A stream's records are bounded by ROLL, also those
+    without a payload, so its rows are too."""
 
     def run(key, table):
         name = key[0].as_py()
@@ -243,5 +260,6 @@ def archived(pages: DataFrame, min_bytes: int = 0, level: int = 6) -> DataFrame:
     facts = written(write_streams(pages, folder), "warc-facts")
     n = max(1, facts.select("archive").distinct().count())
     archives = written(normalise(decide(facts, min_bytes), level, n), "warc-archives")
+    dropped(facts)
     rows = read_records(archives.repartition(n))
     return rows.select(F.col("page_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))

@@ -1,4 +1,5 @@
 import random
+import time
 
 import public_tokenizers as P
 import tiktoken
@@ -24,7 +25,19 @@ def test_equals_tiktoken():
 
 def test_lower_ranks_made_by_a_merge_come_first():
     ranks = {bytes([c]): 10 + c for c in range(97, 103)} | {b"ab": 5, b"abc": 1, b"ca": 2}
-    words = [b"abcab", b"abca", b"cabab", b"aaaa", b""]
+    rng = random.Random(2)
+    words = [b"abcab", b"abca", b"cabab", b"aaaa", b""] + ["".join(rng.choice("abcdef") for _ in range(rng.randrange(1, 60))).encode() for _ in range(400)]
+    words = list(dict.fromkeys(words))
+    parts = [b"aa", b"bb", b"abab", b"aab", b"ba", b"cc", b"ccc", b"cabab", b"de", b"ded", b"fde", b"eded"]
+    for ranks in (ranks, ranks | {w: r for w, r in zip(parts, rng.sample(range(20, 60), len(parts)))}, ranks | {w: r for w, r in zip(parts, rng.sample(range(200, 260), len(parts)))}):
+        ranks = {w: r for w, r in ranks.items()}
+        for r in list(ranks.values()):
+            assert list(ranks.values()).count(r) == 1
+        check(words, ranks)
+
+
+def check(words, ranks):
+    """The algorithm of one word at a time: always the pair of least rank, of equals the leftmost."""
 
     def one(w):
         parts = [w[i : i + 1] for i in range(len(w))]
@@ -35,7 +48,26 @@ def test_lower_ranks_made_by_a_merge_come_first():
             i = best[1]
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
 
-    assert b.replay(words, ranks, b.Merges(ranks)) == [[ranks[w]] if w in ranks else one(w) for w in words]
+    merges = b.Merges(ranks)
+    want = [[ranks[w]] if w in ranks else one(w) for w in words]
+    assert b.replay(words, ranks, merges) == want
+    assert [b.alone_ids(w, merges) for w in words if w and w not in ranks] == [x for w, x in zip(words, want) if w and w not in ranks]
+
+
+def test_words_of_many_hold_ups(monkeypatch):
+    monkeypatch.setattr(b, "HOLD_UPS", 1)
+    ranks = {bytes([c]): 10 + c for c in range(97, 103)} | {b"ab": 5, b"abc": 1, b"ca": 2}
+    check([b"abcabcab" * 50, b"abab" * 30 + b"c", b"ab", b"cab" * 40], ranks)
+
+
+def test_very_long_words_take_linear_time():
+    own, ref = b.Encoder(PATH, P.PATTERN), reference()
+    for text in ("a" * 5_000_000, "ab" * 500_000, "ych" * 300_000, "wifeerst" * 100_000, "é" * 500_000):
+        began = time.time()
+        ids = next(own.encode([text]))
+        assert time.time() - began < 20, text[:10]
+        if len(text) <= 1_000_000:
+            assert ids == ref.encode_ordinary(text)
 
 
 def test_frames(spark, docs, no_docs):

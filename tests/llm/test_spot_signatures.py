@@ -13,7 +13,13 @@ def sets(text):
             after = [x for x in words[i + 1 :] if x not in s.ANCHORS][: s.CHAIN]
             if len(after) == s.CHAIN:
                 out.add((w, *after))
-    return out or ({tuple(words)} if words else ({(text,)} if text else set()))
+    if len(out) >= s.FEW:
+        return out
+    if len(words) > 1:
+        return out | set(zip(words, words[1:]))
+    if words:
+        return out | ({words[0][i : i + 3] for i in range(len(words[0]) - 2)} or {words[0]})
+    return {(text,)} if text else set()
 
 
 def likeness(a, b):
@@ -24,7 +30,7 @@ def test_against_next(spark, docs, no_docs):
     rng = random.Random(1)
     words = "the cat sat on a mat and of dog is house red in blue that tree for it run".split()
     rows = [(i * 3 % 101, " ".join(rng.choice(words) for _ in range(rng.choice([0, 1, 5, 40, 300])))) for i in range(101)]
-    rows += [(200, None), (201, "é, 你好! 🙂"), (202, "!!")]
+    rows += [(200, None), (201, "é, 你好! 🙂"), (202, "!!"), (203, "東京大学図書館の古い地図" * 3), (204, "x"), (205, "the cat")]
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, fingerprint string").repartition(4)
     got = {r["doc_id"]: r for r in s.against_next(df).collect()}
     order = sorted(rows)
@@ -41,23 +47,54 @@ def test_against_next(spark, docs, no_docs):
     assert one["near_next"] == 1.0
 
 
-def test_similar(spark):
+def test_edits_of_texts_without_anchors(spark):
+    """Three quarters of a text stay, and so does a good part of its fingerprint."""
+    rng = random.Random(3)
+    texts = ["".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(120)), " ".join("".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(4)) for _ in range(40)), "zig " + " ".join(f"w{i}" for i in range(60))]
+    got = s.against_next(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert all(0.4 < r["near_edited"] < 1 and r["near_next"] < 0.1 for r in got)
+
+
+def test_classes(spark, docs, no_docs):
     rng = random.Random(2)
-    words = "the cat sat on a mat and of dog is house red in blue that tree for it run far sky sea sun".split()
+    words = "the cat sat on a mat and of dog is house red in blue that tree for it run far sky sea sun".split() + [f"w{i}" for i in range(60)]
     rows = []
-    for _ in range(8):
-        base = [rng.choice(words) for _ in range(200)]
-        for _ in range(5):
+    for size in (12, 60, 200, 200, 400):
+        base = [rng.choice(words) for _ in range(size)]
+        for _ in range(9):
             w = list(base)
-            for _ in range(rng.randrange(4)):
-                w[rng.randrange(200)] = rng.choice(words)
+            for _ in range(rng.randrange(size // 12 + 1)):
+                w[rng.randrange(size)] = rng.choice(words)
             rows.append((len(rows), " ".join(w)))
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {(r["a"], r["b"]): r["similarity"] for r in s.similar(s.fingerprint(df), 0.8).collect()}
-    every = {i: sets(t) for i, t in rows}
-    first = {}
-    for i, x in every.items():
-        first.setdefault(frozenset(x), i)
-    reps = sorted(first.values())
-    want = {(a, b): likeness(every[a], every[b]) for a in reps for b in reps if a < b and likeness(every[a], every[b]) >= 0.8}
-    assert want and set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    rows += [(100, ""), (101, None), (102, rows[0][1]), (103, "w1 w2")]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, h string").repartition(3)
+    every = {i: sets(t or "") for i, t in rows}
+    up = {i: i for i in every}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, a in every.items():
+        for j, b in every.items():
+            if i < j and a and b and likeness(a, b) >= 0.8:
+                x, y = root(i), root(j)
+                up[max(x, y)] = min(x, y)
+    want = {i: root(i) for i in every}
+    assert len(set(want.values())) < len(want) - 20
+    assert {r["doc_id"]: r["class_id"] for r in s.classes(df).collect()} == want
+    assert {r["doc_id"]: r["class_id"] for r in s.against_next(df).collect()} == want
+    assert s.classes(docs).count() == 7 and s.classes(no_docs).count() == 0
+
+
+def test_similar_sets_share_a_key():
+    rng = s.np.random.default_rng(5)
+    frequent = s.np.unique(rng.integers(0, 2**32, 30).astype(s.np.uint64))
+    for percent in (80, 60):
+        for n in (1, 2, 3, 5, 9, 30, 200):
+            for _ in range(30):
+                a = s.np.unique(s.np.concatenate([rng.integers(0, 2**32, n), rng.choice(frequent, min(n, 9))]).astype(s.np.uint64))
+                b = s.np.unique(s.np.concatenate([rng.permutation(a)[rng.integers(0, n // 5 + 1) :], rng.integers(0, 2**32, rng.integers(0, n // 6 + 1)).astype(s.np.uint64)]))
+                if s.jaccard(a, b) >= percent / 100:
+                    assert len(s.np.intersect1d(s.length_keys(a, percent, frequent), s.length_keys(b, percent, frequent)))
