@@ -33,6 +33,9 @@ def _escape(s: str) -> str:
 def ranges(n: Normalizer, text: str | None, query: str | None) -> list[tuple[int, int]]:
     """[start, end) in code points of ``text`` where a phrase of the query occurs; touching ranges are one."""
     chars = text or ""
+    needles = list(filter(None, PY_SEP.split(n.text(query))))
+    if chars.isascii() and not any(k.isascii() for k in n.variants):  # folding is lower case, character by character
+        return _merged([(m.start(), m.end()) for needle in needles for m in re.finditer(re.escape(needle), chars.lower())])
     folded: list[str] = []
     origin: list[tuple[int, int]] = []
     before = ""
@@ -65,11 +68,16 @@ def ranges(n: Normalizer, text: str | None, query: str | None) -> list[tuple[int
         i = j
     whole = "".join(folded)
     found = []
-    for needle in filter(None, PY_SEP.split(n.text(query))):
+    for needle in needles:
         at = whole.find(needle)
         while at >= 0:
             found.append((origin[at][0], origin[at + len(needle) - 1][1]))
             at = whole.find(needle, at + len(needle))
+    return _merged(found)
+
+
+def _merged(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Ranges in order, those that touch as one."""
     out: list[tuple[int, int]] = []
     for a, b in sorted(found):
         if out and a <= out[-1][1]:

@@ -19,6 +19,11 @@ from .index import Index
 K1, B, EXPANDED = 1.2, 0.75, 0.6
 #: Words from this length on match with one edit.
 TYPO_LENGTH = 5
+#: Alternatives that the driver takes (a row of some 60 bytes each), and tokens that are named in a filter on postings. Beyond
+#: the first, alternatives stay a table and postings meet them by whatever join the planner picks.
+LOCAL_ALTERNATIVES, NAMED_TOKENS = 20_000, 5_000
+#: Scores that differ by less than 1 / BANDS are ranked in one task, and so are so many documents (a power of two) of score 0.
+BANDS, BAND_DOCS = 1000, 20
 
 
 def parsed(index: Index, queries: Iterable[tuple[int, str]]) -> list[tuple]:
@@ -35,42 +40,62 @@ def parsed(index: Index, queries: Iterable[tuple[int, str]]) -> list[tuple]:
 _PARTS = "qid long, phrase int, part int, at int, token string, latin boolean, last boolean, n_parts int, n_phrases int"
 
 
-def alternatives(index: Index, parts: DataFrame, prefix: bool = True, typos: bool = True) -> DataFrame:
-    """(qid, phrase, part, at, n_parts, token, alt, expanded): the tokens that stand for each query part.
+def alternatives(index: Index, rows: list[tuple], prefix: bool = True, typos: bool = True) -> DataFrame:
+    """(qid, phrase, part, at, n_parts, token, alt, expanded): the tokens that stand for each query part (as ``parsed`` gives it).
 
     The token itself; for the last part of a query, if Latin, the words it begins; for a Latin token that the index lacks, of
-    TYPO_LENGTH letters or more, the words one edit away. ``alt`` numbers them in that order.
+    TYPO_LENGTH letters or more, the words one edit away. ``alt`` numbers them in that order. Of the vocabulary only what the
+    tokens and prefixes select is read; all Latin words are, where one is looked for by its typos.
     """
     keys = ["qid", "phrase", "part"]
-    have = index.postings.join(F.broadcast(parts.select("token").distinct()), "token", "left_semi").select("token").distinct().withColumn("has", F.lit(True))
-    known = parts.join(have, "token", "left").withColumn("has", F.coalesce("has", F.lit(False)))
+    words = index.vocabulary()
+    tokens = sorted({r[4] for r in rows})
+    have = {r["token"] for lo in range(0, len(tokens), NAMED_TOKENS) for r in words.where(F.col("token").isin(tokens[lo : lo + NAMED_TOKENS])).select("token").collect()}
+    parts = index.spark.createDataFrame([(*r, r[4] in have) for r in rows], _PARTS + ", has boolean")
     head = [*keys, "at", "n_parts", "has"]
-    found = known.where("has").select(*head, "token", F.lit(0).alias("kind"))
-    asked = known.where("latin").select(*head, "last", F.col("token").alias("asked"))
-    words = index.latin()
-    if prefix:
+    found = parts.where("has").select(*head, "token", F.lit(0).alias("kind"))
+    latin = words.where("latin").select("token")
+    last = sorted({r[4] for r in rows if r[5] and r[6]})
+    if prefix and last:
+        some = F.lit(False)
+        for t in last:
+            some |= F.startswith(F.col("token"), F.lit(t))
         on = F.startswith(F.col("token"), F.col("asked")) & (F.col("token") != F.col("asked"))
-        found = found.unionByName(words.join(F.broadcast(asked.where("last")), on).select(*head, "token", F.lit(1).alias("kind")))
-    if typos:
+        asked = F.broadcast(parts.where("latin and last").select(*head, F.col("token").alias("asked")))
+        found = found.unionByName((latin.where(some) if len(last) <= 100 else latin).join(asked, on).select(*head, "token", F.lit(1).alias("kind")))
+    if typos and any(r[5] and len(r[4]) >= TYPO_LENGTH and r[4] not in have for r in rows):
+        asked = F.broadcast(parts.where(F.col("latin") & ~F.col("has") & (F.length("token") >= TYPO_LENGTH)).select(*head, F.col("token").alias("asked")))
         near = (F.length("token").between(F.length("asked") - 1, F.length("asked") + 1)) & (F.levenshtein("token", "asked", 1) == 1)
-        found = found.unionByName(words.join(F.broadcast(asked.where(~F.col("has") & (F.length("asked") >= TYPO_LENGTH))), near).select(*head, "token", F.lit(2).alias("kind")))
+        found = found.unionByName(latin.join(asked, near).select(*head, "token", F.lit(2).alias("kind")))
     once = found.groupBy(*head, "token").agg(F.min("kind").alias("kind"))
     order = Window.partitionBy(*keys).orderBy("kind", "token")
     return once.withColumn("alt", F.row_number().over(order)).withColumn("expanded", ~F.col("has")).drop("has", "kind")
 
 
-def phrase_hits(index: Index, alts: DataFrame) -> DataFrame:
+def resolved(index: Index, rows: list[tuple], prefix: bool = True, typos: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(alternatives, the postings of their tokens). Few alternatives are worked out once, and the postings' scan is told their
+    tokens, so that of postings sorted by token it reads the row groups that hold them."""
+    alts = alternatives(index, rows, prefix, typos)
+    some = alts.limit(LOCAL_ALTERNATIVES + 1).collect()
+    if len(some) > LOCAL_ALTERNATIVES:
+        return alts, index.postings
+    tokens = sorted({r["token"] for r in some})
+    local = index.spark.createDataFrame(some, alts.schema)
+    postings = index.postings.where(F.col("token").isin(tokens)) if len(tokens) <= NAMED_TOKENS else index.postings
+    return F.broadcast(local), postings
+
+
+def phrase_hits(postings: DataFrame, alts: DataFrame) -> DataFrame:
     """(qid, phrase, doc, field, tf, first_alt): where each phrase occurs and how often, overlaps counted.
 
     A phrase starts where the position less the offset is the same for all of its parts; single tokens need no positions.
     """
     where = ["qid", "phrase", "doc", "field"]
-    met = index.postings.join(F.broadcast(alts), "token")
-    single = met.where("n_parts = 1").groupBy(*where).agg(F.sum("tf").cast("long").alias("tf"), F.min("alt").alias("first_alt"))
-    several = met.where("n_parts > 1").select(*where, "part", "n_parts", "alt", F.explode("positions").alias("pos"), "at")
-    starts = several.groupBy(*where, "n_parts", (F.col("pos") - F.col("at")).alias("start")).agg(F.count_distinct("part").alias("met"), F.min(F.struct("part", "alt")).alias("x"))
-    several = starts.where("met = n_parts").groupBy(*where).agg(F.count("*").alias("tf"), F.min("x.alt").alias("first_alt"))
-    return single.unionByName(several)
+    met = postings.join(alts, "token")
+    starts = F.when(F.col("n_parts") == 1, F.array(F.lit(-1))).otherwise(F.transform("positions", lambda p: p - F.col("at")))
+    each = met.select(*where, "part", "n_parts", "alt", F.when(F.col("n_parts") == 1, F.col("tf")).otherwise(1).alias("tf"), F.explode(starts).alias("start"))
+    whole = each.groupBy(*where, "n_parts", "start").agg(F.count_distinct("part").alias("met"), F.min(F.struct("part", "alt")).alias("x"), F.sum("tf").alias("tf")).where("met = n_parts")
+    return whole.groupBy(*where).agg(F.sum(F.when(F.col("n_parts") == 1, F.col("tf")).otherwise(1)).cast("long").alias("tf"), F.min("x.alt").alias("first_alt"))
 
 
 def passing(index: Index, filters: Mapping[str, object]) -> DataFrame:
@@ -108,16 +133,14 @@ def search(index: Index, queries: Iterable[tuple[int, str]] | str, filters: Mapp
     queries = [(0, queries)] if isinstance(queries, str) else list(queries)
     rows = parsed(index, queries)
     blank = [q for q, _ in queries if q not in {r[0] for r in rows}]
-    parts = spark.createDataFrame(rows, _PARTS)
     counts = spark.createDataFrame(sorted({(r[0], r[8]) for r in rows}), "qid long, n_phrases int")
-    alts = alternatives(index, parts, prefix, typos)
-    hits = phrase_hits(index, alts)
+    alts, postings = resolved(index, rows, prefix, typos)
+    hits = phrase_hits(postings, alts)
     # Only an unbroken row of phrases from the first one counts, for results as well as for document counts.
-    docs = hits.select("qid", "phrase", "doc").distinct()
-    row = F.row_number().over(Window.partitionBy("qid", "doc").orderBy("phrase")) - 1
-    held = docs.withColumn("row", row).where("row = phrase").select("qid", "phrase", "doc")
-    df = held.groupBy("qid", "phrase").agg(F.count("*").alias("df"))
-    whole = held.groupBy("qid", "doc").agg(F.count("*").alias("n")).join(F.broadcast(counts), "qid").where("n = n_phrases").select("qid", "doc")
+    held = hits.groupBy("qid", "doc").agg(F.array_sort(F.collect_set("phrase")).alias("ps"))
+    held = held.select("qid", "doc", F.size(F.filter("ps", lambda p, i: p == i)).alias("n")).where("n > 0")
+    df = held.select("qid", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("phrase")).groupBy("qid", "phrase").agg(F.count("*").alias("df"))
+    whole = held.join(F.broadcast(counts), "qid").where("n = n_phrases").select("qid", "doc")
     if filters is not None:
         whole = whole.join(passing(index, filters), "doc", "left_semi")
     weight = alts.groupBy("qid", "phrase").agg(F.max("expanded").alias("expanded"))
@@ -133,12 +156,26 @@ def search(index: Index, queries: Iterable[tuple[int, str]] | str, filters: Mapp
     if filters is not None and blank:
         rest = spark.createDataFrame([(q,) for q in blank], "qid long")
         scored = scored.unionByName(passing(index, filters).join(F.broadcast(rest)).select("qid", "doc", F.lit(0.0).alias("score"), F.array().cast("array<string>").alias("fields")))
-    # The order in which a score is summed isn't fixed: equal scores are told by nine digits.
-    place = Window.partitionBy("qid").orderBy(F.desc(F.round("score", 9)), "doc")
-    out = scored.withColumn("rank", F.row_number().over(place))
+    return ranked(scored, limit).join(index.docs, "doc").select("qid", "rank", "doc", "ref", "score", "fields")
+
+
+def ranked(scored: DataFrame, limit: int | None = None) -> DataFrame:
+    """Adds the rank within each query to (qid, doc, score, ...): best first, ties by doc; with ``limit`` only so many.
+
+    The order in which a score is summed isn't fixed: equal scores are told by nine digits. Without a limit, documents are
+    ranked band by band of the score, and bands after those above them, so that no task holds a query's whole result.
+    """
+    order = [F.desc(F.round("score", 9)), F.col("doc")]
     if limit:
-        out = out.where(F.col("rank") <= limit)
-    return out.join(index.docs, "doc").select("qid", "rank", "doc", "ref", "score", "fields")
+        return scored.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(*order))).where(F.col("rank") <= limit)
+    band = F.floor(F.round("score", 9) * BANDS)
+    banded = scored.withColumn("band", band).withColumn("chunk", F.when(F.round("score", 9) == 0, F.shiftright("doc", BAND_DOCS)).otherwise(0))
+    key = ["qid", "band", "chunk"]
+    sizes = banded.groupBy(*key).agg(F.count("*").alias("size"))
+    above = F.sum("size").over(Window.partitionBy("qid").orderBy(F.desc("band"), "chunk")) - F.col("size")
+    place = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
+    out = banded.withColumn("place", place).join(sizes.select(*key, above.alias("above")), key)
+    return out.withColumn("rank", (F.col("above") + F.col("place")).cast("int")).drop("place", "above", "band", "chunk")
 
 
 def facets(index: Index, name: str, results: DataFrame | None = None) -> DataFrame:

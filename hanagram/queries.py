@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,9 +15,11 @@ from .functions.classes import CJK, HAS_CJK, RUN, SEP
 from .functions.normalize import Normalizer, filter_key, includes, nfkc, year
 from .functions.tokens import phrases, run_offsets, tokens
 from .operators import evaluate
-from .operators.index import Index, Schema, build, field_postings, filter_values, numbered
-from .operators.search import alternatives, facets, parsed, passing, search
+from .operators.index import Index, Schema, build, filter_values, filter_years, numbered, token_totals
+from .operators.search import alternatives, facets, facets_without_own, parsed, passing, search
 from .operators.updates import applied, compacted, updated
+from .sources import index_files, records, snapshots, stores
+from .streaming import ingest
 
 #: The synthetic documents are Latin: their letters a to p stand for sixteen CJK characters here.
 LETTERS, IDEOGRAPHS = "abcdefghijklmnop", "東京大学図書館植物地名の花鳥風月"
@@ -53,34 +57,45 @@ def parts(spark, sf) -> DataFrame:
     return table(spark, sf, "part").select(F.col("p_partkey").alias("doc"), F.col("p_partkey").cast("string").alias("ref"), "p_name", "p_brand", "p_type")
 
 
-_built: dict[tuple[str, str, str], Index] = {}
+def folder(spark, name: str) -> str:
+    """A new folder in the shared one."""
+    return f"{stores.shared(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(f: Callable[[SparkSession, str], Index]) -> Callable[[SparkSession, str], Index]:
-    """Keeps an index in Spark's storage, so that queries over one corpus share it as they would a snapshot."""
+_built: dict[tuple[str, str, str], str] = {}
+
+
+def stored(f: Callable[[SparkSession, str], tuple[Index, DataFrame]]) -> Callable[[SparkSession, str], Index]:
+    """Publishes a snapshot of an index in the shared folder once for a session and corpus, and reads it from there."""
 
     def get(spark, sf):
         key = (spark.sparkContext.applicationId, sf, f.__name__)
         if key not in _built:
-            _built[key] = f(spark, sf).cache()
-        return _built[key]
+            index, docs = f(spark, sf)
+            root = folder(spark, f.__name__)
+            snapshots.write(index, docs.select("doc", "ref"), root)
+            _built[key] = root
+        return snapshots.load(spark, _built[key])[0]
 
     return get
 
 
 @stored
-def ideograph_index(spark, sf) -> Index:
-    return build(projected(spark, sf), Schema(["text"], filters=["lang", "source"], normalizer=PLAIN))
+def ideograph_index(spark, sf):
+    docs = projected(spark, sf)
+    return build(docs, Schema(["text"], filters=["lang", "source"], normalizer=PLAIN)), docs
 
 
 @stored
-def latin_index(spark, sf) -> Index:
-    return build(latin(spark, sf), Schema(["text"], filters=["lang", "source"], normalizer=PLAIN))
+def latin_index(spark, sf):
+    docs = latin(spark, sf)
+    return build(docs, Schema(["text"], filters=["lang", "source"], normalizer=PLAIN)), docs
 
 
 @stored
-def part_index(spark, sf) -> Index:
-    return build(parts(spark, sf), Schema(["p_name", "p_brand", "p_type"], {"p_name": 3.0, "p_type": 2.0}, ["p_brand", "p_type"], PLAIN))
+def part_index(spark, sf):
+    docs = parts(spark, sf)
+    return build(docs, Schema(["p_name", "p_brand", "p_type"], {"p_name": 3.0, "p_type": 2.0}, ["p_brand", "p_type"], PLAIN)), docs
 
 
 def q(s: str) -> str:
@@ -90,7 +105,6 @@ def q(s: str) -> str:
 # --- SQL that the oracles share -----------------------------------------------------------------------------------------
 
 CJK_DOCS = f"SELECT doc_id AS doc, 0 AS field, translate(lower(text), {q(LETTERS)}, {q(IDEOGRAPHS)}) AS folded, lang, source FROM documents"
-CJK_TURNS = f"SELECT conv_id * 1000 + turn AS doc, 0 AS field, translate(lower(text), {q(LETTERS)}, {q(IDEOGRAPHS)}) AS folded FROM conversations"
 LATIN_DOCS = "SELECT doc_id AS doc, 0 AS field, lower(text) AS folded, lang, source FROM documents"
 PART_DOCS = " UNION ALL ".join(f"SELECT p_partkey AS doc, {i} AS field, lower({c}) AS folded FROM part" for i, c in enumerate(("p_name", "p_brand", "p_type")))
 
@@ -176,24 +190,20 @@ def year_literals(spark, sf):
     return rows.select("n", year(Normalizer(()), "s").alias("year"))
 
 
-@query(f"WITH {tokens_sql(CJK_TURNS)} SELECT run, count(*) AS n, CAST(sum(off) AS BIGINT) AS sum_at FROM o GROUP BY run")
+@query(f"WITH {tokens_sql(CJK_DOCS)} SELECT run, count(*) AS n, CAST(sum(off) AS BIGINT) AS sum_at FROM o GROUP BY run")
 def token_runs(spark, sf):
-    return table(spark, sf, "conversations").select(F.explode(run_offsets(F.translate(F.lower("text"), LETTERS, IDEOGRAPHS))).alias("r")).groupBy(F.col("r.run").alias("run")).agg(F.count("*").alias("n"), F.sum(F.col("r.at").cast("long")).alias("sum_at"))
-
-
-def _counted(postings: DataFrame) -> DataFrame:
-    return postings.groupBy("token").agg(F.sum("tf").alias("n"), F.sum(F.aggregate("positions", F.lit(0).cast("long"), lambda a, x: a + x)).alias("sum_pos"))
+    return projected(spark, sf).select(F.explode(run_offsets("text")).alias("r")).groupBy(F.col("r.run").alias("run")).agg(F.count("*").alias("n"), F.sum(F.col("r.at").cast("long")).alias("sum_at"))
 
 
 @query(f"WITH {tokens_sql(CJK_DOCS, False)} SELECT token, count(*) AS n, CAST(sum(pos) AS BIGINT) AS sum_pos FROM t WHERE token <> '' GROUP BY token")
 def token_bigrams(spark, sf):
     # A CJK run of one character is a token too, longer ones only give bigrams.
-    return _counted(field_postings(projected(spark, sf), Schema(["text"], normalizer=PLAIN), False))
+    return token_totals(projected(spark, sf), Schema(["text"], normalizer=PLAIN), False)
 
 
 @query(f"WITH {tokens_sql(CJK_DOCS)} SELECT token, count(*) AS n, CAST(sum(pos) AS BIGINT) AS sum_pos FROM t GROUP BY token")
 def token_unigrams(spark, sf):
-    return _counted(field_postings(projected(spark, sf), Schema(["text"], normalizer=PLAIN)))
+    return token_totals(projected(spark, sf), Schema(["text"], normalizer=PLAIN))
 
 
 @query(f"WITH {tokens_sql('SELECT conv_id * 1000 + turn AS doc, 0 AS field, lower(text) AS folded FROM conversations')} SELECT token, count(*) AS n, CAST(sum(pos) AS BIGINT) AS sum_pos FROM t GROUP BY token")
@@ -212,9 +222,9 @@ def phrases_offsets(spark, sf):
     return spark.createDataFrame([(i, p, t, at) for i, (text, _) in enumerate(_PHRASES) for p, ph in enumerate(phrases(n, text)) for t, at in ph], "n int, phrase int, token string, pos int")
 
 
-@query("SELECT conv_id, turn, contains(replace(replace(lower(text), ' ', ''), chr(10), ''), 'the') AS has FROM conversations")
+@query("SELECT doc_id, contains(regexp_replace(lower(text), '\\s+', '', 'g'), 'the') AS has FROM documents")
 def includes_text(spark, sf):
-    return table(spark, sf, "conversations").select("conv_id", "turn", includes(PLAIN, F.col("text"), F.lit("t he")).alias("has"))
+    return table(spark, sf, "documents").select("doc_id", includes(PLAIN, F.col("text"), F.lit("t he")).alias("has"))
 
 
 def _marked(needle: str) -> str:
@@ -222,14 +232,17 @@ def _marked(needle: str) -> str:
     return f"regexp_replace({esc}, {q(f'((?i:{needle})+)')}, '<mark>\\1</mark>', 'g')"
 
 
-@query(f"SELECT conv_id, turn, {_marked('ing')} AS html FROM conversations")
+@query(f"SELECT doc_id, {_marked('ing')} AS html FROM documents")
 def highlight(spark, sf):
-    return table(spark, sf, "conversations").select("conv_id", "turn", marks.highlight(Normalizer(()), F.col("text"), F.lit("ing")).alias("html"))
+    return table(spark, sf, "documents").select("doc_id", marks.highlight(Normalizer(()), F.col("text"), F.lit("ing")).alias("html"))
 
 
-@query()
+@query(f"""WITH a AS (SELECT doc_id, text AS whole, strpos(lower(text), 'ing') AS p FROM documents),
+b AS (SELECT *, CASE WHEN p = 0 THEN 0 ELSE greatest(0, p - 1 - 13) END AS start FROM a),
+c AS (SELECT *, substring(whole, start + 1, 40) AS text FROM b)
+SELECT doc_id, CASE WHEN start > 0 THEN '…' ELSE '' END || {_marked('ing')} || CASE WHEN start + 40 < length(whole) THEN '…' ELSE '' END AS html FROM c""")
 def excerpt(spark, sf):
-    return table(spark, sf, "conversations").select("conv_id", "turn", marks.excerpt(Normalizer(()), F.col("text"), F.lit("ing"), 40).alias("html"))
+    return table(spark, sf, "documents").select("doc_id", marks.excerpt(Normalizer(()), F.col("text"), F.lit("ing"), 40).alias("html"))
 
 
 @query("SELECT url, replace(replace(replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') AS html FROM pages")
@@ -246,14 +259,14 @@ def postings_invert(spark, sf):
     return p.select("token", "doc", F.col("tf").cast("long").alias("tf"), F.array_join(F.transform("positions", lambda x: x.cast("string")), ",").alias("positions"))
 
 
-@query("SELECT p_partkey AS doc, CAST(i AS INTEGER) AS field, length(v) AS len FROM (SELECT p_partkey, unnest([p_name, p_brand, p_type]) AS v, unnest([0, 1, 2]) AS i FROM part)")
+@query("SELECT doc_id AS doc, CAST(0 AS INTEGER) AS field, length(lower(text)) AS len FROM documents")
 def field_lengths(spark, sf):
-    return part_index(spark, sf).lengths.select("doc", "field", F.col("len").cast("long").alias("len"))
+    return latin_index(spark, sf).lengths.select("doc", "field", F.col("len").cast("long").alias("len"))
 
 
-@query("SELECT CAST(i AS INTEGER) AS field, count(*) AS n, round(avg(length(v)), 6) AS avg_len FROM (SELECT p_partkey, unnest([p_name, p_brand, p_type]) AS v, unnest([0, 1, 2]) AS i FROM part) GROUP BY i")
+@query("SELECT CAST(0 AS INTEGER) AS field, count(*) AS n, round(avg(length(lower(text))), 6) AS avg_len FROM documents")
 def corpus_stats(spark, sf):
-    return part_index(spark, sf).stats().select("field", "n", F.round("avg_len", 6).alias("avg_len"))
+    return latin_index(spark, sf).stats().select("field", "n", F.round("avg_len", 6).alias("avg_len"))
 
 
 @query(f"WITH {tokens_sql(CJK_DOCS)} SELECT DISTINCT token FROM t WHERE NOT regexp_matches(token, {q(HAS_CJK)})")
@@ -293,19 +306,19 @@ def _expanded(docs: str, token: str, where: str, fields: list[tuple[str, float]]
     return sql.replace(f"token IN ({q(chr(0))})", f"(token = {q(token)} OR {where})")
 
 
-@query(_expanded(PART_DOCS, "widget", "starts_with(token, 'widget')", [("p_name", 3), ("p_brand", 1), ("p_type", 2)], 1.0))
+@query(_expanded(LATIN_DOCS, "than", "starts_with(token, 'than')", [("text", 1)], 1.0))
 def search_prefix(spark, sf):
-    return shown(search(part_index(spark, sf), "widget"))
+    return shown(search(latin_index(spark, sf), "than"))
 
 
-@query(_expanded(PART_DOCS, "widgit", "(abs(length(token) - 6) <= 1 AND levenshtein(token, 'widgit') = 1)", [("p_name", 3), ("p_brand", 1), ("p_type", 2)], 0.6))
+@query(_expanded(LATIN_DOCS, "thxng", "(starts_with(token, 'thxng') OR (abs(length(token) - 5) <= 1 AND levenshtein(token, 'thxng') = 1))", [("text", 1)], 0.6))
 def search_typo(spark, sf):
-    return shown(search(part_index(spark, sf), "widgit"))
+    return shown(search(latin_index(spark, sf), "thxng"))
 
 
-@query(_expanded(PART_DOCS, "econ", "starts_with(token, 'econ')", [("p_name", 3), ("p_brand", 1), ("p_type", 2)], 0.6))
+@query(_expanded(LATIN_DOCS, "ertionh", "(starts_with(token, 'ertionh') OR (abs(length(token) - 7) <= 1 AND levenshtein(token, 'ertionh') = 1))", [("text", 1)], 0.6))
 def search_expanded_weight(spark, sf):
-    return shown(search(part_index(spark, sf), "econ"))
+    return shown(search(latin_index(spark, sf), "ertionh"))
 
 
 @query(search_sql(CJK_DOCS, [(0, *exact("東鳥学"))], [("text", 1)], limit=10))
@@ -329,8 +342,7 @@ def search_scan_substring(spark, sf):
 @query(f"WITH {tokens_sql(PART_DOCS)} SELECT DISTINCT token FROM t WHERE starts_with(token, 'b') AND token <> 'b'")
 def prefix_words(spark, sf):
     index = part_index(spark, sf)
-    asked = spark.createDataFrame([r for r in parsed(index, [(0, "b")])], "qid long, phrase int, part int, at int, token string, latin boolean, last boolean, n_parts int, n_phrases int")
-    return alternatives(index, asked).where("token != 'b'").select("token")
+    return alternatives(index, parsed(index, [(0, "b")])).where("token != 'b'").select("token")
 
 
 # --- filters and facets -------------------------------------------------------------------------------------------------
@@ -352,9 +364,9 @@ def filter_only(spark, sf):
 
 
 @stored
-def _orders(spark, sf) -> Index:
+def _orders(spark, sf):
     rows = table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc"), F.col("o_orderkey").cast("string").alias("ref"), F.col("o_orderpriority").alias("text"), F.col("o_orderdate").alias("date"))
-    return build(rows, Schema(["text"], filters={"date": "year"}, normalizer=PLAIN))
+    return build(rows, Schema(["text"], filters={"date": "year"}, normalizer=PLAIN)), rows
 
 
 @query("SELECT o_orderkey AS doc FROM orders WHERE year(o_orderdate) BETWEEN 1995 AND 1996")
@@ -462,3 +474,192 @@ def table_derivation(spark, sf):
     return evaluate.one_to_one(pairs, spark.createDataFrame([("w",)], "character string"))
 
 
+
+
+# --- sources and sinks: what is written and read again ---------------------------------------------------------------------------
+
+_PARTS_SQL = "SELECT CAST(p_partkey AS VARCHAR) AS id, p_name, p_brand FROM part"
+
+
+def _records(spark, sf) -> DataFrame:
+    return table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("id"), "p_name", "p_brand")
+
+
+@query(_PARTS_SQL)
+def source_csv(spark, sf):
+    to = folder(spark, "parts") + ".csv"
+    _records(spark, sf).write.option("header", True).csv(to)
+    return records.read(spark, to)
+
+
+@query(_PARTS_SQL)
+def source_json_lines(spark, sf):
+    to = folder(spark, "parts") + ".jsonl"
+    _records(spark, sf).write.option("compression", "gzip").json(to)
+    return records.read(spark, to).select("id", "p_name", "p_brand")
+
+
+_NATIONS_SQL = "SELECT CAST(n_nationkey AS VARCHAR) AS id, n_name AS name, CAST(n_regionkey AS VARCHAR) AS region FROM nation"
+
+
+def _nations(spark, sf) -> list[dict]:
+    return [{"id": str(r["n_nationkey"]), "name": r["n_name"], "region": str(r["n_regionkey"])} for r in table(spark, sf, "nation").collect()]
+
+
+@query(_NATIONS_SQL)
+def source_json_array(spark, sf):
+    to = folder(spark, "nations") + ".json"
+    stores.write_text(spark, to, json.dumps(_nations(spark, sf)))
+    return records.read(spark, to).select("id", "name", "region")
+
+
+@query(_NATIONS_SQL)
+def source_standard_input(spark, sf):
+    return records.from_text(spark, "\ufeff" + "\n\n".join(map(json.dumps, _nations(spark, sf)))).select("id", "name", "region")
+
+
+@query(_NATIONS_SQL)
+def source_in_memory(spark, sf):
+    return records.from_rows(spark, lambda: _nations(spark, sf)).select("id", "name", "region")
+
+
+@query("SELECT n_name AS name, CAST(n_regionkey AS VARCHAR) AS region, 'About ' || n_name || '.' || chr(10) AS content FROM nation")
+def source_front_matter(spark, sf):
+    to = folder(spark, "pages")
+    for n in _nations(spark, sf):
+        stores.write_text(spark, f"{to}/{n['id']}.md", f"---\nname: \"{n['name']}\"\nregion: {n['region']}\n---\nAbout {n['name']}.\n")
+    stores.write_text(spark, f"{to}/_index.md", "---\nname: none\n---\n")
+    return records.front_matter(spark, to).select(F.col("matter")["name"].alias("name"), F.col("matter")["region"].alias("region"), "content")
+
+
+@query("SELECT 'items/' || CASE WHEN p_partkey % 3 = 0 THEN (p_partkey - 1) || '.html#' || p_partkey ELSE p_partkey || '.html' END AS ref, p_name AS title FROM part")
+def source_collection(spark, sf):
+    key = F.col("p_partkey")
+    meta = table(spark, sf, "part").select(key.cast("string").alias("objectid"), F.when(key % 3 == 0, (key - 1).cast("string")).alias("parentid"), F.concat(F.lit(" "), "p_name").alias("title"), F.lit("1900").alias("date"))
+    config = spark.createDataFrame([("title", "true"), ("date", "false")], "field string, index string")
+    return records.collection(meta, config, children=True)[0].select("ref", "title")
+
+
+_PART_POSTINGS = f"WITH {tokens_sql(PART_DOCS)} SELECT token, doc, CAST(field AS INTEGER) AS field, string_agg(CAST(CAST(pos AS BIGINT) AS VARCHAR), ',' ORDER BY pos) AS positions FROM t GROUP BY token, doc, field"
+
+
+def _positions(postings: DataFrame) -> DataFrame:
+    return postings.select("token", "doc", "field", F.array_join(F.transform("positions", lambda x: x.cast("string")), ",").alias("positions"))
+
+
+@query(_PART_POSTINGS)
+def exchange_file(spark, sf):
+    """An index as one file, read again: documents are numbered from 0."""
+    to = folder(spark, "index").removeprefix("file://") + ".json"
+    index_files.write_file(part_index(spark, sf), to)
+    return _positions(index_files.read(spark, to, PLAIN).postings)
+
+
+@query(_PART_POSTINGS)
+def exchange_split(spark, sf):
+    """The same in shards, written twice."""
+    to = folder(spark, "index").removeprefix("file://")
+    for size in (4_000, 32_000):
+        index_files.write_split(part_index(spark, sf), to, size)
+    return _positions(index_files.read(spark, to, PLAIN).postings)
+
+
+@query(f"WITH {tokens_sql(PART_DOCS)} SELECT DISTINCT token FROM t WHERE NOT regexp_matches(token, {q(HAS_CJK)})")
+def exchange_latin_words(spark, sf):
+    """The list of Latin words that a split index has beside its shards."""
+    files = dict(index_files.split_files(part_index(spark, sf)))
+    words = json.loads(files[json.loads(files[index_files.MANIFEST])["latin"]])
+    return spark.createDataFrame([(w,) for w in words], "token string")
+
+
+@query("SELECT p_partkey AS doc, CAST(0 AS INTEGER) AS field, p_partkey % 7 || ',' || (p_partkey % 7 + p_size) AS positions FROM part WHERE p_size > 0")
+def posting_codec(spark, sf):
+    """Posting lists coded and decoded."""
+
+    @F.udf("array<struct<doc:long,field:int,positions:array<long>>>")
+    def coded(es):
+        return [(d, f, ps) for d, f, ps in codec.decode(codec.encode([(e["doc"], e["field"], e["positions"]) for e in es], 1), 1)]
+
+    rows = table(spark, sf, "part").where("p_size > 0").select((F.col("p_partkey") % 16).alias("list"), F.struct(F.col("p_partkey").alias("doc"), F.lit(0).alias("field"), F.array(F.col("p_partkey") % 7, F.col("p_partkey") % 7 + F.col("p_size")).alias("positions")).alias("e"))
+    back = rows.groupBy("list").agg(F.sort_array(F.collect_list("e")).alias("es")).select(F.inline(coded("es")))
+    return back.select("doc", "field", F.array_join(F.transform("positions", lambda x: x.cast("string")), ",").alias("positions"))
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS ref, count(*) AS n FROM documents GROUP BY doc_id UNION ALL SELECT 'new' || doc_id, 1 FROM documents WHERE doc_id % 11 = 4")
+def update_add(spark, sf):
+    docs = latin(spark, sf)
+    changes = _changes(spark, sf, "add", 11, 4).withColumn("ref", F.concat(F.lit("new"), "ref"))
+    return applied(docs, changes).groupBy("ref").agg(F.count("*").alias("n"))
+
+
+@query("SELECT 'changed' AS token, count(*) AS df FROM part WHERE p_partkey % 5 = 0")
+def snapshot_update(spark, sf):
+    """A published snapshot, changed under the lock and read again; a batch that comes again changes nothing."""
+    docs, root = parts(spark, sf), folder(spark, "snapshot")
+    snapshots.write(build(docs, Schema(["p_name"], normalizer=PLAIN)), docs, root)
+    changes = docs.where("doc % 5 = 0").select(F.col("doc").alias("seq"), F.lit("update").alias("op"), "ref", F.lit("changed part").alias("p_name"), "p_brand", "p_type")
+    for _ in range(2):
+        snapshots.update(spark, root, lambda index, d: updated(index, d, changes), PLAIN, batch=0)
+    snapshots.cleaned(root, 1, spark)
+    return snapshots.load(spark, root, PLAIN)[0].postings.where("token = 'changed'").groupBy("token").agg(F.count("*").alias("df"))
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS ref FROM part WHERE p_partkey % 4 <> 1")
+def stream_ingest(spark, sf):
+    """A stream of removals, applied to a snapshot."""
+    docs, root, feed = parts(spark, sf), folder(spark, "snapshot"), folder(spark, "feed")
+    snapshots.write(build(docs, Schema(["p_name"], normalizer=PLAIN)), docs, root)
+    changes = docs.where("doc % 4 = 1").select(F.col("doc").alias("seq"), F.lit("remove").alias("op"), "ref", "p_name", "p_brand", "p_type")
+    changes.write.parquet(feed)
+    ingest(spark.readStream.schema(changes.schema).parquet(feed), root, folder(spark, "checkpoint"), PLAIN).awaitTermination()
+    return snapshots.load(spark, root, PLAIN)[0].docs.select("ref")
+
+
+# --- folding on, and what else a search can be asked -------------------------------------------------------------------------------
+
+
+@stored
+def folded_index(spark, sf):
+    """Documents in old forms of the characters, folded with compatibility forms and the built-in table."""
+    docs = latin(spark, sf).withColumn("text", F.translate(F.lower("text"), LETTERS[:8], OLD))
+    return build(docs, Schema(["text"], filters=["lang"], normalizer=Normalizer(("ja",)))), docs
+
+
+_FOLDED_DOCS = f"SELECT doc_id AS doc, 0 AS field, translate(nfc_normalize(lower(text)), {q(LETTERS[:8])}, {q(NEW)}) AS folded, lang, source FROM documents"
+
+
+@query(search_sql(_FOLDED_DOCS, [(0, *exact("台実"))], [("text", 1)]))
+def search_folded(spark, sf):
+    return shown(search(folded_index(spark, sf), "臺實"))
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS ref FROM part")
+def refs_listing(spark, sf):
+    return part_index(spark, sf).refs()
+
+
+@query("SELECT doc_id AS doc FROM documents")
+def filter_none(spark, sf):
+    """Conditions that are none: an empty list and a null."""
+    return passing(latin_index(spark, sf), {"lang": [], "source": None})
+
+
+@query("SELECT doc_id AS doc FROM documents WHERE false")
+def filter_unknown_value(spark, sf):
+    return passing(latin_index(spark, sf), {"lang": "no such language"})
+
+
+@query("SELECT p_partkey AS doc, 1900 + p_partkey % 50 AS year FROM part WHERE p_partkey % 10 <> 0")
+def filter_years_of_values(spark, sf):
+    """The first value of an array that has a year."""
+    key = F.col("p_partkey")
+    rows = table(spark, sf, "part").select(key.alias("doc"), F.array(F.lit("n.d."), F.when(key % 10 != 0, F.concat(F.lit("about "), (1900 + key % 50).cast("string"))), F.when(key % 10 != 0, F.lit("2000"))).alias("date"), F.lit("x").alias("text"))
+    return filter_years(rows, Schema(["text"], filters={"date": "year"}, normalizer=PLAIN)).select("doc", F.col("year").cast("long").alias("year"))
+
+
+@query(f"""WITH {tokens_sql(CJK_DOCS)}, m AS (SELECT * FROM d WHERE contains(folded, '東鳥学植'))
+SELECT 'lang' AS filter, lang AS value, count(*) AS count FROM m WHERE source = 'src0' GROUP BY lang UNION ALL SELECT 'source', source, count(*) FROM m WHERE lang = 'en' GROUP BY source""")
+def facets_each_without_own(spark, sf):
+    found = facets_without_own(ideograph_index(spark, sf), "東鳥学植", {"lang": "en", "source": "src0"})
+    some = [f.select(F.lit(name).alias("filter"), "value", "count") for name, f in found.items()]
+    return some[0].unionByName(some[1])

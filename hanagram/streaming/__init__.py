@@ -12,20 +12,16 @@ from ..sources import snapshots
 def ingest(changes: DataFrame, root: str, checkpoint: str, normalizer=None, **trigger) -> StreamingQuery:
     """Starts a query that applies ``changes`` (seq, op, ref, fields) to the snapshot in ``root``.
 
-    A batch is applied in the order of seq; a batch that is delivered twice after a failure is recognised by its number, which
-    is kept beside the pointer, so each change takes effect once.
+    A batch is applied in the order of seq. Its number is published with the snapshot that holds it, in one step, so that a
+    batch that is delivered again after a failure, whenever that was, takes effect once.
     """
-    from pathlib import Path
 
     def apply(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        mark = Path(root, "batch")
-        if mark.exists() and int(mark.read_text()) >= number:
-            return
         batch.persist()
-        if not batch.isEmpty():
-            snapshots.update(spark, root, lambda index, docs: updated(index, docs, batch), normalizer)
-        mark.write_text(str(number))
-        batch.unpersist()
+        try:
+            if not batch.isEmpty():
+                snapshots.update(batch.sparkSession, root, lambda index, docs: updated(index, docs, batch), normalizer, batch=number)
+        finally:
+            batch.unpersist()
 
     return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

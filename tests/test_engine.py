@@ -168,6 +168,74 @@ def test_snapshots(spark, tmp_path):
         pass
 
 
+def test_search_reads_only_its_tokens(spark, tmp_path):
+    docs = spark.createDataFrame([(i, str(i), f"word{i:04d} common east") for i in range(3000)], "doc long, ref string, title string")
+    snapshots.write(build(docs, Schema(["title"], normalizer=Normalizer(()))), docs, str(tmp_path / "snap"), partitions=6)
+    index = snapshots.load(spark, str(tmp_path / "snap"))[0]
+    found = search(index, "word0007 common")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "In(token, [common,word0007])" in plan or "EqualTo(token" in plan
+    assert [r["ref"] for r in found.collect()] == ["7"]
+    assert {r["token"] for r in index.latin().collect()} == {"common", "east", *(f"word{i:04d}" for i in range(3000))}
+    every = search(index, "east").orderBy("rank").collect()  # ranked band by band
+    assert [r["rank"] for r in every] == list(range(1, 3001)) and [r["doc"] for r in every] == list(range(3000))
+
+
+def test_many_alternatives(spark, monkeypatch):
+    from hanagram.operators import search as s
+
+    index = index_of(spark, [{"ref": f"r{i}", "title": f"word{i}"} for i in range(30)], ["title"])
+    want = sorted(refs(index, "wor"))
+    monkeypatch.setattr(s, "LOCAL_ALTERNATIVES", 3)
+    assert sorted(refs(index, "wor")) == want and len(want) == 30
+
+
+def test_writer_that_dies_publishes_nothing(spark, tmp_path):
+    """A process that is killed between writing and publishing holds no lock and leaves the old snapshot in place."""
+    import signal
+    import subprocess
+    import sys
+
+    root = str(tmp_path / "snap")
+    docs = spark.createDataFrame([(0, "a", "東京大学")], "doc long, ref string, title string")
+    version = snapshots.write(build(docs, Schema(["title"], normalizer=JA)), docs, root)
+    code = f"import os, time; from hanagram.sources import snapshots\nwith snapshots.locked({root!r}):\n os.makedirs({root!r} + '/zzz/postings'); print('in', flush=True); time.sleep(60)"
+    child = subprocess.Popen([sys.executable, "-c", code], stdout=subprocess.PIPE)
+    child.stdout.readline()
+    with pytest.raises(snapshots.LockTimeout), snapshots.locked(root, timeout=0.05):
+        pass
+    child.send_signal(signal.SIGKILL)
+    child.wait()
+    with snapshots.locked(root, timeout=5):
+        assert snapshots.current(root, spark) == version and refs(snapshots.load(spark, root, JA)[0], "東京") == ["a"]
+    assert snapshots.cleaned(root, 1, spark) == ["zzz"] and snapshots.current(root, spark) == version
+
+
+def test_batches_take_effect_once(spark, tmp_path):
+    root = str(tmp_path / "snap")
+    docs = spark.createDataFrame([(0, "a", "x")], "doc long, ref string, title string")
+    snapshots.write(build(docs, Schema(["title"])), docs, root)
+    feed = spark.createDataFrame([(0, "add", "b", "y")], "seq long, op string, ref string, title string")
+    for number, n in ((4, 2), (4, 2), (3, 2), (None, 3), (4, 3), (5, 4)):
+        snapshots.update(spark, root, lambda i, d: updated(i, d, feed), batch=number)
+        assert snapshots.load(spark, root)[0].docs.count() == n
+
+
+def test_locks_elsewhere(spark, tmp_path, monkeypatch):
+    """A store that isn't this machine's: a lock file that is created once, and taken over when it is stale."""
+    from hanagram.sources import stores
+
+    monkeypatch.setattr(stores, "local", lambda path: False)
+    root = f"file://{tmp_path}/far"
+    with snapshots.locked(root, spark=spark), pytest.raises(snapshots.LockTimeout), snapshots.locked(root, timeout=0.05, spark=spark):
+        pass
+    assert stores.created(spark, f"{root}/.lock", "x")
+    monkeypatch.setattr(snapshots, "STALE", -1.0)
+    with snapshots.locked(root, timeout=1, spark=spark):
+        assert stores.exists(spark, f"{root}/.lock")
+    assert not stores.exists(spark, f"{root}/.lock")
+
+
 def test_streaming_ingest(spark, tmp_path):
     from hanagram.streaming import ingest
 

@@ -97,3 +97,24 @@ def test_marks():
     assert marks.highlighted(JA, "珊\U000e0100瑚", "珊") == "<mark>珊\U000e0100</mark>瑚"
     assert marks.highlighted(JA, "ｶﾞｽ", "がす") == "<mark>ｶﾞｽ</mark>"
     assert marks.highlighted(JA, None, "x") == "" and marks.excerpted(JA, "abcdef", "x", 3) == "abc…"
+
+
+def test_occurrences_equal_located():
+    import random
+
+    from hanagram.functions.positional import grouped, occurrences
+    from hanagram.functions.tokens import located
+
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("ab東京大学図 、。x1é🙂ー々\n") for _ in range(rng.randrange(50))) for _ in range(500)] + ["", "東", "a"]
+    for unigrams in (True, False):
+        tokens, token, text, position = occurrences(texts, unigrams)
+        names = tokens.to_pylist()
+        rows, numbers, bounds, positions = grouped(token, text, position)
+        got = {}
+        for r, k, lo, hi in zip(rows.tolist(), numbers.tolist(), bounds, bounds[1:]):
+            got.setdefault(r, {})[names[k]] = positions[lo:hi].tolist()
+        for i, t in enumerate(texts):
+            want = {}
+            located(t, 0, unigrams, want)
+            assert got.get(i, {}) == want
