@@ -27,9 +27,13 @@ from .shingle_product import Sets, linked
 ANCHORS = frozenset("the a an is was are be of to in it that this and or on for with der die das und ist den ein eine le la les de des et est un une el los las del y en que es no".split())
 #: How many content words a signature chains, and at which distance from one another.
 CHAIN, STEP = 2, 1
-#: With fewer signatures than this at anchors, every word is an anchor (or, in a text of one word, every character).
+#: A word so many words after the last anchor (or the beginning) is one too, so that no part of a text is without.
+GAP = 8
+#: Texts of fewer signatures than this also have one for every two words side by side.
 FEW = 4
 _WORD = re.compile(r"\w+")
+#: Runs without blanks between words, as of ideographs and kana: each three characters are a signature.
+_WIDE = re.compile("[\u2e80-\U0010ffff]{3,}")
 _codes: dict[str, int] = {}
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -44,9 +48,8 @@ def _code(word: str) -> int:
 
 
 def signatures(text: str, chain: int = CHAIN, step: int = STEP) -> np.ndarray:
-    """The sorted distinct 32-bit signatures of a text. To fewer than FEW are added those of every pair of words side by side, or of
-    every three characters if there are less than two words; a text of fewer characters, or without words, has one of
-    itself; an empty text has none."""
+    """The sorted distinct 32-bit signatures of a text. What makes one is near it, so that an edit leaves those elsewhere alone. A
+    text without words, or of one word and no other signature, has one of itself; an empty text has none."""
     words = _WORD.findall(text)
     if not words:
         return np.array([xxhash.xxh32_intdigest(text)] if text else [], np.uint32)
@@ -54,21 +57,22 @@ def signatures(text: str, chain: int = CHAIN, step: int = STEP) -> np.ndarray:
     code = np.array([get(w) or _code(w) for w in words], np.uint64)
     anchor = (code & np.uint64(1)).astype(bool)
     content = np.flatnonzero(~anchor)
-    spots = np.flatnonzero(anchor)
-    found = np.zeros(0, np.uint32)
+    place = np.arange(len(code))
+    spots = np.flatnonzero(anchor | (place - np.maximum.accumulate(np.where(anchor, place, -1)) >= GAP))
+    found = [np.zeros(0, np.uint32)]
     if len(content):
-        first = np.searchsorted(content, spots)  # the first content word after each anchor
+        first = np.searchsorted(content, spots, side="right")  # the first content word after each anchor
         fits = first + (chain - 1) * step < len(content)
         spots, first = spots[fits], first[fits]
-        found = _chained([code[spots], *(code[content[first + n * step]] for n in range(chain))])
-    if len(found) < FEW:
-        if len(words) > 1:
-            more = _chained([code[:-1], code[1:]])
-        else:
-            c = np.frombuffer(words[0].lower().encode("utf-32-le"), np.uint32).astype(np.uint64)
-            more = _chained([c[:-2], c[1:-1], c[2:]]) if len(c) > 2 else np.array([xxhash.xxh32_intdigest(words[0].lower())], np.uint32)
-        found = np.union1d(found, more)
-    return found
+        found.append(_chained([code[spots], *(code[content[first + n * step]] for n in range(chain))]))
+    if not text.isascii():
+        for run in _WIDE.findall(text):
+            c = np.frombuffer(run.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+            found.append(_chained([c[:-2], c[1:-1], c[2:]]))
+    if sum(map(len, found)) < FEW and len(words) > 1:
+        found.append(_chained([code[:-1], code[1:]]))
+    out = np.unique(np.concatenate(found))
+    return out if len(out) else np.array([xxhash.xxh32_intdigest(words[0].lower())], np.uint32)
 
 
 def _chained(parts: list[np.ndarray]) -> np.ndarray:
