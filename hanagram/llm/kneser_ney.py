@@ -34,6 +34,8 @@ PIECE_CHARS = 1_000_000
 QUANTILE, WIDTH = 0.99, 2.0
 #: A text of n units may exceed the threshold by SLACK / sqrt(n): the mean over few units varies.
 SLACK = 2.0
+#: N-grams that differ in the last two codes only are one shard's: what is asked for compresses well.
+PREFIX = 2 * BITS
 _LOW = [np.int64((1 << BITS * n) - 1) for n in range(ORDER + 1)]
 #: What a request of order n adds to its key.
 _TAG = [np.int64(n << BITS * ORDER) for n in range(ORDER + 1)]
@@ -300,7 +302,7 @@ def _requests(blocks: DataFrame, shards: int, across: bool) -> DataFrame:
                         words.clear()
                 keys += [np.unique(grams(x)[0]) for x in parts_of(words)] or [np.zeros(0, np.int64)]
                 ids = wanted(np.unique(np.concatenate(keys)))
-                shard = ids % 1_000_003 % shards
+                shard = (ids >> PREFIX) % 1_000_003 % shards
                 by = np.argsort(shard, kind="stable")
                 at = np.searchsorted(shard[by], np.arange(shards + 1))
                 yield pa.RecordBatch.from_arrays([pa.array(range(shards), pa.int64()), pa.array([block] * shards, pa.int64()), pa.array([lang] * shards), pa.array([squeezed(ids[by[lo:hi]]) for lo, hi in zip(at, at[1:])], pa.binary())], ["shard", "block", "lang", "ids"])
@@ -330,7 +332,7 @@ def _answers(requests: DataFrame, known: DataFrame, shards: int) -> DataFrame:
                 rows.append((block, squeezed(q[same]), a[hit].astype(np.float32).tobytes(), g[hit].astype(np.float32).tobytes()))
         return pa.table({c: pa.array([r[i] for r in rows], t) for i, (c, t) in enumerate((("block", pa.int64()), ("ids", pa.binary()), ("alpha", pa.binary()), ("gamma", pa.binary())))})
 
-    known = known.withColumn("shard", F.col("id") % 1_000_003 % shards)
+    known = known.withColumn("shard", F.shiftright("id", PREFIX) % 1_000_003 % shards)
     return requests.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(run, "block long, ids binary, alpha binary, gamma binary")
 
 

@@ -7,8 +7,8 @@
 3. Within a block the incidence matrix is multiplied with its transpose, which accumulates the overlap of each pair; pairs
    below the bound that their sizes give are discarded, and the others link.
 4. A block of many sets or n-grams is cut: slices are multiplied by themselves, then by leaders of the block's largest
-   components, then what doesn't yet belong to the block's main component by the slices that hold a set of fitting size
-   with which it shares a part, which keys and sizes alone tell. Pairs within one component need no product.
+   components, then what doesn't yet belong to the block's main component by the slices whose sizes may link with its own.
+   Pairs within one component need no product.
 """
 
 from __future__ import annotations
@@ -38,10 +38,10 @@ SPARE = 0.2
 #: Frequent n-grams are those counted so often in LOCAL_GRAMS n-grams at least, and in all at least 64 times and once in
 #: HOT_MOST, so that there are HOT_MOST of them at most (8 MB). Which are known affects only the size of blocks.
 LOCAL_GRAMS, LOCAL_TIMES, HOT_MOST = 2_000_000, 6, 1 << 20
-#: Bytes of keys for each shard at most, and shards for each shuffle partition at least, which evens out how many fall into one.
-SHARD_BYTES, SHARDS = 16 << 20, 8
+#: Bytes of keys for each shard at most.
+SHARD_BYTES = 16 << 20
 #: Keys that a task holds before it sends them, digests of sets that it knows again, words whose hashes it keeps.
-HELD_KEYS, SEEN, WORDS = 1_000_000, 100_000, 100_000
+HELD_KEYS, SEEN, WORDS = 1_250_000, 100_000, 100_000
 
 _codes: dict[bytes, int] = {}
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -341,12 +341,12 @@ def _rows(it):
 
 
 def _within(percent: int):
-    """Links within each (block, slice) of rows (block, slice, sid, s) sorted by the first three, one for each set that is not
-    its component's first."""
+    """Links within each slice of rows (block, level, slice, sid, s) sorted by the first four, one for each set that is not its
+    component's first."""
 
     def run(it):
-        for _, rows in groupby(_rows(it), lambda r: r[:2]):
-            sets = {sid: np.frombuffer(s, np.uint64) for _, _, sid, s in rows}
+        for _, rows in groupby(_rows(it), lambda r: r[:3]):
+            sets = {sid: np.frombuffer(s, np.uint64) for *_, sid, s in rows}
             names = list(sets)
             forest = Forest(len(names))
             for a, b in product(list(sets.values()), None, percent).tolist():
@@ -359,13 +359,13 @@ def _within(percent: int):
 
 
 def _across(percent: int):
-    """Links within each (block, slice) between members (part 0) and probes (part 1), one for each probe and component, of rows
-    (block, slice, part, sid, root, s) sorted by the first four. Members are held, probes go by."""
+    """Links within each slice between members (part 0) and probes (part 1), one for each probe and component, of rows (block, level,
+    slice, part, sid, root, s) sorted by the first five. Members are held, probes go by."""
 
     def run(it):
-        for _, rows in groupby(_rows(it), lambda r: r[:2]):
+        for _, rows in groupby(_rows(it), lambda r: r[:3]):
             members: dict[bytes, tuple] = {}
-            for part, some in groupby(rows, lambda r: r[2]):
+            for part, some in groupby(rows, lambda r: r[3]):
                 if part == 0:
                     members = {sid: (root, np.frombuffer(s, np.uint64)) for *_, sid, root, s in some}
                     continue
@@ -390,56 +390,38 @@ def _across(percent: int):
     return run
 
 
-def _keyed(make: Sets, percent: int, hot):
-    """(key, block, slice, sid, n) for each key of each set of rows (block, slice, sid, n, s)."""
-
-    def run(it):
-        for b in it:
-            for block, slice_, sid, n, s in zip(*(c.to_pylist() for c in b.columns)):
-                x = make.keys(np.frombuffer(s, np.uint64), percent, hot.value)
-                for lo in range(0, len(x), 100_000):
-                    part = x[lo : lo + 100_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(part.view(np.int64)), pa.array([block] * len(part), pa.int64()), pa.array([slice_] * len(part), pa.int64()), pa.array([sid] * len(part), pa.binary()), pa.array([n] * len(part), pa.int64())], ["key", "block", "slice", "sid", "n"])
-
-    return run
-
-
-def _large(big: DataFrame, links: DataFrame, make: Sets, percent: int, hot) -> DataFrame:
-    """The links that are still missing in blocks of several slices. ``big``: (block, slice, slices, sid, n, s)."""
+def _large(big: DataFrame, sizes: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+    """The links that are still missing in blocks of several slices. ``big``: (block, level, slice, sid, s), ``sizes``: (block, level,
+    slices). A set meets the slices of its size level and of the two beside it; no other set is of a size that may link."""
     spark = big.sparkSession
     parts = shuffle_partitions(spark)
-    where = big.select("block", "slice", "slices", "sid", "n").distinct()
+    where = big.select("block", "level", "slice", "sid").distinct()
+    beside = sizes.select("block", F.explode(F.array(F.col("level") - 1, F.col("level"), F.col("level") + 1)).alias("level"), F.col("level").alias("at"), "slices")
+    slots = near(written(beside.select("block", "level", "at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice")), "shingle-slots"))
 
     def rooted(known: DataFrame) -> DataFrame:
         found = components(known, "shingle-rooted")
         return where.join(found.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
 
-    def met(asked: DataFrame, at: DataFrame) -> DataFrame:
-        """Links of probes with the slices of their blocks that are ``asked`` for (block, slice, sid); ``at``: the roots so far. Sets
-        move once, and only those of slices that are asked for."""
+    def met(probes: DataFrame, at: DataFrame) -> DataFrame:
+        """Links of ``probes`` (block, level, sid) with the slices that may hold a partner; ``at``: the roots so far. Sets move once."""
         full = big.join(near(at.select("sid", "root")), "sid")
-        members = full.join(near(written(asked.select("block", "slice").distinct(), "shingle-asked")), ["block", "slice"], "left_semi")
-        probes = full.drop("slice").join(near(asked), ["sid", "block"]).withColumn("part", F.lit(1))
-        rows = members.withColumn("part", F.lit(0)).unionByName(probes).select("block", "slice", "part", "sid", "root", "s")
-        return rows.repartition(parts, "block", "slice").sortWithinPartitions("block", "slice", "part", "sid").mapInArrow(tidied(_across(percent)), "a binary, b binary")
+        asked = full.drop("slice").join(near(probes), ["block", "level", "sid"], "left_semi").join(slots, ["block", "level"])
+        asked = asked.select("block", F.col("at").alias("level"), "slice", F.lit(1).alias("part"), "sid", "root", "s")
+        rows = full.withColumn("part", F.lit(0)).select(*asked.columns).unionByName(asked)
+        rows = rows.repartition(parts, "block", "level", "slice").sortWithinPartitions("block", "level", "slice", "part", "sid")
+        return rows.mapInArrow(tidied(_across(percent)), "a binary, b binary")
 
     at = written(rooted(links), "shingle-roots")
-    # Leaders: of each of a block's first slices the first set of the largest component there.
-    size = at.where(F.col("slice") < LEADERS).groupBy("block", "slice", "slices", "root").agg(F.count("*").alias("c"), F.min("sid").alias("sid"))
-    leaders = size.groupBy("block", "slice").agg(F.max(F.struct("c", "sid", "slices")).alias("x"))
-    leaders = written(leaders.select("block", F.col("x.sid").alias("sid"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("x.slices") - 1)).alias("slice")), "shingle-leaders")
+    # Leaders: of each of a level's first slices the first set of the largest component there.
+    size = at.where(F.col("slice") < LEADERS).groupBy("block", "level", "slice", "root").agg(F.count("*").alias("c"), F.min("sid").alias("sid"))
+    leaders = written(size.groupBy("block", "level", "slice").agg(F.max(F.struct("c", "sid")).alias("x")).select("block", "level", F.col("x.sid").alias("sid")), "shingle-leaders")
     links = written(links.unionByName(met(leaders, at)), "shingle-links")
     after = written(rooted(links), "shingle-roots")
     main = written(after.groupBy("block", "root").count().groupBy("block").agg(F.max(F.struct("count", "root")).alias("x")).select("block", F.col("x.root").alias("main")), "shingle-main")
-    rest = written(after.join(main, "block").where("root != main").select("sid"), "shingle-rest")
-    # Which slices of its block a set of the rest has to meet: those with a set that shares a key and whose size fits.
-    each = written(big.select("block", "slice", "sid", "n", "s").mapInArrow(_keyed(make, percent, hot), "key long, block long, slice long, sid binary, n long"), "shingle-keys")
-    held = each.groupBy("key", "slice").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    mine = each.drop("slice").join(near(rest), "sid", "left_semi").distinct()
-    asked = mine.join(held, "key").where(f"low * {percent} <= 100 * n and n * {percent} <= 100 * high").select("block", "slice", "sid").distinct()
-    asked = written(asked, "shingle-asked")
-    out = written(links.unionByName(met(asked, after)), "shingle-links")
-    dropped(at, leaders, links, after, main, rest, each, asked)
+    rest = written(after.join(near(main), "block").where("root != main").select("block", "level", "sid"), "shingle-rest")
+    out = written(links.unionByName(met(rest, after)), "shingle-links")
+    dropped(at, leaders, links, after, main, rest)
     return out
 
 
@@ -476,33 +458,41 @@ def _linked(texts: DataFrame, make: Sets, percent: int) -> DataFrame:
     total = facts.agg(F.sum("n")).first()[0] or 0
     often = every.where("gram is not null").groupBy("gram").agg(F.sum("n").alias("times")).where(F.col("times") >= max(64, total // HOT_MOST + 1))
     hot = spark.sparkContext.broadcast(np.sort(often.select("gram").toPandas()["gram"].to_numpy(np.int64).view(np.uint64)))
-    shards = max(24, SHARDS * parts, math.ceil(total * (100 - percent) / percent * 2.5 * 8 / SHARD_BYTES))
+    shards = max(24, parts, math.ceil(total * (100 - percent) / percent * 2.5 * 8 / SHARD_BYTES))
     blocks = components(_block_edges(texts.select("doc_id", "text"), make, percent, shards, hot), "shingle-blocks").withColumnRenamed("root", "block")
     # One row for each set in a block of two or more.
     sets = facts.where("n > 0").groupBy("sid", "node", "n").agg(F.min("doc_id").alias("doc_id"))
     sets = written(sets.join(blocks, "node").select("sid", "n", "doc_id", "block"), "shingle-sets")
-    slices = F.greatest(F.ceil(F.count("*") / SLICE), F.ceil(F.sum("n") / SLICE_GRAMS))
-    counts = written(sets.groupBy("block").agg(F.count("*").alias("c"), slices.alias("slices")).where("c > 1").select("block", "slices"), "shingle-counts")
-    placed = written(sets.join(counts, "block").withColumn("slice", F.pmod(F.xxhash64("sid"), F.col("slices"))).select("doc_id", "sid", "n", "block", "slice", "slices"), "shingle-placed")
+    level = (F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent) + 1e-9) if percent < 100 else F.col("n")).cast("long")
+    sets = sets.withColumn("level", level)
+    counts = sets.groupBy("block", "level").agg(F.count("*").alias("c"), F.sum("n").alias("total"))
+    # A block of one slice stays whole; a larger one is cut by size levels, and these by hash.
+    whole = sets.groupBy("block").agg(F.count("*").alias("c"), F.sum("n").alias("total")).where("c > 1").withColumn("large", (F.col("c") > SLICE) | (F.col("total") > SLICE_GRAMS))
+    whole = written(whole.select("block", "large"), "shingle-whole")
+    slices = F.greatest(F.ceil(F.col("c") / SLICE), F.ceil(F.col("total") / SLICE_GRAMS))
+    cut = written(counts.join(whole.where("large").select("block"), "block").select("block", "level", slices.alias("slices")), "shingle-counts")
+    small = sets.join(near(whole.where("not large").select("block")), "block").select("doc_id", "sid", "block", F.lit(0).cast("long").alias("level"), F.lit(0).cast("long").alias("slice"), F.lit(False).alias("large"))
+    big = sets.join(near(cut), ["block", "level"]).select("doc_id", "sid", "block", "level", F.pmod(F.xxhash64("sid"), F.col("slices")).alias("slice"), F.lit(True).alias("large"))
+    placed = written(small.unionByName(big), "shingle-placed")
     # Few places are broadcast (about 60 bytes each); beyond, texts are shuffled to them.
-    some = texts.select("doc_id", "text").join(near(placed), "doc_id").select("block", "slice", "slices", "sid", "n", "text")
+    some = texts.select("doc_id", "text").join(near(placed), "doc_id").select("block", "level", "slice", "large", "sid", "text")
     # A repeated id may have other texts: the digest tells them apart.
-    incidence = some.mapInArrow(tidied(_incidence(5, make), forget), "block long, slice long, slices long, sid binary, n long, s binary, own binary").where("sid = own").drop("own")
+    incidence = some.mapInArrow(tidied(_incidence(5, make), forget), "block long, level long, slice long, large boolean, sid binary, s binary, own binary").where("sid = own").drop("own")
     if placed.where("doc_id is null").limit(1).count():  # sets without an id are found by their digest
         bare = texts.where("doc_id is null").select("text").mapInArrow(_incidence(0, make), "s binary, own binary").where("own is not null")
         incidence = incidence.unionByName(bare.join(placed.where("doc_id is null"), F.col("own") == F.col("sid")).select(*incidence.columns))
-    large = bool(placed.where("slices > 1").limit(1).count())
+    large = bool(cut.limit(1).count())
     if large:
         incidence = written(incidence, "shingle-incidence")
-    inner = incidence.select("block", "slice", "sid", "s").repartition(parts, "block", "slice").sortWithinPartitions("block", "slice", "sid")
+    inner = incidence.select("block", "level", "slice", "sid", "s").repartition(parts, "block", "level", "slice").sortWithinPartitions("block", "level", "slice", "sid")
     links = written(inner.mapInArrow(tidied(_within(percent)), "a binary, b binary"), "shingle-links")
     if large:
         inner_links = links
-        links = _large(incidence.where("slices > 1"), links, make, percent, hot)
+        links = _large(incidence.where("large").drop("large"), cut, links, percent)
         dropped(inner_links)
     found = written(components(links, "shingle-components"), "shingle-found")
     out = written(facts.join(found.withColumnRenamed("node", "sid"), "sid", "left").select("doc_id", "h", "n", F.coalesce("root", "sid").alias("root")), "shingle-rooted")
-    dropped(every, sets, counts, placed, links, found, *([incidence] if large else []))
+    dropped(every, sets, whole, cut, placed, links, found, *([incidence] if large else []))
     hot.unpersist()
     return out
 
