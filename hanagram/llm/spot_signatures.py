@@ -162,9 +162,9 @@ _COLUMNS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string,
 RANGES = 16
 
 
-def against_next(docs: DataFrame, share: int = 4, percent: int = 80) -> DataFrame:
-    """Each document's fingerprint beside that of its edited text and of the next document in ascending doc_id, and its class under
-    similarity of ``percent`` / 100 (``classes``).
+def against_next(docs: DataFrame, share: int = 4, percent: int | None = None) -> DataFrame:
+    """Each document's fingerprint beside that of its edited text and of the next document in ascending doc_id; with
+    ``percent`` also its class_id under similarity of ``percent`` / 100 (``classes``).
 
     In the edited text the last floor(n_chars / ``share``) code points are replaced by the first as many (or all) of the next
     document, after the last document the first. A null text counts as empty; a null doc_id comes first in the order;
@@ -208,10 +208,11 @@ def against_next(docs: DataFrame, share: int = 4, percent: int = 80) -> DataFram
     none = F.lit(None).cast("long")
     tails = heads.select(before[F.col("bucket")].alias("bucket"), "x.doc_id", "x.h", "x.z", F.lit(1).alias("tail"), none.alias("class_id"))
     dealt = texts.mapInArrow(squeeze, "bucket long, doc_id long, h long, z binary").withColumn("tail", F.lit(0)).withColumn("class_id", none)
-    known = classes(docs, percent).mapInArrow(placed, "bucket long, doc_id long, h long, class_id long")
-    known = known.select("bucket", "doc_id", "h", F.lit(None).cast("binary").alias("z"), F.lit(0).alias("tail"), "class_id")
-    # A document's class comes before it: its z is null.
-    dealt = dealt.unionByName(tails).unionByName(known).repartition(shuffle_partitions(spark), "bucket").sortWithinPartitions("bucket", "tail", "doc_id", "h", F.asc_nulls_first("z"))
+    dealt = dealt.unionByName(tails)
+    if percent is not None:  # a document's class comes before it: its z is null
+        known = classes(docs, percent).mapInArrow(placed, "bucket long, doc_id long, h long, class_id long")
+        dealt = dealt.unionByName(known.select("bucket", "doc_id", "h", F.lit(None).cast("binary").alias("z"), F.lit(0).alias("tail"), "class_id"))
+    dealt = dealt.repartition(shuffle_partitions(spark), "bucket").sortWithinPartitions("bucket", "tail", "doc_id", "h", F.asc_nulls_first("z"))
 
     def run(it):
         d = zstandard.ZstdDecompressor()
@@ -234,4 +235,5 @@ def against_next(docs: DataFrame, share: int = 4, percent: int = 80) -> DataFram
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64()))], [x.split()[0] for x in _COLUMNS.split(", ")])
 
-    return dealt.select("bucket", "doc_id", "z", "tail", "class_id").mapInArrow(run, _COLUMNS)
+    out = dealt.select("bucket", "doc_id", "z", "tail", "class_id").mapInArrow(run, _COLUMNS)
+    return out if percent is not None else out.drop("class_id")
