@@ -30,9 +30,11 @@ from .common import written
 from .word_merges import Ragged
 
 #: Characters of a block, and of a slice of words whose merges are replayed together.
-BLOCK_CHARS, SLICE_CHARS = 8_000_000, 12_000_000
+BLOCK_CHARS, SLICE_CHARS = 12_000_000, 12_000_000
 #: Bytes of text for each shard; its distinct chunks are a part of them.
 SHARD_BYTES = 16 << 20
+#: Bytes of a chunk that tell its shard.
+PREFIX = 4
 #: How often the merges of one rank may be held up in a word by those of lower ranks before the word is encoded by itself.
 HOLD_UPS = 64
 
@@ -303,7 +305,7 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(block, body): compressed runs of rows of about BLOCK_CHARS characters."""
 
     def run(it):
-        z = zstandard.ZstdCompressor(compression_params=zstandard.ZstdCompressionParameters.from_level(5, enable_ldm=True, window_log=24))
+        z = zstandard.ZstdCompressor(compression_params=zstandard.ZstdCompressionParameters.from_level(12, enable_ldm=True, window_log=25))
         number, held, size = TaskContext.get().partitionId() << 24, [], 0
 
         def pack():
@@ -344,17 +346,19 @@ def _opened(body: bytes) -> tuple[pa.Array, list[str]]:
 
 
 def _dealt(chunks: pa.Array, shards: int) -> tuple[np.ndarray, np.ndarray]:
-    """The order of ``chunks`` by shard, and the bounds of the shards in it. A chunk's shard comes from its bytes alone."""
+    """The order of ``chunks`` by shard and bytes, and the bounds of the shards in it. A chunk's shard comes from its first PREFIX
+    bytes, so that what a shard is asked for is alike and compresses well."""
     ends = np.frombuffer(chunks.buffers()[1], np.int64, len(chunks) + 1)
-    data = np.frombuffer(chunks.buffers()[2], np.uint8, ends[-1]) if ends[-1] else np.zeros(1, np.uint8)
-    size = np.diff(ends)
-    place = np.arange(ends[-1]) - np.repeat(ends[:-1], size)
-    power = (place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-    sums = np.concatenate([[np.uint64(0)], np.cumsum((data[: ends[-1]].astype(np.uint64) + np.uint64(1)) * (power ^ (power >> np.uint64(29))), dtype=np.uint64)])
-    h = sums[ends[1:]] - sums[ends[:-1]]
+    data = np.append(np.frombuffer(chunks.buffers()[2], np.uint8, ends[-1]) if ends[-1] else np.zeros(0, np.uint8), np.uint8(0))
+    h = np.zeros(len(chunks), np.uint64)
+    for i in range(PREFIX):
+        at = ends[:-1] + i
+        h = h << np.uint64(8) | np.where(at < ends[1:], data[np.minimum(at, len(data) - 1)], 0).astype(np.uint64)
+    h = (h + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0xC2B2AE3D27D4EB4F)
     shard = ((h >> np.uint64(33)) % np.uint64(shards)).astype(np.int64)
-    order = np.argsort(shard, kind="stable")
+    order = pc.sort_indices(chunks).to_numpy().astype(np.int64)
+    order = order[np.argsort(shard[order], kind="stable")]
     return order, np.searchsorted(shard[order], np.arange(shards + 1))
 
 
