@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Ids that a broadcast may hold at most (8 bytes each, 16 MB as a hash table of longs).
 BROADCAST_IDS = 1_000_000
+#: Bytes of a row group of a written table, which a writing task holds in memory.
+ROW_GROUP = 16 << 20
 #: Edges that one task joins at most.
 ONE_TASK_EDGES = 500_000
 
@@ -40,7 +42,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: cuts the lineage, and a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = new_folder(spark, name)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

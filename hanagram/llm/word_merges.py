@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Characters of texts that are taken at once.
-STRETCH = 8_000_000
+STRETCH = 4_000_000
 #: Bytes of a word, ranks and ids that fit the keys.
 LONGEST, ID_BITS, PLACE_BITS = 31, 17, 5
 _NONE = np.int32(1 << 30)

@@ -110,11 +110,11 @@ def test_product_of_long_sets(monkeypatch):
 
 
 def test_very_long_documents(spark):
-    """Two copies of five million words but for some, and a short one: the keys of one set exceed 16 bits by far."""
+    """Two copies of two million words but for some, and a short one: the keys of one set are many stretches' worth."""
     import numpy.random
 
-    words = [f"w{x:x}" for x in numpy.random.default_rng(3).integers(0, 1 << 40, 5_000_000).tolist()]
-    other = words[:4_950_000] + ["other"] * 50_000
+    words = [f"w{x:x}" for x in numpy.random.default_rng(3).integers(0, 1 << 40, 2_000_000).tolist()]
+    other = words[:1_980_000] + ["other"] * 20_000
     df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(other)), (3, "one two three four five")], "doc_id long, text string")
     assert {r["doc_id"]: r["component_id"] for r in s.grouped(df).collect()} == {1: 1, 2: 1, 3: 3}
 
