@@ -16,7 +16,6 @@ from dataclasses import replace
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..functions.normalize import Normalizer
 from ..operators.index import Index, Schema, split_rows
