@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import dropped, released, restricted, small_batches, tidied, written
@@ -401,13 +401,25 @@ def _scored(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str, lan
     return out
 
 
+def _slack() -> Column:
+    """By what a text's length allows it to exceed the threshold; null for one without units."""
+    return F.lit(SLACK) / F.sqrt(F.when(F.col("n_units") > 0, F.col("n_units")))
+
+
+def _less_slack() -> Column:
+    """What is held against the limit."""
+    return F.col("log_perplexity") - _slack()
+
+
 def thresholds(scores: DataFrame, quantile: float = QUANTILE, width: float = WIDTH) -> DataFrame:
     """(lang, limit): by language from the log-perplexities of the trusted documents held out, or of all where none is, by a
-    mergeable quantile sketch. Each is less by what its length allows, as when it is held against the limit."""
+    mergeable quantile sketch. Each is less by what its length allows, as when it is held against the limit. Where all of them
+    score alike, as one alone does, nothing tells what is usual, and the language has no limit."""
     of = lambda x: F.percentile_approx(x, F.array(F.lit(0.5), F.lit(quantile)), F.lit(10_000))
-    known = F.col("log_perplexity") - SLACK / F.sqrt(F.col("n_units"))  # what is held against the limit
+    known = _less_slack()
     q = F.coalesce(of(F.when(F.col("held"), known)), of(known))
-    return scores.where("trusted and log_perplexity is not null").groupBy("lang").agg(q.alias("q")).select("lang", (F.col("q")[0] + width * (F.col("q")[1] - F.col("q")[0])).alias("limit"))
+    spread = F.col("q")[1] - F.col("q")[0]
+    return scores.where("trusted and log_perplexity is not null").groupBy("lang").agg(q.alias("q")).where(spread > 0).select("lang", (F.col("q")[0] + width * spread).alias("limit"))
 
 
 def classify(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, width: float = WIDTH, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -415,9 +427,10 @@ def classify(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, wi
     a threshold. The n-grams run across words; a language of which all trusted documents are held out can't be scored."""
     scores = scored(docs, trusted, id_col, text_col, lang_col, across=True)
     limits = written(thresholds(scores, quantile, width), "kn-limits")
-    out = scores.join(limits, "lang", "left").withColumn("limit", F.col("limit") + SLACK / F.sqrt(F.col("n_units")))
-    keep = F.col("log_perplexity").isNull() | F.col("limit").isNull() | (F.col("log_perplexity") <= F.col("limit"))
-    return out.select(F.col("doc_id").cast(docs.schema[id_col].dataType).alias(id_col), "lang", "log_perplexity", "limit", keep.alias("keep"))
+    out = scores.join(limits, "lang", "left")
+    # Held against the limit as the trusted documents that made it, so that rounding rejects none of these.
+    keep = F.col("log_perplexity").isNull() | F.col("limit").isNull() | (_less_slack() <= F.col("limit"))
+    return out.select(F.col("doc_id").cast(docs.schema[id_col].dataType).alias(id_col), "lang", "log_perplexity", (F.col("limit") + _slack()).alias("limit"), keep.alias("keep"))
 
 
 def kept(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:

@@ -78,6 +78,22 @@ def test_classify(spark, docs, no_docs):
     assert all(r["keep"] for r in k.classify(docs, trusted.where("false")).collect())
 
 
+def test_texts_without_words_and_few_trusted_ones(spark):
+    """A text without words beside others of its language has a row, and trusted documents of one score reject nothing."""
+    rng = random.Random(4)
+    text = lambda: " ".join("".join(rng.choice("etaoinsh") for _ in range(6)) for _ in range(60))
+    good = [(i, text(), "en") for i in range(60)]
+    same = text()
+    few = [(100 + i, same, "fr") for i in range(20)] + [(200, "QQ ZZ " * 500, "fr"), (201, "vowels", "fr"), (300, "só", "pt"), (301, "ßß " * 900, "pt")]
+    odd = [(400, "", "en"), (401, " \n\t", "en"), (402, None, "en"), (403, "", "fr"), (404, "#@! " * 300, "en")]
+    df = spark.createDataFrame(good + few + odd, "doc_id long, text string, lang string")
+    trusted = spark.createDataFrame([(i,) for i in [*range(60), *range(100, 120), 300]], "doc_id long")
+    out = {r["doc_id"]: r for r in k.classify(df, trusted).collect()}
+    assert len(out) == df.count() and {i for i, r in out.items() if not r["keep"]} == {404}
+    assert all(out[i]["limit"] is None for i in (400, 401, 402, 403, 200, 301)) and out[404]["limit"] is not None
+    assert k.kept(df, trusted).count() == df.count() - 1
+
+
 def test_repeated_words_are_rejected(spark):
     """Words that are usual by themselves, one of them over and over."""
     rng = random.Random(3)
