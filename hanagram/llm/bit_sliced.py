@@ -18,8 +18,8 @@ from .common import written
 
 #: Rows of a candidate block and queries of a query block.
 BLOCK, QUERIES = 16_384, 256
-#: The greatest quantised value: the inner products of up to 2^14 dimensions stay below 2^62.
-MOST = 1 << 24
+#: The greatest quantised value that the index takes: the inner products of up to 2^14 dimensions have less than 38 digits.
+MOST = 1 << 55
 
 
 def bitmaps(values: np.ndarray) -> list[np.ndarray]:
@@ -119,10 +119,12 @@ class Index:
 
 def quantise(vectors: DataFrame, scale: float = 256.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(id, v array<long>) with floor(scale * x) for each component as double; rows whose id or vector is null, or that hold
-    null or non-finite components, are left out. Values beyond +-MOST count as that, so that sums stay within 64 bits."""
+    null or non-finite components, are left out. A value beyond +-MOST is an error: its products don't fit a long."""
     x = F.transform(F.col(vector_col), lambda c: c.cast("double"))
     whole = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")))
-    return vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).where(whole).select(F.col(id_col).cast("long").alias("id"), F.transform(x, lambda c: F.floor(F.greatest(F.least(c * F.lit(scale), F.lit(float(MOST))), F.lit(-float(MOST))))).alias("v"))
+    large = F.raise_error(F.lit("a vector's component is too large for scores of 64 bits")).cast("long")
+    floor = lambda c: F.when(F.abs(c * F.lit(scale)) <= F.lit(float(MOST)), F.floor(c * F.lit(scale))).otherwise(large)
+    return vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).where(whole).select(F.col(id_col).cast("long").alias("id"), F.transform(x, floor).alias("v"))
 
 
 def _unpacked(row: dict, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -160,7 +162,7 @@ def search(vectors: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0
     are fewer candidates, none for an empty table. Repeated ids are candidates each, and one query (one of their vectors); a
     vector shorter than others has 0 for what is missing; other columns are not read. The query set meets the candidates
     block by block; each pair of blocks is one row of work, and its result is at most k rows for each query. Pairs come
-    sorted by the candidates' block, whose index is built once in a task.
+    sorted by the candidates' block, whose index is built once in a task. Scores are exact; one of the result that doesn't fit a long is an error.
     """
     q = quantise(vectors, scale, id_col, vector_col)
     n = q.count()
@@ -180,12 +182,14 @@ def search(vectors: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0
                     kept = ((row["b"], dim), Index(*_unpacked(row, dim)))
                 ids, asked = _unpacked({c: row[f"q_{c}"] for c in ("ids", "v", "sizes", "kind")}, dim)
                 out = [(qid, vec, score) for qid, v in zip(ids.tolist(), asked) for vec, score in kept[1].top(v, k, qid)]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(3)], ["query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.decimal128(38, 0)))], ["query_id", "vec_id", "score"])
 
-    found = pairs.hint("merge").join(candidates, "b").mapInArrow(run, "query_id long, vec_id long, score long")
+    found = pairs.hint("merge").join(candidates, "b").mapInArrow(run, "query_id long, vec_id long, score decimal(38,0)")
     best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k)
     ranked = found.groupBy("query_id").agg(best.alias("top")).select("query_id", F.posexplode("top").alias("i", "x"))
-    return ranked.select("query_id", (F.col("i") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.s")).alias("score"))
+    score = -F.col("x.s")
+    fits = score.between(F.lit(-(1 << 63)), F.lit((1 << 63) - 1))
+    return ranked.select("query_id", (F.col("i") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), F.when(fits, score.cast("long")).otherwise(F.raise_error(F.lit("a score doesn't fit 64 bits")).cast("long")).alias("score"))
 
 
 def recall(found: DataFrame, truth: DataFrame) -> float:

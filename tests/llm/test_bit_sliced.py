@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from hanagram.llm import bit_sliced as b
 
@@ -38,3 +39,18 @@ def test_search(spark):
     assert b.search(df.where("vec_id in (0, 1)")).count() == 1
     truth = spark.createDataFrame([(q, v) for q, r in want.items() for v, _ in r], "query_id long, vec_id long")
     assert b.recall(b.search(df), truth) == 1.0
+
+
+def test_large_components_are_not_capped(spark):
+    """Products beyond 53 bits are exact, and what a long can't hold is an error."""
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.normal(size=4) * 10.0 ** rng.integers(0, 5)]) for i in range(400)]
+    rows += [(400, [1e8, -1e8, 1.0, 0.0]), (401, [-1e9, 1e9, 0.0, 0.0]), (402, [65536.0, 65537.0, 0.5, -65535.75])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in b.search(df, 5, 50).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    assert got == brute(rows, 5, 50)
+    for x in (1e9, 1e30):  # the square of 256 * 1e9 has 66 bits
+        with pytest.raises(Exception, match="64 bits"):
+            b.search(spark.createDataFrame([(0, [x]), (1, [x])], "vec_id long, embedding array<double>")).collect()
