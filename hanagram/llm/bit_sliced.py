@@ -14,10 +14,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import shuffle_partitions, written
 
 #: Rows of a candidate block and queries of a query block.
 BLOCK, QUERIES = 16_384, 256
+#: Blocks into which few candidates and few queries are cut nevertheless, so that there are pairs for many tasks. A query costs a
+#: block's bitmaps of some hundred words hardly more than those of ten.
+FEW_BLOCKS, FEW_QUERIES = 4, 16
 #: The greatest quantised value that the index takes: the inner products of up to 2^14 dimensions have less than 38 digits.
 MOST = 1 << 55
 
@@ -162,16 +165,21 @@ def search(vectors: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0
     are fewer candidates, none for an empty table. Repeated ids are candidates each, and one query (one of their vectors); a
     vector shorter than others has 0 for what is missing; other columns are not read. The query set meets the candidates
     block by block; each pair of blocks is one row of work, and its result is at most k rows for each query. Pairs come
-    sorted by the candidates' block, whose index is built once in a task. Scores are exact; one of the result that doesn't fit a long is an error.
+    sorted by the candidates' block, whose index is built once in a task; where there are few blocks, some tasks share
+    each (``turn``). Scores are exact; one of the result that doesn't fit a long is an error.
     """
     q = quantise(vectors, scale, id_col, vector_col)
     n = q.count()
-    size = max(256, min(BLOCK, -(-n // 64)))
+    size = max(256, min(BLOCK, -(-n // FEW_BLOCKS)))
     blocks = max(1, -(-n // size))
+    turns = max(1, 2 * FEW_BLOCKS // blocks)
     asked = q.where(F.col("id") % every == 0).dropDuplicates(["id"])
     candidates = written(_blocks(q, blocks), "bits-candidates")
-    queries = written(_blocks(asked, max(1, n // (every * QUERIES))), "bits-queries")
-    pairs = queries.withColumnsRenamed({c: f"q_{c}" for c in queries.columns}).withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    queries = written(_blocks(asked, max(1, n // (every * QUERIES), min(FEW_QUERIES, n // (every * FEW_QUERIES)))), "bits-queries")
+    pairs = queries.withColumnsRenamed({c: f"q_{c}" for c in queries.columns}).withColumn("turn", F.col("q_b") % turns).withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    shared = candidates.withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(turns - 1).cast("long"))))
+    parts = shuffle_partitions(q.sparkSession)
+    pairs, shared = (x.repartition(parts, "b", "turn") for x in (pairs, shared))
 
     def run(batches):
         kept: tuple[tuple, Index] | None = None
@@ -184,7 +192,7 @@ def search(vectors: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0
                 out = [(qid, vec, score) for qid, v in zip(ids.tolist(), asked) for vec, score in kept[1].top(v, k, qid)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.decimal128(38, 0)))], ["query_id", "vec_id", "score"])
 
-    found = pairs.hint("merge").join(candidates, "b").mapInArrow(run, "query_id long, vec_id long, score decimal(38,0)")
+    found = pairs.hint("merge").join(shared, ["b", "turn"]).mapInArrow(run, "query_id long, vec_id long, score decimal(38,0)")
     best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k)
     ranked = found.groupBy("query_id").agg(best.alias("top")).select("query_id", F.posexplode("top").alias("i", "x"))
     score = -F.col("x.s")

@@ -54,3 +54,18 @@ def test_large_components_are_not_capped(spark):
     for x in (1e9, 1e30):  # the square of 256 * 1e9 has 66 bits
         with pytest.raises(Exception, match="64 bits"):
             b.search(spark.createDataFrame([(0, [x]), (1, [x])], "vec_id long, embedding array<double>")).collect()
+
+
+def test_blocks_and_turns(spark, monkeypatch):
+    """Any numbers of candidate blocks and query blocks give the same rows."""
+    rows = [(i, [float(x) for x in np.random.default_rng(i).integers(-3, 4, 5)]) for i in range(1500)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = brute(rows, 5, 50)
+    for few, queries, block in ((4, 16, 16_384), (1, 1, 16_384), (64, 16, 300)):
+        monkeypatch.setattr(b, "FEW_BLOCKS", few)
+        monkeypatch.setattr(b, "FEW_QUERIES", queries)
+        monkeypatch.setattr(b, "BLOCK", block)
+        got = {}
+        for r in b.search(df).orderBy("query_id", "rank").collect():
+            got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+        assert got == want
