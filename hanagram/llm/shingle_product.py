@@ -4,9 +4,12 @@
 2. Blocks: two sets of n and m n-grams with J >= t differ in at most (n + m)(1 - t)/(1 + t) n-grams. If the n-grams' hash range
    is cut into more parts than that, both sets are the same in some part. Sets that share a part (and a size level) are
    put in one block by connected components; sets without any such partner need no product. Nothing that may link is lost.
+   A block of many sets or n-grams is refined: each set has a sketch, in which a bit is the parity of the number of its
+   n-grams there. Sketches of two sets differ in no more bits than the sets do in n-grams, so that sets whose sketches differ
+   in too many don't link. What the others connect is a block.
 3. Within a block the incidence matrix is multiplied with its transpose, which accumulates the overlap of each pair; pairs
    below the bound that their sizes give are discarded, and the others link.
-4. A block of many sets or n-grams is cut: slices are multiplied by themselves, then by leaders of the block's largest
+4. A refined block of many sets or n-grams is cut: slices are multiplied by themselves, then by leaders of the block's largest
    components, then what doesn't yet belong to the block's main component by the slices whose sizes may link with its own.
    Pairs within one component need no product.
 """
@@ -17,7 +20,7 @@ import math
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import partial
-from itertools import groupby
+from itertools import groupby, islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +33,8 @@ from .common import BROADCAST_IDS, components, dropped, near, released, shuffle_
 
 #: Sets and n-grams in a slice of a large block (about: sets are dealt by hash), and by how many leaders all of it is multiplied.
 SLICE, SLICE_GRAMS, LEADERS = 512, 2_000_000, 16
+#: Sketches and their bytes in a slice of a large block (about), and sketches that are compared at once on both sides.
+SKETCHES, SKETCH_BYTES, COMPARED = 16_384, 16 << 20, (128, 1024)
 #: N-grams that a product lays out at once, and bytes of sets in a batch.
 PRODUCT_GRAMS, BATCH_BYTES = 1_000_000, 8 << 20
 #: Parts that agree beyond the one that has to, as a share of those that may differ: a set leaves out as many of its parts
@@ -129,6 +134,39 @@ def keys(s: np.ndarray, percent: int, hot: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
+def sketch(s: np.ndarray) -> np.ndarray:
+    """Words of at least two bits for each n-gram: the parity of the number of n-grams at each place. XOR of the halves of a sketch is
+    the sketch of half its size."""
+    bits = max(64, 1 << (2 * len(s) - 1).bit_length())
+    place = (_mixed(s * _M1) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(place, minlength=bits) & 1).astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def folded(sketches: list[np.ndarray], words: int) -> np.ndarray:
+    """Sketches as rows of ``words`` words, which none is smaller than."""
+    out = np.empty((len(sketches), words), np.uint64)
+    for i, x in enumerate(sketches):
+        out[i] = x if len(x) == words else np.bitwise_xor.reduce(x.reshape(-1, words), axis=0)
+    return out
+
+
+def alike(left: np.ndarray, n: np.ndarray, right: np.ndarray, m: np.ndarray, percent: int):
+    """Arrays of pairs (i, j) of sketches, of sets of n and m n-grams, that don't rule out a link."""
+    for lo in range(0, len(left), COMPARED[0]):
+        for at in range(0, len(right), COMPARED[1]):
+            a, b = left[lo : lo + COMPARED[0]], right[at : at + COMPARED[1]]
+            both = n[lo : lo + COMPARED[0], None] + m[None, at : at + COMPARED[1]]
+            most = both + 2 * (-percent * both // (100 + percent))  # differing n-grams of two sets that link: needed()
+            differ = np.zeros(most.shape, np.int32)
+            for w in range(left.shape[1]):
+                differ += np.bitwise_count(a[:, w, None] ^ b[None, :, w])
+                if w % 4 == 3 and not (differ <= most).any():
+                    break
+            found = np.argwhere(differ <= most)
+            if len(found):
+                yield found + (lo, at)
+
+
 class Forest:
     """Union-find over 0..n-1, the least member as root."""
 
@@ -390,6 +428,75 @@ def _across(percent: int):
     return run
 
 
+def _sketched(percent: int):
+    """Edges between the nodes of each slice whose sketches are alike, connected as these are, of rows (block, level, slice, part, node, n,
+    s) sorted by the first four: members (part 0) with one another and with the probes that go by (part 1)."""
+
+    def run(it):
+        for _, rows in groupby(_rows(it), lambda r: r[:3]):
+            names = n = wide = forest = None
+            for part, some in groupby(rows, lambda r: r[3]):
+                some = iter(some)
+                if part == 0:
+                    held = list(some)
+                    names, n = np.array([r[4] for r in held], np.int64), np.array([r[5] for r in held], np.int64)
+                    wide = [np.frombuffer(r[6], np.uint64) for r in held]
+                    del held
+                    words = min(map(len, wide))
+                    members, forest = folded(wide, words), Forest(len(names))
+                    for pairs in alike(members, n, members, n, percent):
+                        for i, j in pairs[pairs[:, 0] < pairs[:, 1]].tolist():
+                            forest.join(i, j)
+                    root = np.array([forest.root(i) for i in range(len(names))], np.int64)
+                    moved = root != np.arange(len(names))
+                    yield edges(names[root[moved]], names[moved])
+                    continue
+                while names is not None and (batch := list(islice(some, 4096))):
+                    probes, size = [np.frombuffer(r[6], np.uint64) for r in batch], np.array([r[5] for r in batch], np.int64)
+                    if (least := min(map(len, probes))) < words:
+                        words, members = least, folded(wide, least)
+                    # One edge for each probe and component of members.
+                    found = [np.stack([p[:, 0], root[p[:, 1]]], 1) for p in alike(folded(probes, words), size, members, n, percent)]
+                    if found:
+                        found = np.unique(np.concatenate(found), axis=0)
+                        asked = np.array([r[4] for r in batch], np.int64)
+                        yield edges(asked[found[:, 0]], names[found[:, 1]])
+
+    def edges(a, b):
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return run
+
+
+def _refined(sets: DataFrame, bodies, percent: int) -> DataFrame:
+    """(node, block): large blocks cut into what sketches connect; nodes that nothing connects are left out. ``sets``: those of large
+    blocks, ``bodies`` (rows with doc_id, block, level, slice, sid; what makes a body of a set): their rows with bodies.
+
+    Each two slices of one size level, or of two levels side by side, meet once.
+    """
+    parts = shuffle_partitions(sets.sparkSession)
+    bytes_ = F.greatest(F.lit(16), F.col("n") / 2)
+    count = sets.groupBy("block", "level").agg(F.greatest(F.ceil(F.count("*") / SKETCHES), F.ceil(F.sum(bytes_) / SKETCH_BYTES)).alias("slices"))
+    count = written(count, "shingle-sketch-counts")
+    placed = sets.join(near(count), ["block", "level"]).withColumn("slice", F.pmod(F.xxhash64("sid"), F.col("slices")))
+    placed = written(placed.select("doc_id", "sid", "block", "level", "slice", F.lit(False).alias("large")), "shingle-sketch-placed")
+    made = written(bodies(placed, sketch).select("block", "level", "slice", "sid", "s").join(near(sets.select("sid", "node", "n")), "sid").drop("sid"), "shingle-sketches")
+    above = count.select("block", (F.col("level") - 1).alias("level"), F.col("slices").alias("above"))
+    slots = near(count.join(above, ["block", "level"], "left"))
+    of = lambda level, slices: F.transform(slices, lambda x: F.struct((F.col("level") + level).alias("level"), x.alias("slice")))
+    none = F.array().cast("array<bigint>")
+    beside = F.when(F.col("slice") + 1 < F.col("slices"), F.sequence(F.col("slice") + 1, F.col("slices") - 1)).otherwise(none)
+    higher = F.when(F.col("above").isNotNull(), F.sequence(F.lit(0).cast("long"), F.col("above") - 1)).otherwise(none)
+    asked = made.join(slots, ["block", "level"]).withColumn("at", F.explode(F.concat(of(0, beside), of(1, higher))))
+    asked = asked.select("block", F.col("at.level").alias("level"), F.col("at.slice").alias("slice"), F.lit(1).alias("part"), "node", "n", "s")
+    rows = made.select("block", "level", "slice", F.lit(0).alias("part"), "node", "n", "s").unionByName(asked)
+    rows = rows.repartition(parts, "block", "level", "slice").sortWithinPartitions("block", "level", "slice", "part", "node")
+    out = components(rows.mapInArrow(tidied(_sketched(percent)), "a long, b long"), "shingle-refined").withColumnRenamed("root", "block")
+    out = written(out, "shingle-refined")
+    dropped(count, placed, made)
+    return out
+
+
 def _large(big: DataFrame, sizes: DataFrame, links: DataFrame, percent: int) -> DataFrame:
     """The links that are still missing in blocks of several slices. ``big``: (block, level, slice, sid, s), ``sizes``: (block, level,
     slices). A set meets the slices of its size level and of the two beside it; no other set is of a size that may link."""
@@ -425,8 +532,9 @@ def _large(big: DataFrame, sizes: DataFrame, links: DataFrame, percent: int) ->
     return out
 
 
-def _incidence(it_columns: int, make: Sets):
-    """Rows with the set of their last column and its digest in place of that column, in batches of bounded bytes."""
+def _incidence(it_columns: int, make: Sets, body=None):
+    """Rows with the set of their last column, or ``body`` of it, and its digest in place of that column, in batches of bounded
+    bytes."""
 
     def run(it):
         for b in it:
@@ -437,7 +545,7 @@ def _incidence(it_columns: int, make: Sets):
                 size += sets[-1].nbytes
                 if size >= BATCH_BYTES or i == len(texts) - 1:
                     part = b.slice(at, i + 1 - at)
-                    yield pa.RecordBatch.from_arrays([*part.columns[:it_columns], pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([set_digest(x) if len(x) else None for x in sets], pa.binary())], [*b.schema.names[:it_columns], "s", "own"])
+                    yield pa.RecordBatch.from_arrays([*part.columns[:it_columns], pa.array([(body(x) if body else x).tobytes() for x in sets], pa.binary()), pa.array([set_digest(x) if len(x) else None for x in sets], pa.binary())], [*b.schema.names[:it_columns], "s", "own"])
                     at, sets, size = i + 1, [], 0
 
     return run
@@ -462,9 +570,29 @@ def _linked(texts: DataFrame, make: Sets, percent: int) -> DataFrame:
     blocks = components(_block_edges(texts.select("doc_id", "text"), make, percent, shards, hot), "shingle-blocks").withColumnRenamed("root", "block")
     # One row for each set in a block of two or more.
     sets = facts.where("n > 0").groupBy("sid", "node", "n").agg(F.min("doc_id").alias("doc_id"))
-    sets = written(sets.join(blocks, "node").select("sid", "n", "doc_id", "block"), "shingle-sets")
+    sets = written(sets.join(blocks, "node").select("sid", "node", "n", "doc_id", "block"), "shingle-sets")
     level = (F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent) + 1e-9) if percent < 100 else F.col("n")).cast("long")
     sets = sets.withColumn("level", level)
+    broad = sets.groupBy("block").agg(F.count("*").alias("c"), F.sum("n").alias("total")).where((F.col("c") > 1) & ((F.col("c") > SLICE) | (F.col("total") > SLICE_GRAMS)))
+    broad = written(broad.select("block"), "shingle-broad")
+
+    def bodies(placed: DataFrame, body=None) -> DataFrame:
+        """``placed`` (doc_id, sid, block, level, slice, large) without doc_id, with the set or ``body`` of it as s."""
+        # Few places are broadcast (about 60 bytes each); beyond, texts are shuffled to them.
+        some = texts.select("doc_id", "text").join(near(placed), "doc_id").select("block", "level", "slice", "large", "sid", "text")
+        # A repeated id may have other texts: the digest tells them apart.
+        out = some.mapInArrow(tidied(_incidence(5, make, body), forget), "block long, level long, slice long, large boolean, sid binary, s binary, own binary").where("sid = own").drop("own")
+        if placed.where("doc_id is null").limit(1).count():  # sets without an id are found by their digest
+            bare = texts.where("doc_id is null").select("text").mapInArrow(_incidence(0, make, body), "s binary, own binary").where("own is not null")
+            out = out.unionByName(bare.join(placed.where("doc_id is null"), F.col("own") == F.col("sid")).select(*out.columns))
+        return out
+
+    if broad.limit(1).count():
+        refined = _refined(sets.join(near(broad), "block"), bodies, percent)
+        cut_up = sets.join(near(broad), "block").drop("block").join(refined, "node").select(*sets.columns)
+        before, sets = sets, written(sets.join(near(broad), "block", "left_anti").select(*sets.columns).unionByName(cut_up), "shingle-sets")
+        dropped(before, refined)
+    dropped(broad)
     counts = sets.groupBy("block", "level").agg(F.count("*").alias("c"), F.sum("n").alias("total"))
     # A block of one slice stays whole; a larger one is cut by size levels, and these by hash.
     whole = sets.groupBy("block").agg(F.count("*").alias("c"), F.sum("n").alias("total")).where("c > 1").withColumn("large", (F.col("c") > SLICE) | (F.col("total") > SLICE_GRAMS))
@@ -474,13 +602,7 @@ def _linked(texts: DataFrame, make: Sets, percent: int) -> DataFrame:
     small = sets.join(near(whole.where("not large").select("block")), "block").select("doc_id", "sid", "block", F.lit(0).cast("long").alias("level"), F.lit(0).cast("long").alias("slice"), F.lit(False).alias("large"))
     big = sets.join(near(cut), ["block", "level"]).select("doc_id", "sid", "block", "level", F.pmod(F.xxhash64("sid"), F.col("slices")).alias("slice"), F.lit(True).alias("large"))
     placed = written(small.unionByName(big), "shingle-placed")
-    # Few places are broadcast (about 60 bytes each); beyond, texts are shuffled to them.
-    some = texts.select("doc_id", "text").join(near(placed), "doc_id").select("block", "level", "slice", "large", "sid", "text")
-    # A repeated id may have other texts: the digest tells them apart.
-    incidence = some.mapInArrow(tidied(_incidence(5, make), forget), "block long, level long, slice long, large boolean, sid binary, s binary, own binary").where("sid = own").drop("own")
-    if placed.where("doc_id is null").limit(1).count():  # sets without an id are found by their digest
-        bare = texts.where("doc_id is null").select("text").mapInArrow(_incidence(0, make), "s binary, own binary").where("own is not null")
-        incidence = incidence.unionByName(bare.join(placed.where("doc_id is null"), F.col("own") == F.col("sid")).select(*incidence.columns))
+    incidence = bodies(placed)
     large = bool(cut.limit(1).count())
     if large:
         incidence = written(incidence, "shingle-incidence")

@@ -154,3 +154,47 @@ def test_odd_rows(docs, no_docs):
     assert by[2]["n_shingles"] == by[3]["n_shingles"] == 0 and by[5]["component_id"] == 1 and by[4]["n_shingles"] == 1
     kept = s.one_of_each(docs)
     assert kept.columns == docs.columns and sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 2, 3, 4, 7]
+
+
+def test_sketches_rule_out_no_link():
+    """Sketches differ in no more bits than sets in n-grams, and what they leave are all pairs that link."""
+    rng = np.random.default_rng(8)
+    for percent in (50, 80, 85):
+        base = [np.unique(rng.integers(0, 1 << 63, rng.integers(1, 300)).astype(np.uint64)) for _ in range(12)]
+        sets = []
+        for x in base:
+            for share in (0.0, 0.03, 0.1, 0.2, 0.4):
+                keep = x[rng.random(len(x)) >= share]
+                more = rng.integers(0, 1 << 63, int(share * len(x) / 2)).astype(np.uint64)
+                sets += [y for y in [np.unique(np.concatenate([keep, more]))] if len(y)]
+        made = [s.sketch(x) for x in sets]
+        words = min(map(len, made))
+        n = np.array([len(x) for x in sets])
+        for a, b, i, j in ((made[i], made[j], i, j) for i in range(len(sets)) for j in range(i)):
+            x, y = s.folded([a, b], min(len(a), len(b)))
+            assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(sets[i], sets[j]))
+        rows = s.folded(made, words)
+        left = {(i, j) for part in s.alike(rows, n, rows, n, percent) for i, j in part.tolist()}
+        assert {tuple(x) for x in s.product(sets, None, percent).tolist()} <= left
+
+
+def test_large_blocks_are_refined(spark, monkeypatch):
+    """Sets that share a passage, but don't link, are one block by their keys and none by their sketches; what links stays together
+    over slices of sketches and size levels, with and without an id."""
+    rng = random.Random(9)
+    line = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    passage = line(40)
+    rows = [(i, passage + " " + line(rng.randrange(30, 60))) for i in range(300)]
+    for i in range(60):  # near copies of different sizes
+        words = rows[i][1].split()
+        rows.append((300 + i if i % 3 else None, " ".join(words[: len(words) - rng.randrange(1, 9)])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for name, value in (("SLICE", 20), ("SKETCHES", 30)):
+        monkeypatch.setattr(s, name, value)
+    seen = []
+    real = s._large
+    monkeypatch.setattr(s, "_large", lambda *a: seen.append(a[0].count()) or real(*a))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in s.grouped(df, 5, 80).where("doc_id is not null").collect()}
+    want = brute([(10**6 + k if i is None else i, t) for k, (i, t) in enumerate(rows)], 5, 80)
+    assert got == {i: want[i] for i in got} and len(got) == 340
+    assert not seen and sum(i != root for i, (_, root) in got.items()) > 20
