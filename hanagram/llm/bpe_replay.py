@@ -35,6 +35,8 @@ BLOCK_CHARS, SLICE_CHARS = 12_000_000, 12_000_000
 SHARD_BYTES = 16 << 20
 #: Bytes of a chunk that tell its shard.
 PREFIX = 4
+#: How strongly what shards are asked for and answer is compressed.
+PACKED = 15
 #: How often the merges of one rank may be held up in a word by those of lower ranks before the word is encoded by itself.
 HOLD_UPS = 64
 
@@ -362,6 +364,15 @@ def _dealt(chunks: pa.Array, shards: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(shard[order], np.arange(shards + 1))
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """Unsigned 32-bit integers byte by byte of equal weight: those of small ones are mostly zeros side by side."""
+    return np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _unplaned(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
 def _over_corpus(docs: DataFrame, path: str, pattern: str, id_col: str, text_col: str, rows, schema: str) -> DataFrame:
     """``rows``(encoder, ids, each: ids of the chunks of all texts, bounds of texts) of each block, a table of ``schema``."""
     spark = docs.sparkSession
@@ -370,7 +381,7 @@ def _over_corpus(docs: DataFrame, path: str, pattern: str, id_col: str, text_col
     shards = max(24, math.ceil(size * BLOCK_CHARS / SHARD_BYTES))
 
     def asked(it):
-        z, enc = zstandard.ZstdCompressor(level=3), encoder(path, pattern)
+        z, enc = zstandard.ZstdCompressor(level=PACKED), encoder(path, pattern)
         for b in it:
             for block, body in zip(b.column(0).to_pylist(), b.column(1)):
                 chunks = enc.chunks(_opened(body.as_py())[1])[0]
@@ -381,16 +392,16 @@ def _over_corpus(docs: DataFrame, path: str, pattern: str, id_col: str, text_col
                 for i in some:
                     part = chunks.slice(bounds[i], bounds[i + 1] - bounds[i])
                     sizes = pc.binary_length(part).to_numpy().astype("<u4")
-                    packs.append(z.compress(np.uint32(len(sizes)).tobytes() + sizes.tobytes() + "".join(part.to_pylist()).encode()))
+                    packs.append(z.compress(np.uint32(len(sizes)).tobytes() + _planes(sizes) + "".join(part.to_pylist()).encode()))
                 yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([block] * len(some), pa.int64()), pa.array(packs, pa.binary())], ["shard", "block", "chunks"])
 
     def answered(table):
-        z, d, enc = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor(), encoder(path, pattern)
+        z, d, enc = zstandard.ZstdCompressor(level=PACKED), zstandard.ZstdDecompressor(), encoder(path, pattern)
         parts = []
         for pack in table["chunks"]:
             data = d.decompress(pack.as_py(), max_output_size=1 << 34)
             n = int(np.frombuffer(data, "<u4", 1)[0])
-            ends = np.concatenate([[0], np.cumsum(np.frombuffer(data, "<u4", n, 4).astype(np.int64))])
+            ends = np.concatenate([[0], np.cumsum(_unplaned(data[4 : 4 + 4 * n]).astype(np.int64))])
             parts.append(pa.Array.from_buffers(pa.large_string(), n, [None, pa.py_buffer(ends), pa.py_buffer(data[4 + 4 * n :])]))
         coded = pa.concat_arrays(parts).dictionary_encode()
         found = enc.ids(coded.dictionary.to_pylist())

@@ -1,8 +1,10 @@
 import random
 import time
 
+import numpy as np
 import public_tokenizers as P
 import tiktoken
+import zstandard
 
 from hanagram.llm import bpe_replay as b
 
@@ -77,3 +79,13 @@ def test_frames(spark, docs, no_docs):
     back = b.decode(enc, PATH, P.PATTERN)
     assert sorted(bytes(r["bytes"]).decode() for r in back.collect()) == sorted(r["text"] or "" for r in docs.collect())
     assert b.digests(docs, PATH, P.PATTERN).count() == 8 and b.digests(no_docs, PATH, P.PATTERN).count() == 0
+
+
+def test_sizes_survive_planes():
+    """Sizes by byte planes come back, and take less than as they are."""
+    for n in (0, 1, 5000):
+        sizes = np.random.default_rng(n).integers(1, 400, n).astype("<u4")
+        packed = b._planes(sizes)
+        assert (b._unplaned(packed) == sizes).all() and len(packed) == 4 * n
+    z = zstandard.ZstdCompressor(level=b.PACKED)
+    assert len(z.compress(packed)) < len(zstandard.ZstdCompressor(level=3).compress(sizes.tobytes()))
