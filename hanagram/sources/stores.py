@@ -6,6 +6,7 @@ import os
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import SparkSession
 
@@ -80,6 +81,71 @@ def folders(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()) if fs.exists(p) else []
 
 
+def _chunks(spark: SparkSession, path: str, size: int = 1 << 20) -> Iterator[bytes]:
+    """The bytes of a file, so many at a time."""
+    if local(path):
+        with open(_plain(path), "rb") as f:
+            while b := f.read(size):
+                yield b
+        return
+    fs, p = _fs(spark, path)
+    stream = fs.open(p)
+    try:
+        while b := bytes(stream.readNBytes(size)):
+            yield b
+    finally:
+        stream.close()
+
+
+def lines(spark: SparkSession, path: str) -> Iterator[str]:
+    """The lines of the text files of a folder, in the order of their names; one is held at a time."""
+    fs, p = _fs(spark, path)
+    for name in sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isFile()):
+        if name.startswith(("_", ".")):
+            continue
+        part: list[bytes] = []
+        for b in _chunks(spark, f"{path}/{name}"):
+            *whole, rest = b.split(b"\n")
+            for line in whole:
+                yield b"".join([*part, line]).decode("utf-8")
+                part = []
+            if rest:
+                part.append(rest)
+        if part:
+            yield b"".join(part).decode("utf-8")
+
+
+class Writer:
+    """A new text file, written in pieces."""
+
+    def __init__(self, spark: SparkSession, path: str, size: int = 1 << 20):
+        self._size, self._parts, self._held = size, [], 0
+        if local(path):
+            os.makedirs(os.path.dirname(_plain(path)), exist_ok=True)
+            self._out = open(_plain(path), "wb")
+        else:
+            fs, p = _fs(spark, path)
+            self._out = fs.create(p, True)
+
+    def write(self, text: str) -> None:
+        self._parts.append(text)
+        self._held += len(text)
+        if self._held >= self._size:
+            self._flush()
+
+    def _flush(self) -> None:
+        self._out.write(bytearray("".join(self._parts).encode("utf-8")))
+        self._parts, self._held = [], 0
+
+    def close(self) -> None:
+        self._flush()
+        self._out.close()
+
+
+def _plain(path: str) -> str:
+    return re.sub("^file:(//)?", "", path)
+
+
 def local(path: str) -> bool:
     """Whether a path is one of this machine's."""
     return not re.match(r"[a-z][a-z0-9+.-]*:", path) or path.startswith("file:")
