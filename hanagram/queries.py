@@ -567,9 +567,9 @@ def exchange_split(spark, sf):
 @query(f"WITH {tokens_sql(PART_DOCS)} SELECT DISTINCT token FROM t WHERE NOT regexp_matches(token, {q(HAS_CJK)})")
 def exchange_latin_words(spark, sf):
     """The list of Latin words that a split index has beside its shards."""
-    files = dict(index_files.split_files(part_index(spark, sf)))
-    words = json.loads(files[json.loads(files[index_files.MANIFEST])["latin"]])
-    return spark.createDataFrame([(w,) for w in words], "token string")
+    to = folder(spark, "index").removeprefix("file://")
+    index_files.write_split(part_index(spark, sf), to)
+    return index_files.latin_words(spark, to)
 
 
 @query("SELECT p_partkey AS doc, CAST(0 AS INTEGER) AS field, p_partkey % 7 || ',' || (p_partkey % 7 + p_size) AS positions FROM part WHERE p_size > 0")
