@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from .classes import CJK_RANGES, SEPARATOR_RANGES
 
@@ -63,9 +64,13 @@ def occurrences(folded: list[str], unigrams: bool = True) -> tuple[pa.Array, np.
     return tokens, np.concatenate([number, len(grams) + words.indices.to_numpy()]), text, at - start[text]
 
 
-def grouped(token: np.ndarray, row: np.ndarray, position: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, token, bounds, positions): occurrences by row and token, positions in ascending order between ``bounds``."""
-    key = row * (int(token.max(initial=0)) + 1) + token
+def grouped(tokens: pa.Array, token: np.ndarray, row: np.ndarray, position: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, token, bounds, positions): occurrences by token, in the order of their code points, and row; positions in ascending
+    order between ``bounds``."""
+    rank = np.empty(len(tokens), np.int64)
+    rank[pc.array_sort_indices(tokens).to_numpy()] = np.arange(len(tokens))
+    least = int(row.min(initial=row[0] if len(row) else 0))
+    key = rank[token] * (int(row.max(initial=least)) - least + 1) + row - least
     by = np.argsort(key, kind="stable")
     key = key[by]
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)

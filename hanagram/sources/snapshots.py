@@ -1,7 +1,8 @@
 """Snapshots: an index as Parquet in a versioned folder, published by renaming a pointer file, in any store.
 
-Postings are range-partitioned and sorted by token and document, so that a search, whose scan names its tokens, reads few row
-groups, and a frequent token is many partitions'. The vocabulary and the field totals are stored beside them. One writer at
+Postings are stored as they are made, in segments: those of a stretch of text in the order of their tokens, without a shuffle.
+Pages are small, so that a search, whose scan names its tokens, reads of each segment the pages that hold them, and a frequent
+token is many tasks'. The vocabulary and the field totals are stored beside them. One writer at
 a time holds a lock; readers keep their snapshot until they look at the pointer again.
 """
 
@@ -22,6 +23,8 @@ from ..operators.index import Index, Schema, split_rows
 from . import stores
 
 TABLES = ("docs", "lengths", "postings", "filter_values", "filter_years")
+#: How postings are written: ascending positions as differences, pages of so many rows.
+STORED = {"compression": "zstd", "parquet.writer.version": "PARQUET_2_0", "parquet.page.row.count.limit": "4000", "parquet.enable.dictionary#positions.list.element": "false"}
 #: Seconds after which a lock in a store whose locks nobody frees counts as left behind.
 STALE = 3600.0
 
@@ -69,22 +72,21 @@ def locked(root: str, timeout: float = 60.0, poll: float = 0.01, spark: SparkSes
 
 def write(index: Index, documents: DataFrame, root: str, partitions: int | None = None, batch: int | None = None) -> str:
     """Writes a snapshot and publishes it; returns its version. A write that fails publishes nothing. ``batch`` is the number of the
-    last batch of a stream that is in it."""
+    last batch of a stream that is in it. With ``partitions`` postings are sorted as a whole, into so many files."""
     spark = index.spark
     version = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
     to = f"{root}/{version}"
+    by = ["token", "doc", "field"]
+    rows = index.postings.sortWithinPartitions(*by) if index.rows is None else index.rows
+    if partitions:
+        rows = rows.repartitionByRange(partitions, *by[:2]).sortWithinPartitions(*by)
+    rows.write.options(**STORED).parquet(f"{to}/postings")
     if index.rows is not None:  # lengths and postings in one pass over the documents
-        index.rows.write.parquet(f"{to}/rows")
-        lengths, postings = split_rows(spark.read.parquet(f"{to}/rows"))
-        index = replace(index, lengths=lengths, postings=postings, rows=None)
-    by = ["token", "doc"]
-    ranged = index.postings.repartitionByRange(partitions, *by) if partitions else index.postings.repartitionByRange(*by)
-    ranged.sortWithinPartitions("token", "doc", "field").write.parquet(f"{to}/postings")
+        index = replace(index, lengths=split_rows(spark.read.parquet(f"{to}/postings"))[0], rows=None)
     for name in TABLES:
         if name != "postings":
             getattr(index, name).write.parquet(f"{to}/{name}")
-    stores.remove(spark, f"{to}/rows")
-    stored = Index(index.schema, *(spark.read.parquet(f"{to}/{name}") for name in TABLES))
+    stored = Index(index.schema, *_tables(spark, to))
     stored.vocabulary().sort("token").write.parquet(f"{to}/words")
     stored.stats().coalesce(1).write.parquet(f"{to}/totals")
     documents.write.parquet(f"{to}/documents")
@@ -95,6 +97,11 @@ def write(index: Index, documents: DataFrame, root: str, partitions: int | None
     return version
 
 
+def _tables(spark: SparkSession, to: str) -> list[DataFrame]:
+    """The tables of a snapshot; among postings stand the rows of lengths too."""
+    return [split_rows(d)[1] if name == "postings" else d for name in TABLES for d in [spark.read.parquet(f"{to}/{name}")]]
+
+
 def current(root: str, spark: SparkSession | None = None) -> str | None:
     """The published version."""
     return stores.read_text(spark or SparkSession.active(), f"{root}/current")
@@ -115,7 +122,7 @@ def load(spark: SparkSession, root: str, normalizer: Normalizer | None = None, v
     normalizer = normalizer or Normalizer(about["variants"], compatibility=about["compatibility"])
     normalizer.check(about["variants"], about["variant_digest"])
     schema = Schema(about["fields"], about["boosts"], about["filters"], normalizer)
-    tables = (spark.read.parquet(f"{to}/{name}") for name in (*TABLES, "words", "totals"))
+    tables = (*_tables(spark, to), *(spark.read.parquet(f"{to}/{name}") for name in ("words", "totals")))
     return Index(schema, *tables), spark.read.parquet(f"{to}/documents")
 
 
