@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.classes import is_latin
 from ..functions.normalize import filter_key_text
-from ..functions.tokens import phrases
+from ..functions.tokens import let, phrases
 from .index import Index
 
 K1, B, EXPANDED = 1.2, 0.75, 0.6
@@ -82,6 +82,8 @@ def resolved(index: Index, rows: list[tuple], prefix: bool = True, typos: bool =
     tokens = sorted({r["token"] for r in some})
     local = index.spark.createDataFrame(some, alts.schema)
     postings = index.postings.where(F.col("token").isin(tokens)) if len(tokens) <= NAMED_TOKENS else index.postings
+    if all(r[7] == 1 for r in rows):
+        postings = postings.withColumn("positions", F.lit(None).cast("array<int>"))  # nobody looks at them: they aren't read
     return F.broadcast(local), postings
 
 
@@ -89,13 +91,19 @@ def phrase_hits(postings: DataFrame, alts: DataFrame) -> DataFrame:
     """(qid, phrase, doc, field, tf, first_alt): where each phrase occurs and how often, overlaps counted.
 
     A phrase starts where the position less the offset is the same for all of its parts; single tokens need no positions.
+    Postings are dealt out once, whole, by query and document; a document's parts meet as arrays.
     """
-    where = ["qid", "phrase", "doc", "field"]
-    met = postings.join(alts, "token")
-    starts = F.when(F.col("n_parts") == 1, F.array(F.lit(-1))).otherwise(F.transform("positions", lambda p: p - F.col("at")))
-    each = met.select(*where, "part", "n_parts", "alt", F.when(F.col("n_parts") == 1, F.col("tf")).otherwise(1).alias("tf"), F.explode(starts).alias("start"))
-    whole = each.groupBy(*where, "n_parts", "start").agg(F.count_distinct("part").alias("met"), F.min(F.struct("part", "alt")).alias("x"), F.sum("tf").alias("tf")).where("met = n_parts")
-    return whole.groupBy(*where).agg(F.sum(F.when(F.col("n_parts") == 1, F.col("tf")).otherwise(1)).cast("long").alias("tf"), F.min("x.alt").alias("first_alt"))
+    single = F.col("n_parts") == 1
+    part = F.when(~single, F.struct("part", "alt", F.transform("positions", lambda p: p - F.col("at")).alias("starts")))
+    each = postings.join(alts, "token").select("qid", "phrase", "doc", "field", "n_parts", "tf", "alt", part.alias("x")).repartition("qid", "doc")
+    whole = each.groupBy("qid", "phrase", "doc", "field", "n_parts").agg(F.sum("tf").alias("sum"), F.min("alt").alias("least"), F.collect_list("x").alias("xs"))
+    some = lambda test: F.filter("xs", test)
+    of_part = F.transform(F.sequence(F.lit(0), F.col("n_parts") - 1), lambda p: F.flatten(F.transform(some(lambda x: x["part"] == p), lambda x: x["starts"])))
+    starts = F.reduce(F.slice(of_part, 2, F.col("n_parts")), F.array_distinct(F.get(of_part, F.lit(0))), F.array_intersect)
+    first = lambda s: F.array_min(F.transform(some(lambda x: (x["part"] == 0) & F.arrays_overlap(x["starts"], s)), lambda x: x["alt"]))
+    hit = lambda tf, alt: F.struct(tf.cast("long").alias("tf"), alt.alias("first_alt"))
+    found = F.when(single, hit(F.col("sum"), F.col("least"))).otherwise(let(starts, lambda s: hit(F.size(s), first(s))))
+    return whole.select("qid", "phrase", "doc", "field", F.inline(F.filter(F.array(found), lambda h: h["tf"] > 0)))
 
 
 def passing(index: Index, filters: Mapping[str, object]) -> DataFrame:
@@ -137,15 +145,15 @@ def search(index: Index, queries: Iterable[tuple[int, str]] | str, filters: Mapp
     alts, postings = resolved(index, rows, prefix, typos)
     hits = phrase_hits(postings, alts)
     # Only an unbroken row of phrases from the first one counts, for results as well as for document counts.
-    held = hits.groupBy("qid", "doc").agg(F.array_sort(F.collect_set("phrase")).alias("ps"))
-    held = held.select("qid", "doc", F.size(F.filter("ps", lambda p, i: p == i)).alias("n")).where("n > 0")
+    held = hits.groupBy("qid", "doc").agg(F.array_sort(F.collect_set("phrase")).alias("ps"), F.collect_list(F.struct("phrase", "field", "tf", "first_alt")).alias("hs"))
+    held = held.select("qid", "doc", "hs", F.size(F.filter("ps", lambda p, i: p == i)).alias("n")).where("n > 0")
     df = held.select("qid", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("phrase")).groupBy("qid", "phrase").agg(F.count("*").alias("df"))
-    whole = held.join(F.broadcast(counts), "qid").where("n = n_phrases").select("qid", "doc")
+    whole = held.join(F.broadcast(counts), "qid").where("n = n_phrases").select("qid", "doc", F.inline("hs"))
     if filters is not None:
         whole = whole.join(passing(index, filters), "doc", "left_semi")
     weight = alts.groupBy("qid", "phrase").agg(F.max("expanded").alias("expanded"))
     names = spark.createDataFrame([(i, f, index.schema.boost(f)) for i, f in enumerate(index.schema.fields)], "field int, name string, boost double")
-    one = hits.join(whole, ["qid", "doc"]).join(F.broadcast(df), ["qid", "phrase"]).join(F.broadcast(weight), ["qid", "phrase"])
+    one = whole.join(F.broadcast(df), ["qid", "phrase"]).join(F.broadcast(weight), ["qid", "phrase"])
     one = one.join(F.broadcast(names), "field").join(F.broadcast(index.stats()), "field").join(index.lengths, ["doc", "field"])
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = 1 - B + B * F.col("len") / F.col("avg_len")
