@@ -64,11 +64,33 @@ def occurrences(folded: list[str], unigrams: bool = True) -> tuple[pa.Array, np.
     return tokens, np.concatenate([number, len(grams) + words.indices.to_numpy()]), text, at - start[text]
 
 
-def grouped(tokens: pa.Array, token: np.ndarray, row: np.ndarray, position: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, token, bounds, positions): occurrences by token, in the order of their code points, and row; positions in ascending
-    order between ``bounds``."""
-    rank = np.empty(len(tokens), np.int64)
-    rank[pc.array_sort_indices(tokens).to_numpy()] = np.arange(len(tokens))
+def runs(folded: list[str]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(distinct runs, how often each occurs, the sum of its offsets) of folded texts, runs of separators among them."""
+    data = "".join(folded).encode("utf-8", "replace")
+    code = np.frombuffer("".join(folded).encode("utf-32-le", "surrogatepass"), np.uint32)
+    size = np.fromiter(map(len, folded), np.int64, len(folded))
+    start = (np.cumsum(size) - size)[size > 0]
+    kind = _kinds[code]
+    first = np.ones(len(code), bool)
+    first[1:] = kind[1:] != kind[:-1]
+    first[start] = True
+    run = np.flatnonzero(first)
+    width = 1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000)
+    cuts = np.concatenate([[0], np.cumsum(width, dtype=np.int64)])[np.append(run, len(code))]
+    names = pa.Array.from_buffers(pa.large_string(), len(run), [None, pa.py_buffer(cuts), pa.py_buffer(data)]).dictionary_encode()
+    number = names.indices.to_numpy()
+    at = run - start[np.searchsorted(start, run, side="right") - 1]
+    n = len(names.dictionary)
+    return names.dictionary, np.bincount(number, minlength=n), np.bincount(number, at, n).astype(np.int64)
+
+
+def grouped(token: np.ndarray, row: np.ndarray, position: np.ndarray, tokens: pa.Array | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, token, bounds, positions): occurrences by token and row, positions in ascending order between ``bounds``. Tokens are in the
+    order of their code points, if ``tokens`` names them, or else of their numbers."""
+    rank = np.arange(int(token.max(initial=0)) + 1)
+    if tokens is not None:
+        rank = np.empty(len(tokens), np.int64)
+        rank[pc.array_sort_indices(tokens).to_numpy()] = np.arange(len(tokens))
     least = int(row.min(initial=row[0] if len(row) else 0))
     key = rank[token] * (int(row.max(initial=least)) - least + 1) + row - least
     by = np.argsort(key, kind="stable")
