@@ -13,9 +13,9 @@ from . import plans
 from .functions import codec, marks
 from .functions.classes import CJK, HAS_CJK, RUN, SEP
 from .functions.normalize import Normalizer, filter_key, includes, nfkc, year
-from .functions.tokens import phrases, run_offsets, tokens
+from .functions.tokens import phrases, tokens
 from .operators import evaluate
-from .operators.index import Index, Schema, build, filter_values, filter_years, numbered, token_totals
+from .operators.index import Index, Schema, build, filter_values, filter_years, numbered, run_totals, token_totals
 from .operators.search import alternatives, facets, facets_without_own, parsed, passing, search
 from .operators.updates import applied, compacted, updated
 from .sources import index_files, records, snapshots, stores
@@ -192,7 +192,7 @@ def year_literals(spark, sf):
 
 @query(f"WITH {tokens_sql(CJK_DOCS)} SELECT run, count(*) AS n, CAST(sum(off) AS BIGINT) AS sum_at FROM o GROUP BY run")
 def token_runs(spark, sf):
-    return projected(spark, sf).select(F.explode(run_offsets("text")).alias("r")).groupBy(F.col("r.run").alias("run")).agg(F.count("*").alias("n"), F.sum(F.col("r.at").cast("long")).alias("sum_at"))
+    return run_totals(projected(spark, sf), "text")
 
 
 @query(f"WITH {tokens_sql(CJK_DOCS, False)} SELECT token, count(*) AS n, CAST(sum(pos) AS BIGINT) AS sum_pos FROM t WHERE token <> '' GROUP BY token")
