@@ -39,8 +39,12 @@ def _json(x) -> str:
 
 
 def dense(index: Index) -> Index:
-    """The index with documents numbered from 0 without gaps."""
-    to = numbered(index.docs.select(F.col("doc").alias("old")), ["old"]).select("old", "doc").persist()
+    """The index with documents numbered from 0 without gaps. The numbers are as many as the documents: they don't pass the driver
+    for a broadcast."""
+    n, first, last = index.docs.agg(F.count("*"), F.min("doc"), F.max("doc")).first()
+    if not n or (first, last) == (0, n - 1):
+        return index
+    to = numbered(index.docs.select(F.col("doc").alias("old")), ["old"]).select("old", "doc").persist().hint("merge")
     moved = lambda d: d.withColumnRenamed("doc", "old").join(to, "old").drop("old").select(*d.columns)
     return Index(index.schema, *(moved(d) for d in (index.docs, index.lengths, index.postings, index.filter_values, index.filter_years)))
 

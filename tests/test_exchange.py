@@ -107,3 +107,10 @@ def test_odd_json(spark, tmp_path):
         odd.write_text(bad, encoding="utf-8")
         with pytest.raises((ValueError, KeyError)):
             index_files.read(spark, str(odd), PLAIN)
+
+
+def test_numbers_are_not_broadcast(spark, index):
+    moved = index_files.dense(index)
+    assert sorted(r["doc"] for r in moved.docs.collect()) == list(range(500))
+    assert "BroadcastHashJoin" not in moved.postings._jdf.queryExecution().executedPlan().toString()
+    assert index_files.dense(moved).docs is moved.docs  # dense ones stay as they are
